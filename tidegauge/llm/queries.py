@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op4_bpe_codec
+from .near_dedup import op5_near_dedup
 from .sharding import op1_sharding
 from .token_counts import op7_token_counts
 from .token_files import op6_token_files
@@ -10,6 +11,7 @@ from .token_files import op6_token_files
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
 }
