@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .bpe_codec import op4_bpe_codec
 from .near_dedup import op5_near_dedup
+from .quality_rules import op8_quality_rules
 from .sharding import op1_sharding
+from .substring_dedup import op9_substring_dedup
 from .token_counts import op7_token_counts
 from .token_files import op6_token_files
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
