@@ -35,6 +35,9 @@ TREES, DEPTH, FUNCTIONS = 32, 3, 128
 BRANCHES, LEVELS = 3, 4
 #: Members compared at once, and comparisons up to which a node does not branch.
 BLOCK, WORK = 512, 4_000_000
+#: Likely pairs for each member of a block up to which they are listed; beyond, the block is linked
+#: as a whole with its sets at hand.
+SPARSE = 4
 #: Fingerprints have an error of 0.04 at 0.75; a pair below this estimate is not confirmed.
 LEAST_ESTIMATE = 0.58
 #: Ids that are broadcast at most (8 bytes each); beyond, the same join shuffles.
@@ -86,19 +89,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matrix(col: pa.Array, kind: type) -> np.ndarray:
     raw = b"".join(col.to_pylist())
-    return np.frombuffer(raw, dtype=kind).reshape(len(col), -1) if len(col) else np.zeros((0, FUNCTIONS), dtype=kind)
+    return np.frombuffer(raw, dtype=kind).reshape(len(col), -1) if len(col) else np.zeros((0, 1), dtype=kind)
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(tokens: np.ndarray) -> np.ndarray:
     """The node at depth DEPTH of each representative in each tree."""
+    tokens = tokens.astype(np.uint64)
+    node = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(tokens), 1))
+    for d in range(DEPTH):
+        node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + tokens[:, d::DEPTH][:, :TREES] + np.uint64(d + 1))
+    return node
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
-            tokens = _matrix(part.column(1), np.uint32).astype(np.uint64)
-            node = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(tokens), 1))
-            for d in range(DEPTH):
-                node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + tokens[:, d::DEPTH][:, :TREES] + np.uint64(d + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), TREES))], names=["node", "rep"])
+            node = _nodes(_matrix(part.column(1), np.uint32)).ravel().view(np.int64)
+            tree = np.tile(np.arange(TREES, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(np.repeat(np.asarray(part.column(0)), TREES))], names=["tree", "node", "rep"])
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +115,13 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
-            node = np.asarray(part.column(0)).view(np.uint64)
-            tokens = _matrix(part.column(2), np.uint32).astype(np.uint64)
+            node = np.asarray(part.column(1)).view(np.uint64)
+            tokens = _matrix(part.column(3), np.uint32).astype(np.uint64)
             rows = np.arange(len(tokens))
             for b in range(BRANCHES):
                 seed = _mix(node + np.uint64(7919 * (b + 1)))
                 child = _mix(seed * np.uint64(0x9E3779B97F4A7C15) + tokens[rows, (seed % np.uint64(FUNCTIONS)).astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column(1)], names=["node", "rep"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(child.view(np.int64)), part.column(2)], names=["tree", "node", "rep"])
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -134,41 +143,90 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(est[ok])], names=["a", "b", "est"])
 
 
+def _pairs(block: dict[str, np.ndarray], tree: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, estimates): likely similar members of different components in a block.
+
+    A block compared with itself has only left members; else left ones meet those that are not.  A
+    pair that shares a node of an earlier tree too is left to that tree.
+    """
+    rep, comp, n, left, prints, trail = (block[k] for k in ("rep", "comp", "n", "left", "prints", "trail"))
+    alone = bool(left.all())
+    for i in np.flatnonzero(left):
+        at = np.flatnonzero((comp != comp[i]) & _fits(n, n[i]) & ((rep > rep[i]) if alone else ~left))
+        if len(at) and tree:
+            at = at[~(trail[at, :tree] == trail[i, :tree]).any(axis=1)]
+        if len(at):
+            est = _similar(prints[at], prints[i])
+            good = est >= LEAST_ESTIMATE
+            if good.any():
+                yield int(i), at[good], est[good]
+
+
+def _block(entries: pa.Array) -> dict[str, np.ndarray]:
+    out = {k: np.asarray(entries.field(k)) for k in ("rep", "comp", "n", "left")}
+    return out | {"prints": _matrix(entries.field("prints"), np.uint8), "trail": _matrix(entries.field("trail"), np.uint32)}
+
+
+_FOUND = "node long, i int, j int, a long, b long"
+
+
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similar pairs of different components within each block of at most about 2 * BLOCK members."""
+    """The likely pairs of each block; of a block with more of them than SPARSE times its members
+    only its name, with null for the pair."""
     for batch in batches:
-        for row in batch.column(0):
-            row = row.values
-            rep, comp, n, left = (np.asarray(row.field(k)) for k in ("rep", "comp", "n", "left"))
-            prints = _matrix(row.field("prints"), np.uint8)
-            # one block against itself, or the left block against another one
-            out_a, out_b, out_e = [], [], []
-            alone = bool(left.all())
-            for i in np.flatnonzero(left):
-                ok = (comp != comp[i]) & _fits(n, n[i]) & ((rep > rep[i]) if alone else ~left)
-                at = np.flatnonzero(ok)
-                if len(at):
-                    est = _similar(prints[at], prints[i])
-                    good = est >= LEAST_ESTIMATE
-                    at, est = at[good], est[good]
-                    out_a.append(np.minimum(rep[at], rep[i]))
-                    out_b.append(np.maximum(rep[at], rep[i]))
-                    out_e.append(est)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_e)], names=["a", "b", "est"])
+        for r in range(batch.num_rows):
+            node, i, j, tree = (batch.column(c)[r].as_py() for c in range(4))
+            block = _block(batch.column(4)[r].values)
+            rep, out_a, out_b, room = block["rep"], [], [], SPARSE * len(block["rep"])
+            for k, at, _ in _pairs(block, tree):
+                out_a.append(np.minimum(rep[at], rep[k]))
+                out_b.append(np.maximum(rep[at], rep[k]))
+                room -= len(at)
+                if room < 0:
+                    break
+            if not out_a:
+                continue
+            a, b = (pa.array([None], pa.int64()), pa.array([None], pa.int64())) if room < 0 else (pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)))
+            yield pa.RecordBatch.from_arrays([pa.array([node] * len(a), pa.int64()), pa.array([i] * len(a), pa.int32()), pa.array([j] * len(a), pa.int32()), a, b], names=["node", "i", "j", "a", "b"])
+
+
+def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within dense blocks, confirmed on the full sets; no more than join the components."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            tree, entries = batch.column(0)[r].as_py(), batch.column(1)[r].values
+            block = _block(entries)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in entries.field("members")]
+            root = {int(c): int(c) for c in block["comp"]}
+
+            def find(c: int, root: dict = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            out_a, out_b = [], []
+            for k, at, est in _pairs(block, tree):
+                for m in at[np.argsort(-est, kind="stable")]:
+                    x, y = find(int(block["comp"][k])), find(int(block["comp"][m]))
+                    if x != y and _enough(sets[k], sets[m]):
+                        root[x] = y
+                        out_a.append(block["rep"][k])
+                        out_b.append(block["rep"][m])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def _enough(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return OF * both >= ABOVE * (len(x) + len(y) - both)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(OF * both >= ABOVE * (len(x) + len(y) - both))
-        mask = pa.array(keep, pa.bool_())
+        sets = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for pair in zip(batch.column(2), batch.column(3)) for x in pair)
+        mask = pa.array([_enough(x, y) for x, y in zip(sets, sets)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
@@ -194,11 +252,11 @@ def _mixed(members: DataFrame) -> DataFrame:
     """Members of nodes with several components: size, the largest component and how many others."""
     by = members.groupBy("node", "comp").agg(F.count("*").alias("k"))
     nodes = by.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("most")).select("node", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.k")).alias("minor")).where("minor > 0")
-    return members.select("node", "rep", "comp").join(nodes, "node")
+    return members.select("tree", "node", "rep", "comp").join(nodes, "node")
 
 
-def _blocks(members: DataFrame, prints: DataFrame) -> DataFrame:
-    """Similar pairs of different components within nodes, compared block by block.
+def _dealt(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """Members of mixed nodes by blocks (i, j) to be compared.
 
     A node of up to BLOCK members is one block.  In a larger one the members outside its largest
     component form blocks of their own, each compared with itself and with every other block; the
@@ -219,9 +277,18 @@ def _blocks(members: DataFrame, prints: DataFrame) -> DataFrame:
             F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
-    dealt = placed.join(prints, "rep").withColumn("at", F.explode(meets))
-    entry = F.struct("rep", "comp", "n", "prints", (F.col("own") == F.col("at.i")).alias("left"))
-    return dealt.groupBy("node", F.col("at.i"), F.col("at.j")).agg(F.collect_list(entry).alias("block")).select("block").mapInArrow(_compare_blocks, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+    return placed.join(prints, "rep").withColumn("at", F.explode(meets)).select("tree", "node", "at.i", "at.j", "rep", "comp", "n", "prints", "trail", (F.col("own") == F.col("at.i")).alias("left"))
+
+
+def _new_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the blocks' members beyond those within components."""
+    entry = ["rep", "comp", "n", "prints", "trail", "left"]
+    blocks = dealt.groupBy("node", "i", "j", "tree").agg(F.collect_list(F.struct(*entry)).alias("block"))
+    found = stored(blocks.mapInArrow(_compare_blocks, _FOUND), "found")
+    sparse = _links(found.where("a is not null").select("a", "b").distinct(), sets)
+    dense = dealt.join(found.where("a is null").select("node", "i", "j"), ["node", "i", "j"], "left_semi").join(sets, "rep")
+    full = dense.groupBy("node", "i", "j", "tree").agg(F.collect_list(F.struct(*entry, "members")).alias("block")).select("tree", "block")
+    return stored(sparse.union(full.mapInArrow(_link_blocks, "a long, b long")), "links")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -252,10 +319,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = classes.groupBy("rep").agg(F.min(F.struct("n", "h1", "h2")).alias("k")).select(F.col("rep").alias("doc_id"), "k.n", "k.h1", "k.h2")
     reps = signed.join(chosen, ["doc_id", "n", "h1", "h2"]).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     reps = stored(reps, "reps")
-    paths = reps.select("rep", "tokens").mapInArrow(_paths, "node long, rep long")
+    paths = reps.select("rep", "tokens").mapInArrow(_paths, "tree int, node long, rep long")
     members = stored(_occupied(paths), "members")
     inside = stored(members.select("rep").distinct(), "inside")
-    prints = stored(reps.join(inside, "rep").select("rep", "n", "tokens").mapInArrow(_prints, "rep long, n long, prints binary"), "prints")
+    prints = stored(reps.join(inside, "rep").select("rep", "n", "tokens").mapInArrow(_prints, "rep long, n long, prints binary, trail binary"), "prints")
     near = _few(inside.select(F.col("rep").alias("doc_id")))
     every = source.join(near, "doc_id", "left_semi").mapInArrow(_sets, "rep long, n long, h1 long, h2 long, members binary")
     sets = stored(every.join(reps.select("rep", "n", "h1", "h2"), ["rep", "n", "h1", "h2"]).select("rep", "members").dropDuplicates(["rep"]), "sets")
@@ -270,28 +337,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = _named(connected_components(links))
 
     # Round 2: all pairs of a node whose components differ; large nodes branch first.
-    todo, found = stored(_mixed(_labelled(members, comps)), "mixed"), None
+    todo = stored(_mixed(_labelled(members, comps)), "mixed")
     for level in range(LEVELS + 1):
         large = F.lit(False) if level == LEVELS else (F.col("size") > BLOCK) & (F.col("size") * F.col("minor") > WORK)
-        pairs = stored(_blocks(todo.where(~large), prints), "pairs")
-        found = pairs if found is None else found.union(pairs)
+        links = links.union(_new_links(_dealt(todo.where(~large), prints), sets))
         rest = todo.where(large)
         if level == LEVELS or rest.isEmpty():
             break
-        below = rest.select("node", "rep").join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(_children, "node long, rep long")
+        below = rest.select("tree", "node", "rep").join(reps.select("rep", "tokens"), "rep").select("tree", "node", "rep", "tokens").mapInArrow(_children, "tree int, node long, rep long")
         todo = stored(_mixed(_labelled(_occupied(below), comps)), "mixed")
-    found = stored(found.groupBy("a", "b").agg(F.max("est").alias("est")), "found")
-
-    # Confirm the likeliest partners of each document first; then whatever still joins two components.
-    ends = found.select(F.col("a").alias("x"), "a", "b", "est").union(found.select(F.col("b").alias("x"), "a", "b", "est"))
-    top = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
-    links = stored(links.union(_links(top, sets)), "links")
     comps = _named(connected_components(links))
-    ca, cb = comps.select(F.col("node_").alias("a"), F.col("component").alias("ca")), comps.select(F.col("node_").alias("b"), F.col("component").alias("cb"))
-    open_ = found.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(top, ["a", "b"], "left_anti")
-    more = stored(_links(stored(open_.select("a", "b"), "open"), sets), "links")
-    if not more.isEmpty():
-        comps = _named(connected_components(links.union(more)))
 
     named = classes.join(comps, classes.rep == comps.node_, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
@@ -300,10 +355,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low byte of each minwise token."""
+    """The low byte of each minwise token, and 32 bits of each tree's node."""
     for batch in batches:
-        prints = np.ascontiguousarray(_matrix(batch.column(2), np.uint32).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_column(prints.ravel(), np.arange(len(prints) + 1) * FUNCTIONS)], names=["rep", "n", "prints"])
+        tokens = _matrix(batch.column(2), np.uint32)
+        prints, trail, rows = tokens.astype(np.uint8), _nodes(tokens).astype(np.uint32), np.arange(len(tokens) + 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_column(prints.ravel(), rows * FUNCTIONS), binary_column(trail.ravel(), rows * TREES)], names=["rep", "n", "prints", "trail"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
