@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op4_bpe_codec
 from .decontaminate import op3_decontamination
+from .license_scan import op10_license_scan
 from .near_dedup import op5_near_dedup
 from .quality_rules import op8_quality_rules
 from .sharding import op1_sharding
@@ -13,6 +14,7 @@ from .token_files import op6_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op10_license_scan": op10_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_near_dedup": op5_near_dedup,
