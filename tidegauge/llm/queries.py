@@ -6,6 +6,7 @@ from .bpe_codec import op4_bpe_codec
 from .decontaminate import op3_decontamination
 from .license_scan import op10_license_scan
 from .near_dedup import op5_near_dedup
+from .quality_lm import op2_quality_lm
 from .quality_rules import op8_quality_rules
 from .sharding import op1_sharding
 from .substring_dedup import op9_substring_dedup
@@ -14,7 +15,7 @@ from .token_files import op6_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
-    "op10_license_scan": op10_license_scan,
+    "op2_quality_lm": op2_quality_lm,
     "op3_decontamination": op3_decontamination,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_near_dedup": op5_near_dedup,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
