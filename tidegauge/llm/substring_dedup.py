@@ -156,16 +156,16 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the names of the two new ones are replaced, all others are kept.
     """
     docs = docs.drop("deduped", "removed")
-    body = "body_"
-    while body in docs.columns:
-        body += "_"
+    body, own = "body_", "spans_"
+    while {body, own} & set(docs.columns):
+        body, own = body + "_", own + "_"
     keyed = docs.withColumn(body, F.xxhash64(text_col))
     occ = stored(keyed.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(text_col).alias("text")).mapInArrow(_occurrences, _OCCURRENCE), "units")
     first = occ.groupBy("hash", "line").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = occ.join(first, ["hash", "line"]).where(F.when(F.col("line"), F.struct("doc_id", "at") > F.col("first")).otherwise(F.col("doc_id") > F.col("first.doc_id")))
-    spans = later.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", F.col("first.doc_id").alias("keeper")))).alias("spans_"))
-    spans = spans.select(F.col("doc_id").alias("id_"), F.col("body").alias("of_"), "spans_")
-    joined = keyed.join(spans, (keyed[id_col] == spans.id_) & (keyed[body] == spans.of_), "left").select(*(keyed[c] for c in docs.columns), spans.spans_)
+    spans = later.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", F.col("first.doc_id").alias("keeper")))).alias(own))
+    spans = spans.select(F.col("doc_id").alias("id_"), F.col("body").alias("of_"), own)
+    joined = keyed.join(spans, (keyed[id_col] == spans.id_) & (keyed[body] == spans.of_), "left").select(*(keyed[c] for c in docs.columns), spans[own])
     names, at = docs.columns, docs.columns.index(text_col)
     cut_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("keeper", pa.int64())]))
 
