@@ -31,7 +31,7 @@ from .tables import table, tokenizer_path
 IDS = 1 << 16
 START = IDS - 1
 #: Pieces that a block of documents holds about; bounds a task's arrays.
-BLOCK_PIECES = 4_000_000
+BLOCK_PIECES = 2_000_000
 #: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
 QUANTILE, SLACK = 0.995, 1.25
 #: A short text says little: its mean is taken with so many pieces of its language's trusted mean.
@@ -225,13 +225,23 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
 
         def out() -> pa.RecordBatch:
             # one entry for each bigram of a document, sorted by bigram, with its number of times
-            joint = np.concatenate(keys).astype(np.uint64) << np.uint64(32) | np.concatenate(docs_).astype(np.uint64)
-            joint, times = np.unique(joint, return_counts=True)
+            joint = np.concatenate(keys).astype(np.uint64)
+            keys.clear()
+            joint <<= np.uint64(32)
+            joint |= np.concatenate(docs_)
+            docs_.clear()
+            joint.sort()
+            at = np.flatnonzero(np.concatenate([[True], joint[1:] != joint[:-1]])) if len(joint) else np.zeros(0, np.int64)
+            times = np.diff(np.append(at, len(joint)))
+            joint = joint[at]
             key, doc = (joint >> np.uint64(32)).astype(np.uint32), (joint & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             head = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
             sent = [(s, _pack(_steps(key[at]), doc[at], times[at].astype(np.uint32))) for s, at in _by_shard(key, shards)]
             flags = _pack(np.asarray(head.column(3)).astype(np.uint8))
-            meta = [_table(head)] + [None] * (len(sent) - 1) if sent else []
+            # the documents' columns go along once, with a shard that differs from block to block
+            meta = [None] * len(sent)
+            if sent:
+                meta[block % len(sent)] = _table(head)
             if not sent:
                 sent, meta = [(0, _pack(key, doc, times.astype(np.uint32)))], [_table(head)]
             return pa.RecordBatch.from_arrays(
@@ -246,7 +256,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
                     block = part.column(0)[0].as_py()
                 k, n = _bigrams(encoder, texts)
                 keys.append(k)
-                docs_.append(np.repeat(np.arange(len(texts)), n) + n_docs)
+                docs_.append(np.repeat(np.arange(n_docs, n_docs + len(texts), dtype=np.uint32), n))
                 heads.append(pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), part.column(4), pa.array(n)], names=["doc_id", "body", "lang", "trusted", "n_pieces"]))
                 n_docs, n_held = n_docs + len(texts), n_held + len(k)
                 if n_held > BLOCK_PIECES or n_docs > 500_000:
