@@ -3,8 +3,8 @@
 Units are hashed, digests are grouped globally, the earliest ranked occurrence stays and the others
 go, with their places in the original text retained.  Units are lines; and, for passages that stand
 inside longer lines or across line breaks, runs of RUN words chosen by winnowing (Schleimer et al.,
-2003): of any RUN + WINDOW - 1 = 50 consecutive words that two documents have in common both select
-the same run.
+2003): of any RUN + WINDOW - 1 = 49 consecutive words that two documents have in common both select
+the same run.  Selected runs begin at most WINDOW = RUN words apart, so no word is left between them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .textvec import Words, _mix, chunks, combine, ranges
 #: Words that a line needs to be a unit.
 LINE_WORDS = 5
 #: Words of a run, and consecutive runs of which the least hash is selected.
-RUN, WINDOW = 25, 26
+RUN, WINDOW = 25, 25
 
 _OCCURRENCE = "hash long, doc_id long, body long, at int, n int, line boolean"
 
@@ -146,8 +146,8 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Units are compared by their words with A-Z lowered; white space does not count.  A line of at
     least LINE_WORDS words goes if an equal line stands in a document of a smaller id or before it
-    in the same one.  A run goes if it stands in a document of a smaller id; any 50 words in a row
-    that a document of a smaller id has are thereby broken up.  A hot digest is a minimum that
+    in the same one.  A run goes if it stands in a document of a smaller id; any 49 words in a row
+    that a document of a smaller id has lose a run.  A hot digest is a minimum that
     combines before the shuffle; no group of occurrences meets in one task.
 
     A null text stays null with nothing removed; an empty text stays empty.  Rows of one id are
