@@ -36,12 +36,17 @@ TEMPLATES = [
 ]
 #: Least cosine of a notice.
 LEAST_COSINE = 0.75
-#: Words too common to look for, as long as they cannot reach LEAST_COSINE alone.
-COMMON = ["0", "1", "2", "3", "4", "2004", "v", "the", "of", "to", "and", "is", "this", "in", "or", "a", "any", "with", "are", "that", "by", "has", "all", "under", "for", "work", "use"]
+#: Words too common to look for, as long as they cannot reach LEAST_COSINE alone: function words
+#: first, then digits, then words of general English.
+COMMON = (
+    "the of to and is this in or a any with are that by has all under for 0 1 2 3 4 v work use met law form forms "
+    "free following person public general source possible provided subject without copy conditions author terms "
+    "version extent code related files associated charge documentation permitted binary rights software january"
+).split()
 #: Directories that are broadcast at most; beyond, the join shuffles.
 BROADCAST_DIRS = 500_000
 
-_TERM = r"[\p{L}\p{N}]+"
+_TERM, _BREAK = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 _UNIT = r"\n|(?<=[.!?])\s+"
 
 
@@ -107,11 +112,10 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     that a directory may hold any share of the files.  A null path is a file at the root, a null or
     empty text has no notice.  Rows are told apart by id and path; equal rows have equal results.
     """
-    keys = "|".join(key_terms(least))
-    pattern = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{keys})(?![\p{{L}}\p{{N}}])"
+    keys = F.array(*(F.lit(k) for k in key_terms(least)))
     base = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    likely = base.where(F.col("text").rlike(pattern))
-    units = likely.select("id", "path", F.size(_terms(F.col("text"))).alias("words"), F.posexplode(F.split("text", _UNIT)).alias("pos", "unit")).where(F.col("unit").rlike(pattern))
+    likely = base.where(F.arrays_overlap(F.split(F.lower("text"), _BREAK), keys))
+    units = likely.select("id", "path", F.size(_terms(F.col("text"))).alias("words"), F.posexplode(F.split("text", _UNIT)).alias("pos", "unit")).where(F.arrays_overlap(F.split(F.lower("unit"), _BREAK), keys))
     units = units.withColumn("unit", F.trim("unit"))
     notices = match_notices(units.select("unit").distinct(), least)
     found = units.join(notices, "unit").withColumn("n", F.size(_terms(F.col("unit"))))
