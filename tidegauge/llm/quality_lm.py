@@ -31,7 +31,7 @@ from .tables import table, tokenizer_path
 IDS = 1 << 16
 START = IDS - 1
 #: Pieces that a block of documents holds about; bounds a task's arrays.
-BLOCK_PIECES = 2_000_000
+BLOCK_PIECES = 1_000_000
 #: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
 QUANTILE, SLACK = 0.995, 1.25
 #: A short text says little: its mean is taken with so many pieces of its language's trusted mean.

@@ -35,6 +35,17 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Python workers serve many stages and keep what their allocators don't return: with these, large
+#: arrays and Arrow batches go back to the system when freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 24), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Have Python workers started from now on return freed memory; settings of the caller stay."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def put_file(spark: SparkSession, data: bytes, name: str) -> str:
     """Write bytes to the shared folder through Hadoop's file system and have Spark hand the file
     to each executor; the result is the name to give to ``SparkFiles.get`` there."""
