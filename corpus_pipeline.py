@@ -14,33 +14,38 @@ from tidegauge.llm.bpe_codec import decode, encode
 from tidegauge.llm.decontaminate import decontaminate
 from tidegauge.llm.near_dedup import drop_near_duplicates
 from tidegauge.llm.quality_lm import drop_low_quality
-from tidegauge.llm.shared import stored
+from tidegauge.llm.shared import lean_workers, stored
 from tidegauge.llm.substring_dedup import dedup_substrings
 from tidegauge.llm.tables import table, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the perplexity classifier rejects go."""
+    lean_workers(spark)
     return drop_low_quality(docs, table(spark, sf_dir, "labels"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the least id."""
+    lean_workers(spark)
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines and passages that stand in an earlier place go from the texts; every document stays."""
+    lean_workers(spark)
     return dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    lean_workers(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and digests of the ids and of what they decode to."""
+    lean_workers(spark)
     path = tokenizer_path("word_bpe_49k.json")
     done = decode(encode(docs, path), path)
     return done.select(
