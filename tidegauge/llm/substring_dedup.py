@@ -5,6 +5,11 @@ go, with their places in the original text retained.  Units are lines; and, for
 inside longer lines or across line breaks, runs of RUN words chosen by winnowing (Schleimer et al.,
 2003): of any RUN + WINDOW - 1 = 49 consecutive words that two documents have in common both select
 the same run.  Selected runs begin at most WINDOW = RUN words apart, so no word is left between them.
+
+What a passage has before its first selected run and after its last, up to WINDOW - 1 words each, is
+found in a second pass: next to the repeated runs at which words stay, every run of RUN words is hashed
+in all documents that selected the same run, and those that stand in a document of a
+smaller id go too.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ LINE_WORDS = 5
 RUN, WINDOW = 25, 25
 
 _OCCURRENCE = "hash long, doc_id long, body long, at int, n int, line boolean"
+_EDGE = "hash long, before boolean, after boolean"
+_RUN = "hash long, doc_id long, body long, at int, later boolean"
 
 
 def _line_of_word(words: Words) -> np.ndarray:
@@ -104,6 +111,63 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the repeated runs with a word that stays among the WINDOW - 1 before or after them.
+
+    Each row has the spans of one document, by where they begin.
+    """
+    for batch in batches:
+        spans = batch.column(0)
+        flat, doc = spans.flatten(), np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)))
+        if not len(flat):
+            continue
+        at, n, line, digest = (np.asarray(flat.field(k)) for k in ("at", "n", "line", "hash"))
+        begin = at + (doc << 32)  # documents lie far apart
+        reach = np.maximum.accumulate(begin + n)
+        # stretches without a word that stays: where each begins and ends
+        fresh = np.concatenate([[True], begin[1:] > reach[:-1]])
+        stretch = np.cumsum(fresh) - 1
+        head = begin[fresh][stretch]
+        tail = reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(reach) - 1)][stretch]
+        before = (begin - head < WINDOW - 1) & (head & 0xFFFFFFFF > 0)
+        after = tail - (begin + RUN) < WINDOW - 1
+        keep = ~line & (before | after)
+        yield pa.RecordBatch.from_arrays([pa.array(digest[keep]), pa.array(before[keep]), pa.array(after[keep])], names=["hash", "before", "after"])
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of RUN words that begin up to WINDOW - 1 words before or after given ones, and those;
+    ``later`` where one of the given is."""
+    for batch in batches:
+        ids, bodies = batch.column(0), batch.column(1)
+        for rows, words in chunks(batch):
+            spots = batch.column(3).slice(rows.start, words.n_docs)
+            flat, doc = spots.flatten(), np.repeat(np.arange(words.n_docs), np.diff(np.asarray(spots.offsets)))
+            grams = combine(words.hashes(lower=True), RUN)
+            if not len(flat) or not len(grams):
+                continue
+            at = np.asarray(flat.field("at")) + words.first[doc]
+            low = np.where(np.asarray(flat.field("before")), np.maximum(at - WINDOW + 1, words.first[doc]), at)
+            high = np.where(np.asarray(flat.field("after")), np.minimum(at + WINDOW - 1, words.first[doc + 1] - RUN), at)
+            every, later = ranges(low, high - low + 1), np.repeat(np.asarray(flat.field("later")), high - low + 1)
+            place = np.unique(every)
+            later = np.isin(place, every[later])
+            doc = np.searchsorted(words.first, place, side="right") - 1
+            part = pa.array(doc + rows.start)
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(grams[place]).view(np.int64)), ids.take(part), bodies.take(part), pa.array((place - words.first[doc]).astype(np.int32)), pa.array(later)], names=["hash", "doc_id", "body", "at", "later"])
+
+
+def _extended(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, body, at, n, keeper) of the runs next to repeated ones that a smaller id has too."""
+    spans = shared.where("later").groupBy("doc_id", "body").agg(F.array_sort(F.collect_list(F.struct("at", "n", "line", "hash"))).alias("spans")).select("spans")
+    edges = spans.mapInArrow(_edges, _EDGE).groupBy("hash").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    spots = shared.where(~F.col("line")).join(edges, "hash").groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "before", "after", "later")).alias("spots"))
+    near = texts.join(spots, ["doc_id", "body"]).select("doc_id", "body", "text", "spots")
+    runs = stored(near.mapInArrow(_around, _RUN), "runs")
+    first = runs.groupBy("hash").agg(F.min("doc_id").alias("keeper"))
+    return runs.where("later").join(first, "hash").where("doc_id > keeper").select("doc_id", "body", "at", F.lit(RUN).alias("n"), "keeper")
+
+
 def _char_at(words: Words, doc: int) -> np.ndarray:
     """Code points before each byte of a document, with a last entry for all of them."""
     part = words.data[words.text_start[doc] : words.text_start[doc + 1]]
@@ -147,8 +211,8 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Units are compared by their words with A-Z lowered; white space does not count.  A line of at
     least LINE_WORDS words goes if an equal line stands in a document of a smaller id or before it
     in the same one.  A run goes if it stands in a document of a smaller id; any 49 words in a row
-    that a document of a smaller id has lose a run.  A hot digest is a minimum that
-    combines before the shuffle; no group of occurrences meets in one task.
+    or more that a document of a smaller id has go whole, to both ends.  A hot digest is a minimum
+    that combines before the shuffle; no group of occurrences meets in one task.
 
     A null text stays null with nothing removed; an empty text stays empty.  Rows of one id are
     ranked alike: equal rows keep and lose the same, and different texts of one id are told apart by
@@ -160,10 +224,14 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     while {body, own} & set(docs.columns):
         body, own = body + "_", own + "_"
     keyed = docs.withColumn(body, F.xxhash64(text_col))
-    occ = stored(keyed.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(text_col).alias("text")).mapInArrow(_occurrences, _OCCURRENCE), "units")
+    texts = keyed.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(text_col).alias("text"))
+    occ = stored(texts.mapInArrow(_occurrences, _OCCURRENCE), "units")
     first = occ.groupBy("hash", "line").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = occ.join(first, ["hash", "line"]).where(F.when(F.col("line"), F.struct("doc_id", "at") > F.col("first")).otherwise(F.col("doc_id") > F.col("first.doc_id")))
-    spans = later.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", F.col("first.doc_id").alias("keeper")))).alias(own))
+    later = F.when(F.col("line"), F.struct("doc_id", "at") > F.col("first")).otherwise(F.col("doc_id") > F.col("first.doc_id"))
+    shared = occ.join(first, ["hash", "line"]).select("hash", "doc_id", "body", "at", "n", "line", F.col("first.doc_id").alias("keeper"), later.alias("later"))
+    shared = stored(shared, "shared")
+    gone = shared.where("later").select("doc_id", "body", "at", "n", "keeper").union(_extended(texts, shared))
+    spans = gone.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", "keeper"))).alias(own))
     spans = spans.select(F.col("doc_id").alias("id_"), F.col("body").alias("of_"), own)
     joined = keyed.join(spans, (keyed[id_col] == spans.id_) & (keyed[body] == spans.of_), "left").select(*(keyed[c] for c in docs.columns), spans[own])
     names, at = docs.columns, docs.columns.index(text_col)
