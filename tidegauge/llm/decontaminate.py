@@ -5,7 +5,9 @@ has a five-word shingle in common with an item (without one, the similarity is 0
 each item gets a 64-bit SimHash of its words.  The fingerprints are cut into BLOCKS blocks; two
 fingerprints within RADIUS bits of each other agree in some block up to RADIUS // BLOCKS bits, so
 the items' blocks with all such changes, joined by equality, find every pair within the radius.
-Candidates are verified by the exact weighted similarity of their five-word shingles.
+Windows with foreign or missing ends can be similar at more bits; so a window is a candidate for the
+items that it was laid for at any distance.  Candidates are verified by the exact weighted similarity
+of their five-word shingles.
 """
 
 from __future__ import annotations
@@ -108,14 +110,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         hits = found if hits is None else hits.union(found)
     if hits is None:
         hits = split.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("m"), F.lit(0).alias("start")).limit(0)
-    # windows to lay: by start and size, whichever item led there
-    starts = hits.groupBy("doc_id", "start", "m").agg(F.count("*").alias("shared")).drop("shared")
+    # windows to lay: by start and size, with the items that led there
+    starts = hits.groupBy("doc_id", "start", "m").agg(F.collect_set(F.struct("item_id")).alias("led"))
     laid = stored(starts, "starts")
     with_hits = _side(laid.select("doc_id").distinct())
     texts = source.join(with_hits, "doc_id", "left_semi").select("doc_id", _words(F.col("text")).alias("w"))
     begin = F.greatest("start", F.lit(0))
     windows = texts.join(laid, "doc_id").withColumn("win", F.slice("w", begin + 1, F.greatest(F.least(F.col("start") + F.col("m"), F.size("w")) - begin, F.lit(0))))
-    windows = windows.where(F.size("win") > 0).select("doc_id", "start", "m", "win", F.xxhash64("win", "m").alias("key"))
+    windows = windows.where(F.size("win") > 0).select("doc_id", "start", "m", "win", "led", F.xxhash64("win", "m").alias("key"))
     windows = stored(windows, "windows")
     distinct = windows.groupBy("key", "m").agg(F.first("win").alias("win"))
     distinct = distinct.select("key", "m", _shingles("win").alias("wg"), _simhash("win").alias("wp"))
@@ -125,7 +127,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     near_items = _side(printed.select("item_id", "m", "ig", "ip", F.explode(F.flatten(changed)).alias("at")).select("item_id", "m", "ig", "ip", "at.block", "at.value"))
     probes = distinct.withColumn("at", F.explode(_blocks(F.col("wp")))).select("key", "m", "wg", "wp", "at.block", "at.value")
     candidates = probes.join(near_items, ["block", "value", "m"]).where(F.bit_count(F.col("wp").bitwiseXOR(F.col("ip"))) <= RADIUS)
-    scored = candidates.withColumn("s", similarity(F.col("wg"), F.col("ig"))).where(F.col("s") * OF >= ABOVE)
+    led = windows.select("key", "m", F.explode("led").alias("by")).select("key", "m", F.col("by.item_id").alias("led_id")).distinct()
+    own = _side(printed.select("item_id", F.col("m").alias("own_m"), "ig"))
+    aligned = distinct.select("key", "m", "wg").join(led, ["key", "m"]).join(own, F.col("item_id").eqNullSafe(F.col("led_id")) & (F.col("m") == F.col("own_m")))
+    either = candidates.select("key", "m", "wg", "item_id", "ig").union(aligned.select("key", "m", "wg", "item_id", "ig"))
+    scored = either.withColumn("s", similarity(F.col("wg"), F.col("ig"))).where(F.col("s") * OF >= ABOVE)
     verified = scored.groupBy("key", "m", "item_id").agg(F.max("s").alias("similarity"))
 
     matched = windows.select("doc_id", "start", "m", "key").join(verified, ["key", "m"])
