@@ -147,14 +147,16 @@ def _pairs(block: dict[str, np.ndarray], tree: int) -> Iterator[tuple[int, np.nd
     """(i, others, estimates): likely similar members of different components in a block.
 
     A block compared with itself has only left members; else left ones meet those that are not.  A
-    pair that shares a node of an earlier tree too is left to that tree.
+    pair that shares a node of an earlier tree too is left to that tree, unless that node branched:
+    its pairs are compared only where they share a child.
     """
-    rep, comp, n, left, prints, trail = (block[k] for k in ("rep", "comp", "n", "left", "prints", "trail"))
+    rep, comp, n, left, prints, trail, branched = (block[k] for k in ("rep", "comp", "n", "left", "prints", "trail", "branched"))
     alone = bool(left.all())
     for i in np.flatnonzero(left):
         at = np.flatnonzero((comp != comp[i]) & _fits(n, n[i]) & ((rep > rep[i]) if alone else ~left))
         if len(at) and tree:
-            at = at[~(trail[at, :tree] == trail[i, :tree]).any(axis=1)]
+            whole = np.flatnonzero(branched[i] >> np.arange(tree) & 1 == 0)
+            at = at[~(trail[np.ix_(at, whole)] == trail[i, whole]).any(axis=1)]
         if len(at):
             est = _similar(prints[at], prints[i])
             good = est >= LEAST_ESTIMATE
@@ -163,7 +165,7 @@ def _pairs(block: dict[str, np.ndarray], tree: int) -> Iterator[tuple[int, np.nd
 
 
 def _block(entries: pa.Array) -> dict[str, np.ndarray]:
-    out = {k: np.asarray(entries.field(k)) for k in ("rep", "comp", "n", "left")}
+    out = {k: np.asarray(entries.field(k)) for k in ("rep", "comp", "n", "left", "branched")}
     return out | {"prints": _matrix(entries.field("prints"), np.uint8), "trail": _matrix(entries.field("trail"), np.uint32)}
 
 
@@ -255,6 +257,14 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.select("tree", "node", "rep", "comp").join(nodes, "node")
 
 
+def _marked(prints: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``prints`` with a bit in ``branched`` for each tree in which the member's node branches."""
+    if rest is None:
+        return prints.withColumn("branched", F.lit(0).cast("long"))
+    bits = rest.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).alias("branched"))
+    return stored(prints.join(bits, "rep", "left").withColumn("branched", F.coalesce("branched", F.lit(0).cast("long"))), "marked")
+
+
 def _dealt(members: DataFrame, prints: DataFrame) -> DataFrame:
     """Members of mixed nodes by blocks (i, j) to be compared.
 
@@ -277,12 +287,12 @@ def _dealt(members: DataFrame, prints: DataFrame) -> DataFrame:
             F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
-    return placed.join(prints, "rep").withColumn("at", F.explode(meets)).select("tree", "node", "at.i", "at.j", "rep", "comp", "n", "prints", "trail", (F.col("own") == F.col("at.i")).alias("left"))
+    return placed.join(prints, "rep").withColumn("at", F.explode(meets)).select("tree", "node", "at.i", "at.j", "rep", "comp", "n", "prints", "trail", "branched", (F.col("own") == F.col("at.i")).alias("left"))
 
 
 def _new_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of the blocks' members beyond those within components."""
-    entry = ["rep", "comp", "n", "prints", "trail", "left"]
+    entry = ["rep", "comp", "n", "prints", "trail", "branched", "left"]
     blocks = dealt.groupBy("node", "i", "j", "tree").agg(F.collect_list(F.struct(*entry)).alias("block"))
     found = stored(blocks.mapInArrow(_compare_blocks, _FOUND), "found")
     sparse = _links(found.where("a is not null").select("a", "b").distinct(), sets)
@@ -340,9 +350,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     todo = stored(_mixed(_labelled(members, comps)), "mixed")
     for level in range(LEVELS + 1):
         large = F.lit(False) if level == LEVELS else (F.col("size") > BLOCK) & (F.col("size") * F.col("minor") > WORK)
-        links = links.union(_new_links(_dealt(todo.where(~large), prints), sets))
         rest = todo.where(large)
-        if level == LEVELS or rest.isEmpty():
+        last = level == LEVELS or rest.isEmpty()
+        if level == 0:
+            prints = _marked(prints, None if last else rest)
+        links = links.union(_new_links(_dealt(todo.where(~large), prints), sets))
+        if last:
             break
         below = rest.select("tree", "node", "rep").join(reps.select("rep", "tokens"), "rep").select("tree", "node", "rep", "tokens").mapInArrow(_children, "tree int, node long, rep long")
         todo = stored(_mixed(_labelled(_occupied(below), comps)), "mixed")
