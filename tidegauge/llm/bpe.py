@@ -4,24 +4,36 @@ Texts are cut into pre-tokens by character class, equal pre-tokens of a chunk ar
 the merges run on all distinct pre-tokens of the chunk at once: in each round every sequence applies
 its own lowest-rank pair at all places where it stands (rank-synchronous merging).  A pair that
 contains a merged symbol always ranks after the merge that made the symbol, so this gives the same
-symbols as merging one place at a time.
+symbols as merging one place at a time.  A pre-token of more than LONG bytes would hold the rounds of
+all others up; its pairs go through a queue instead, in time that grows little faster than its length.
+
+Which characters are letters or numbers depends on a library's version of Unicode.  Characters that
+Python's tables don't have are looked up once in a worker in the pre-tokenizer of the vocabulary, and
+texts with characters that its normalizer treats in another way than Python go through the former.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+from tokenizers import Tokenizer
 
 from .textvec import Words, ranges, text_buffers
 
 _NONE = np.uint32(0xFFFFFFFF)
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+#: Bytes of a pre-token up to which it is merged in rounds with all others.
+LONG = 128
+#: Text handled at a time; bounds the arrays of a task.
+CHUNK = 1 << 20
 
 
 class PairTable:
@@ -69,17 +81,61 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def char_classes() -> np.ndarray:
-    """SPACE, LETTER, NUMBER or OTHER of each code point."""
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
-        found = "".join(regex.findall(pattern, text))
-        out[np.frombuffer(found.encode("utf-32-le"), dtype=np.uint32)] = kind
+def _python_classes() -> tuple[np.ndarray, np.ndarray]:
+    """SPACE, LETTER, NUMBER or OTHER of each code point, and those that Python's tables don't have.
+
+    Beyond plane 3 there are no letters, numbers or spaces.
+    """
+    out, unknown = np.full(0x110000, OTHER, dtype=np.uint8), np.zeros(0x110000, dtype=bool)
+    kinds = {"L": LETTER, "N": NUMBER}
+    for c in range(0x40000):
+        category = unicodedata.category(chr(c))
+        out[c] = kinds.get(category[0], OTHER)
+        unknown[c] = category == "Cn"
+    # White_Space of the Unicode standard, fixed values
+    out[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    return out, unknown
+
+
+def _classes(pre_tokenizer) -> np.ndarray:
+    """The classes of the code points as a pre-tokenizer of the tokenizers library has them."""
+    known, unknown = _python_classes()
+    out, doubt = known.copy(), np.flatnonzero(unknown)
+    # of "a", a character and "!" a letter joins the first, a number neither, all else the last
+    begins = np.zeros(3 * len(doubt) + 1, dtype=bool)
+    for i in range(0, len(doubt), 4096):
+        part = doubt[i : i + 4096]
+        begins[[3 * i + a for _, (a, _) in pre_tokenizer.pre_tokenize_str("".join(f"a{chr(c)}!" for c in part))]] = True
+    at, after = begins[1::3][: len(doubt)], begins[2::3][: len(doubt)]
+    out[doubt] = np.where(~at, LETTER, np.where(after, NUMBER, OTHER))
+    return out
+
+
+def _normal(text: str) -> str:
+    """Composed form and lower case of each character, by Python's tables."""
+    text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    return text.replace("Σ", "σ").lower()
+
+
+def _differing(normalizer) -> np.ndarray:
+    """Code points that Python's tables don't have or that a normalizer treats in another way."""
+    out = _python_classes()[1].copy()
+    for c in map(chr, range(0x80, 0x40000)):
+        mark, apart = unicodedata.combining(c), unicodedata.normalize("NFD", c)
+        tried = [c, apart] if apart != c or c.lower() != c else []
+        if mark:  # next to a mark of a higher and one of a lower class
+            tried += ["\u0345" + c, "\u0306" + c, c + "\u0323", c + "\u0334"]
+        if any(normalizer.normalize_str(x) != _normal(x) for x in tried):
+            out[[ord(x) for x in c + apart]] = True
     return out
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once in a process."""
+    return Vocabulary(path)
+
+
 class Vocabulary:
     """A BPE vocabulary file in the JSON format of the tokenizers library."""
 
@@ -94,6 +150,10 @@ class Vocabulary:
         #: Words without white space and lower-cased, or GPT-style pieces that carry the space before.
         self.words_only = bool(self.suffix)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        # the library's rules for characters, without its vocabulary
+        rules = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": [], "unk_token": None}, "added_tokens": [], "post_processor": None}))
+        self.normalizer, self.kinds = rules.normalizer, _classes(rules.pre_tokenizer)
+        self.differs = _differing(rules.normalizer) if self.words_only else None
         letters = _byte_letters()
         self.byte_id = np.array([vocab[letters[b]] for b in range(256)], dtype=np.uint32)
         self.last_id = np.array([vocab[letters[b] + self.suffix] for b in range(256)], dtype=np.uint32)
@@ -106,10 +166,68 @@ class Vocabulary:
         self.strings = [""] * size
         for s, i in (vocab | self.special).items():
             self.strings[i] = s
+        self._rank_of: dict[int, int] | None = None
 
     # -- merging ---------------------------------------------------------------------------------
     def merge(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the byte strings data[start:end], one after the other, and the count for each."""
+        long = np.flatnonzero(end - start > LONG)
+        if not len(long):
+            return self._merge_rounds(data, start, end)
+        short = np.flatnonzero(end - start <= LONG)
+        some, n_some = self._merge_rounds(data, start[short], end[short])
+        more = [self._merge_queue(data[a:b]) for a, b in zip(start[long], end[long])]
+        n = np.zeros(len(start), dtype=np.int64)
+        n[short], n[long] = n_some, [len(x) for x in more]
+        at, flat = np.cumsum(n) - n, np.empty(int(n.sum()), dtype=np.uint16)
+        flat[ranges(at[short], n_some)] = some
+        flat[ranges(at[long], n[long])] = np.concatenate(more)
+        return flat, n
+
+    def _merge_queue(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one byte string: its pairs by rank and place, from a queue."""
+        if self._rank_of is None:
+            used = self.ranks.keys != _NONE
+            self._rank_of = dict(zip(self.ranks.keys[used].tolist(), self.ranks.values[used].tolist()))
+        rank_of, made = self._rank_of, self.made
+        sym = self.byte_id[data].tolist()
+        if self.suffix:
+            sym[-1] = int(self.last_id[data[-1]])
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = self.ranks.get(np.array(sym[:-1], np.uint32) << np.uint32(16) | np.array(sym[1:], np.uint32))
+        at = np.flatnonzero(pairs != _NONE)
+        queue = (pairs[at].astype(np.int64) << 32 | at).tolist()
+        heapq.heapify(queue)
+        while queue:
+            first = heapq.heappop(queue)
+            rank, i = first >> 32, first & 0xFFFFFFFF
+            j = after[i]
+            if sym[i] < 0 or j >= n or rank_of.get(sym[i] << 16 | sym[j]) != rank:
+                continue
+            sym[i], sym[j] = int(made[rank]), -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                rank = rank_of.get(sym[i] << 16 | sym[k])
+                if rank is not None:
+                    heapq.heappush(queue, rank << 32 | i)
+            h = before[i]
+            if h >= 0:
+                rank = rank_of.get(sym[h] << 16 | sym[i])
+                if rank is not None:
+                    heapq.heappush(queue, rank << 32 | h)
+        return np.array([x for x in sym if x >= 0], dtype=np.uint16)
+
+    def normalized(self, part: str) -> str:
+        """A text in composed form and lower case, as the vocabulary has its words."""
+        if part.isascii():
+            return part.lower()
+        if self.differs[np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)].any():
+            return self.normalizer.normalize_str(part)
+        return _normal(part)
+
+    def _merge_rounds(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = end - start
         n = len(start)
         counts = np.zeros(n, dtype=np.int64)
@@ -178,10 +296,10 @@ class Pieces:
     special: np.ndarray  # int64: id of a special string, or -1
 
 
-def _cut(points: np.ndarray, bounds: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def _cut(points: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (in code points) of the pre-tokens of texts joined at ``bounds``."""
-    n = len(points)
-    kind = char_classes()[points]
+    n, words_only = len(points), vocab.words_only
+    kind = vocab.kinds[points]
     text_start = np.zeros(n + 1, dtype=bool)
     text_start[bounds[:-1][np.diff(bounds) > 0]] = True
     text_start[n] = True
@@ -230,7 +348,7 @@ def pieces(texts: list[str], vocab: Vocabulary) -> Pieces:
     owner: list[int] = []
     marks: list[tuple[int, int]] = []  # number of segments before, id
     mark_owner: list[int] = []
-    split = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
+    split = re.compile("(" + "|".join(map(re.escape, vocab.special)) + ")") if vocab.special else None
     for d, text in enumerate(texts):
         parts = split.split(text) if split and any(s in text for s in vocab.special) else [text]
         for k, part in enumerate(parts):
@@ -238,16 +356,13 @@ def pieces(texts: list[str], vocab: Vocabulary) -> Pieces:
                 marks.append((len(segments), vocab.special[part]))
                 mark_owner.append(d)
             else:
-                if vocab.words_only:
-                    part = part if part.isascii() or unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)
-                    part = part.replace("Σ", "σ").lower()
-                segments.append(part)
+                segments.append(vocab.normalized(part) if vocab.words_only else part)
                 owner.append(d)
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in segments])]).astype(np.int64)
     joined = "".join(segments)
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
     data = np.frombuffer(joined.encode("utf-8"), dtype=np.uint8)
-    starts, ends = _cut(points, bounds, vocab.words_only) if len(points) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    starts, ends = _cut(points, bounds, vocab) if len(points) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     seg = np.searchsorted(bounds, starts, side="right") - 1
     doc = np.asarray(owner, dtype=np.int64)[seg]
     if len(data) != len(points):
@@ -284,7 +399,7 @@ class Encoded:
 class Encoder:
     """Encodes chunk after chunk; keeps the ids of pieces seen before, up to ``keep`` of them."""
 
-    def __init__(self, vocab: Vocabulary, keep: int = 400_000):
+    def __init__(self, vocab: Vocabulary, keep: int = 200_000):
         self.vocab, self.keep = vocab, keep
         self._clear()
 
@@ -325,7 +440,16 @@ class Encoder:
         return Encoded(self.flat, self.where[at][inverse], self.count[at][inverse], p.words.first)
 
 
-def text_chunks(col: pa.Array, size: int = 1 << 21):
+def heads(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The first ``rows`` rows; what follows is not read."""
+    for batch in batches:
+        yield batch.slice(0, rows)
+        rows -= batch.num_rows
+        if rows <= 0:
+            return
+
+
+def text_chunks(col: pa.Array, size: int = CHUNK):
     """Slices of a text column with about ``size`` bytes each, and their texts (null: empty)."""
     _, offsets = text_buffers(col)
     i, n = 0, len(offsets) - 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Vocabulary, text_chunks
+from .bpe import Encoder, text_chunks, vocabulary
 from .shared import stored
 from .tables import table, tokenizer_path
 
@@ -193,7 +193,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
     shards = max(8, min(20_000, docs.rdd.getNumPartitions()))
 
     trusted = source.join(good, F.col("doc_id") == F.col("good_"), "left_semi").select("text")
-    n_pieces = len(Vocabulary(vocab_path).strings)
+    n_pieces = len(vocabulary(vocab_path).strings)
 
     def bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -202,7 +202,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
             rows = [(s, _pack(_steps(held[at]), counts[at].astype(np.uint32))) for s, at in _by_shard(held, shards)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "data"])
 
-        encoder = Encoder(Vocabulary(vocab_path))
+        encoder = Encoder(vocabulary(vocab_path))
         for batch in batches:
             for _, texts in text_chunks(batch.column(0)):
                 k, n = np.unique(_bigrams(encoder, texts)[0], return_counts=True)
@@ -221,7 +221,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, keys, docs_, heads, n_docs, n_held = None, [], [], [], 0, 0
-        encoder = Encoder(Vocabulary(vocab_path))
+        encoder = Encoder(vocabulary(vocab_path))
 
         def out() -> pa.RecordBatch:
             # one entry for each bigram of a document, sorted by bigram, with its number of times

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import Encoder, Vocabulary, text_chunks
+from .bpe import Encoder, text_chunks, vocabulary
+from .shared import lean_workers
 from .tables import output_schema, table, tokenizer_path
 from .textvec import text_buffers
 
@@ -26,7 +27,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 512, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(vocab_path))
+        encoder = Encoder(vocabulary(vocab_path))
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
             n = [encoder.encode(texts).per_doc() for _, texts in text_chunks(batch.column(1))]
@@ -36,6 +37,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 512, id_col: str
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
+    lean_workers(docs.sparkSession)
     picked = docs.select(id_col, text_col)
     return picked.mapInArrow(run, output_schema(picked, id_col, more="n_bytes long, n_tokens long, over_limit boolean"))
 

@@ -3,8 +3,9 @@
 A file set is a Parquet table of blocks.  A block holds some consecutive documents in ascending
 order of id: one zstandard frame for each document, compressed on its own with the dictionary that
 all share, an index of the frames' offsets, the documents' ids and token counts, and the
-dictionary's hash.  The dictionary itself is a one-row table beside it.  A short document is read by
-its block's index, without touching the other frames.
+dictionary's hash.  The dictionary itself is a one-row table beside it.  ``read_documents`` reads a
+few documents: blocks are pruned by their least and greatest id, and of a block only the frames of
+those documents are decompressed.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Vocabulary, text_chunks
-from .shared import shared_dir
+from .bpe import Encoder, heads, text_chunks, vocabulary
+from .shared import lean_workers, shared_dir
 from .tables import table, tokenizer_path
 
 #: The dictionary is trained on at most so many documents and bytes of each.
 DICT_SAMPLE_DOCS, DICT_SAMPLE_BYTES, DICT_BYTES = 1_000, 16_384, 65_536
-#: Frames gathered into one block.
-BLOCK_BYTES = 1 << 21
+#: Frames gathered into one block, and ranges of ids (a file each) at most.
+BLOCK_BYTES, RANGES = 1 << 20, 100_000
 LEVEL = 3
 
 
@@ -41,19 +42,20 @@ def _serialised(encoder: Encoder, texts: list[str], end_id: int) -> list[bytes]:
 def train_dictionary(docs: DataFrame, vocab_path: str, end_id: int = 0, text_col: str = "text") -> bytes:
     """A zstandard dictionary trained on the id arrays of a bounded sample of documents.
 
-    Too few samples to train on: their plain bytes serve as the dictionary (none: no dictionary).
+    The sample is the first rows of each partition, one at least; the others are not read.  Too few
+    samples to train on: their plain bytes serve as the dictionary (none: no dictionary).  The
+    dictionary changes the size of the files, never what is read back.
     """
+    rows = -(-DICT_SAMPLE_DOCS // max(1, docs.rdd.getNumPartitions()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(vocab_path))
-        for batch in batches:
+        encoder = Encoder(vocabulary(vocab_path))
+        for batch in heads(batches, rows):
             for _, texts in text_chunks(batch.column(0)):
                 found = [x[:DICT_SAMPLE_BYTES] for x in _serialised(encoder, texts, end_id)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
-    share = DICT_SAMPLE_DOCS / max(1, docs.count())
-    sample = docs.select(text_col) if share >= 1 else docs.select(text_col).sample(share, seed=11)
-    samples = sorted(bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").limit(DICT_SAMPLE_DOCS * 2).collect())
+    samples = sorted(bytes(r.ids) for r in docs.select(text_col).mapInArrow(run, "ids binary").limit(DICT_SAMPLE_DOCS * 2).collect())
     try:
         return zstd.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstd.ZstdError:
@@ -69,18 +71,20 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int =
 
     Only compressed frames are shuffled, to ranges of ids whose borders come from a quantile sketch
     of the id column; each range is one file.  Rows with equal ids keep a stable order by their
-    frames; null ids come first; a null text is just the end id.
+    frames; null ids come first; a null or empty text is just the end id; a very long text is one
+    frame.  Other columns are ignored.  An empty table gives a file set without blocks.
     """
     spark = docs.sparkSession
+    lean_workers(spark)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     raw = train_dictionary(picked, vocab_path, end_id)
     dict_hash = hashlib.sha256(raw).hexdigest()
     shared = spark.sparkContext.broadcast(raw)
-    n_ranges = max(1, min(10_000, picked.rdd.getNumPartitions()))
+    n_ranges = max(1, min(RANGES, picked.rdd.getNumPartitions()))
     borders = sorted(set(picked.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges))) if n_ranges > 1 else []
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(vocab_path))
+        encoder = Encoder(vocabulary(vocab_path))
         pack = zstd.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value))
         for batch in batches:
             for rows, texts in text_chunks(batch.column(1)):
@@ -99,7 +103,9 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int =
 
         def block() -> pa.RecordBatch:
             offs = np.concatenate([[0], np.cumsum([len(x[2]) for x in held])]).astype("<u4")
+            known = [x[0] for x in held if x[0] is not None]
             cols = {
+                "first_id": ([min(known, default=None)], pa.int64()), "last_id": ([max(known, default=None)], pa.int64()),
                 "part": ([part], pa.int32()), "block": ([number], pa.int32()), "start": ([begin], pa.int64()), "tokens": ([start - begin], pa.int64()), "dict_hash": ([dict_hash], pa.string()),
                 "doc_ids": ([[x[0] for x in held]], pa.list_(pa.int64())), "n_tokens": ([[x[1] for x in held]], pa.list_(pa.int32())), "offsets": ([offs.tobytes()], pa.binary()), "frames": ([b"".join(x[2] for x in held)], pa.binary()),
             }
@@ -117,35 +123,63 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int =
         if held:
             yield block()
 
-    dealt = picked.mapInArrow(frames, "part int, doc_id long, n int, frame binary").repartition(n_ranges, "part").sortWithinPartitions(F.asc("part"), F.asc_nulls_first("doc_id"), F.asc("frame"))
-    dealt.mapInArrow(blocks, "part int, block int, start long, tokens long, dict_hash string, doc_ids array<long>, n_tokens array<int>, offsets binary, frames binary").write.parquet(f"{path}/blocks")
+    dealt = picked.mapInArrow(frames, "part int, doc_id long, n int, frame binary").repartitionById(n_ranges, F.col("part")).sortWithinPartitions(F.asc("part"), F.asc_nulls_first("doc_id"), F.asc("frame"))
+    dealt.mapInArrow(blocks, "first_id long, last_id long, part int, block int, start long, tokens long, dict_hash string, doc_ids array<long>, n_tokens array<int>, offsets binary, frames binary").write.parquet(f"{path}/blocks")
     spark.createDataFrame([(dict_hash, bytearray(raw))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
-def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a file set: id, start (ids of all documents before it), n_tokens, and the
-    ids as little-endian unsigned 32-bit integers."""
-    found = spark.read.parquet(f"{path}/dictionary").first()
-    have = spark.sparkContext.broadcast((found.dict_hash, bytes(found.dictionary)))
-    files = spark.read.parquet(f"{path}/blocks")
-    # one number for each range of ids, of which there are at most 10,000
+def _starts(files: DataFrame) -> dict[int, int]:
+    """Ids before each range, from one number for each of at most RANGES ranges."""
     totals = sorted(files.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
-    base = dict(zip((r.part for r in totals), np.concatenate([[0], np.cumsum([r.n for r in totals])]).tolist()))
+    return dict(zip((r.part for r in totals), np.concatenate([[0], np.cumsum([r.n for r in totals])]).tolist()))
+
+
+def _read(spark: SparkSession, path: str, blocks: DataFrame, base: dict[int, int], id_col: str, wanted: set[int] | None) -> DataFrame:
+    found = spark.read.parquet(f"{path}/dictionary").first()
+    have = spark.sparkContext.broadcast((found.dict_hash, bytes(found.dictionary), base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, raw = have.value
+        name, raw, base = have.value
         unpack = zstd.ZstdDecompressor(dict_data=_dictionary(raw))
         for batch in batches:
-            for part, start, dict_hash, ids, counts, offs, frames in zip(*(c.to_pylist() for c in batch.columns)):
+            for r in range(batch.num_rows):
+                part, start, dict_hash, ids, counts, offs, frames = (c[r].as_py() for c in batch.columns)
                 if dict_hash != name:
                     raise ValueError(f"a block was written with dictionary {dict_hash}, not {name}")
                 offs = np.frombuffer(offs, dtype="<u4")
                 n = np.asarray(counts, dtype=np.int64)
                 at = base[part] + start + np.cumsum(n) - n
-                texts = [np.frombuffer(unpack.decompress(frames[a:b]), dtype="<u2").astype("<u4").tobytes() for a, b in zip(offs, offs[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at), pa.array(n), pa.array(texts, pa.binary())], names=[id_col, "start", "n_tokens", "ids"])
+                rows = [i for i, d in enumerate(ids) if wanted is None or d in wanted]
+                texts = [np.frombuffer(unpack.decompress(frames[offs[i] : offs[i + 1]]), dtype="<u2").astype("<u4").tobytes() for i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.int64()), pa.array(at[rows]), pa.array(n[rows]), pa.array(texts, pa.binary())], names=[id_col, "start", "n_tokens", "ids"])
+
+    return blocks.select("part", "start", "dict_hash", "doc_ids", "n_tokens", "offsets", "frames").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids binary")
+
 
-    return files.select("part", "start", "dict_hash", "doc_ids", "n_tokens", "offsets", "frames").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids binary")
+def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """The documents of a file set: id, start (ids of all documents before it), n_tokens, and the
+    ids as little-endian unsigned 32-bit integers.
+
+    Repeated and null ids are rows of their own, a document without text has the end id alone, and
+    a file set without blocks gives an empty result.
+    """
+    lean_workers(spark)
+    files = spark.read.parquet(f"{path}/blocks")
+    return _read(spark, path, files, _starts(files), id_col, None)
+
+
+def read_documents(spark: SparkSession, path: str, ids: list[int], id_col: str = "doc_id") -> DataFrame:
+    """Those of some ids only, as by ``read_token_files``; ids that no document has give no row.
+
+    Blocks without one of them are pruned by their range of ids; of the others only the frames asked
+    for are decompressed.
+    """
+    files = spark.read.parquet(f"{path}/blocks")
+    wanted = sorted(set(ids))
+    near = F.lit(False)
+    for d in wanted:
+        near = near | ((F.col("first_id") <= d) & (F.col("last_id") >= d))
+    return _read(spark, path, files.where(near), _starts(files), id_col, set(wanted))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
