@@ -86,6 +86,49 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data)
 
 
+# -- substrings --------------------------------------------------------------------------------
+def substrings(docs: list[tuple[int, str]], passages: bool = True) -> dict[int, tuple[str, list[tuple[int, int, int]]]]:
+    """doc -> the text that stays and (start, end, keeper) of what goes, for distinct ids."""
+    found, lines, runs = {}, {}, {}
+    for d, text in sorted(docs):
+        spots = [(m.start(), m.end(), m[0].translate(LOWER)) for m in WORD.finditer(text)]
+        w = [x[2] for x in spots]
+        units, at = [], 0
+        for line in text.split("\n"):
+            n = len(WORD.findall(line))
+            if n >= 5:
+                key = tuple(w[at : at + n])
+                if key in lines:
+                    units.append((at, n, lines[key]))
+                lines.setdefault(key, d)
+            at += n
+        keys = [tuple(w[i : i + 50]) for i in range(len(w) - 49)] if passages else []
+        units += [(i, 50, runs[k]) for i, k in enumerate(keys) if runs.get(k, d) != d]
+        for k in keys:
+            runs.setdefault(k, d)
+        found[d] = (text, spots, units)
+    out = {}
+    for d, (text, spots, units) in found.items():
+        gone = {i for a, n, _ in units for i in range(a, a + n)}
+        cuts, i, kept, at = [], 0, [], 0
+        while i < len(spots):
+            j = i
+            while j in gone:
+                j += 1
+            if j > i:
+                begin, end = spots[i][0], spots[j - 1][1]
+                cuts.append((begin, end, min(k for a, _, k in units if a == i)))
+                kept.append(text[at:begin])
+                while end < len(text) and text[end] in " \t\x0b\x0c\r":
+                    end += 1
+                if (begin == 0 or text[begin - 1] == "\n") and end < len(text) and text[end] == "\n":
+                    end += 1
+                at = end
+            i = max(j, i + 1)
+        out[d] = ("".join([*kept, text[at:]]), cuts)
+    return out
+
+
 # -- decontamination ---------------------------------------------------------------------------
 def bench_words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())

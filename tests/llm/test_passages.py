@@ -3,6 +3,7 @@
 import random
 
 from tests.llm import brute
+from tidegauge.llm import substring_dedup
 from tidegauge.llm.substring_dedup import substring_duplicates
 
 
@@ -25,3 +26,27 @@ def test_whole_passages(spark):
     want[2002] = ["head", "tail"]
     got = {r.doc_id: brute.words(r.deduped) for r in substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: got[d] for d in want} == want
+
+
+def test_against_brute_force(spark, monkeypatch):
+    """Overlapping, cut, changed and nested passages, common ones (with the broadcast of hot digests), lines."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 20)
+    rng = random.Random(4)
+    prose = lambda n: [rng.choice("aeiou") + "".join(rng.choice("bcdfg") for _ in range(5)) for _ in range(n)]
+    sources, rows = [prose(400) for _ in range(6)], []
+    for d in range(300):
+        words: list[str] = []
+        for _ in range(rng.randint(1, 4)):
+            source = rng.choice(sources)
+            n, a = rng.choice([30, 48, 49, 50, 51, 60, 120]), rng.randrange(280)
+            part = source[a : a + n]
+            if rng.random() < 0.3:
+                part = [*part[: n // 2], "changed", *part[n // 2 :]]
+            words += prose(rng.choice([0, 3, 30])) + part
+        rows.append((d, "".join(w.upper() + rng.choice([" ", " ", " ", "  ", "\n"]) if rng.random() < 0.1 else w + " " for w in words)))
+    rows += [(1000 + k, "the same line of words\n" * 3 + "and a short\n" + " ".join(sources[0][50:150])) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for passages in (True, False):
+        want = brute.substrings(rows, passages)
+        got = {r.doc_id: (r.deduped, [tuple(x) for x in r.removed]) for r in substring_duplicates(table, passages=passages).collect()}
+        assert got == want

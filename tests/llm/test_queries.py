@@ -101,57 +101,11 @@ def test_op3(spark):
 
 
 def test_op9(spark, texts):
-    """What stays is the text less its removed spans; no unit that stays occurs before."""
     got = {r["doc_id"]: r for r in run(spark, "op9_substring_dedup")}
-    assert got.keys() == texts.keys()
-    lines: dict = {}
-    for d in sorted(texts):
-        removed = got[d]["removed"]
-        assert got[d]["n_removed"] == len(removed)
-        left, at = [], 0
-        for s in sorted(removed, key=lambda s: s["start"]):
-            assert at <= s["start"] < s["end"] and s["keeper"] <= d
-            left.append(texts[d][at : s["start"]])
-            at = s["end"]
-        left.append(texts[d][at:])
-        assert brute.words("\0".join(left).replace("\0", " ")) == brute.words(got[d]["text"])
-        for k, line in enumerate(texts[d].split("\n")):
-            w = tuple(brute.words(line, lower=True))
-            if len(w) >= 5:
-                lines.setdefault(w, (d, k))
-    for d, r in got.items():
-        gone = np.zeros(len(texts[d]) + 1, dtype=bool)
-        for span in r["removed"]:
-            gone[span["start"] : span["end"]] = True
-        at = 0
-        for k, line in enumerate(texts[d].split("\n")):
-            w = tuple(brute.words(line, lower=True))
-            if len(w) >= 5 and lines[w] != (d, k):
-                assert all(gone[at + m.start() : at + m.end()].all() for m in brute.WORD.finditer(line)), (d, k)
-            at += len(line) + 1
-    # a run of 50 words that a document of a smaller id has does not survive
-    first: dict = {}
-    for d in sorted(texts):
-        w = brute.words(texts[d], lower=True)
-        for i in range(len(w) - 49):
-            first.setdefault(hash(tuple(w[i : i + 50])), d)
-    for d, r in got.items():
-        for line in r["text"].split("\n"):
-            w = brute.words(line, lower=True)
-            assert all(first.get(hash(tuple(w[i : i + 50])), d) >= d for i in range(len(w) - 49)), d
-    # a clean document, which shares no line and no run of 25 words, is left alone
-    where = defaultdict(set)
-    for d, t in texts.items():
-        w = brute.words(t, lower=True)
-        for i in range(len(w) - 24):
-            where[hash(tuple(w[i : i + 25]))].add(d)
-        for k, line in enumerate(t.split("\n")):
-            lw = tuple(brute.words(line, lower=True))
-            if len(lw) >= 5:
-                where[lw].add((d, k))
-    shared = {x if isinstance(x, int) else x[0] for s in where.values() if len(s) > 1 for x in s}
-    for d in texts.keys() - shared:
-        assert got[d]["text"] == texts[d]
+    want = brute.substrings(list(texts.items()))
+    assert got.keys() == want.keys()
+    for d, (text, cuts) in want.items():
+        assert (got[d]["text"], [tuple(c.values()) for c in got[d]["removed"]], got[d]["n_removed"]) == (text, cuts, len(cuts)), d
 
 
 def test_op10(spark):

@@ -1,7 +1,7 @@
 """The folder that driver and executors share.
 
-``spark.checkpoint.dir`` names it.  Only where that is unset (tests, a notebook on one machine) is
-a folder of our own made and set.
+``spark.checkpoint.dir`` names it.  Only where that is unset and the master is local (tests, a notebook
+on one machine) is a folder of our own made and set.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         have = sc._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="tidegauge-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
@@ -46,6 +48,14 @@ def lean_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault(name, value)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table doesn't have yet (Spark's names don't tell case apart)."""
+    taken, name = {c.lower() for c in df.columns}, f"_{wanted}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def put_file(spark: SparkSession, data: bytes, name: str) -> str:
     """Write bytes to the shared folder through Hadoop's file system and have Spark hand the file
     to each executor; the result is the name to give to ``SparkFiles.get`` there."""

@@ -1,15 +1,16 @@
 """Operator 9: removal of lines and passages that occur before.
 
 Units are hashed, digests are grouped globally, the earliest ranked occurrence stays and the others
-go, with their places in the original text retained.  Units are lines; and, for passages that stand
-inside longer lines or across line breaks, runs of RUN words chosen by winnowing (Schleimer et al.,
-2003): of any RUN + WINDOW - 1 = 49 consecutive words that two documents have in common both select
-the same run.  Selected runs begin at most WINDOW = RUN words apart, so no word is left between them.
-
-What a passage has before its first selected run and after its last, up to WINDOW - 1 words each, is
-found in a second pass: next to the repeated runs at which words stay, every run of RUN words is hashed
-in all documents that selected the same run, and those that stand in a document of a
-smaller id go too.
+go, with their places in the original text retained.  The main units are lines.
+
+A line's hash does not find a passage that stands inside longer lines or across line breaks.  For
+those there is a second kind of unit, which ``passages=False`` turns off: each PASSAGE = 50 words in a
+row.  Not all of them are shuffled.  Runs of RUN words chosen by winnowing (Schleimer et al., 2003)
+are anchors: of any RUN + WINDOW - 1 = 49 words that two documents have in common, both select the
+same run.  Anchors that follow each other within RUN words, and do so in the earlier document too,
+prove that all words from the first to the last are equal.  What a passage has before and after
+them is found by hashing the PASSAGE words around the outer anchors only, in all documents that have
+these.
 """
 
 from __future__ import annotations
@@ -22,156 +23,203 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import free_name, lean_workers, stored
 from .tables import table, with_field
-from .textvec import Words, _mix, chunks, combine, ranges
+from .textvec import Words, _mix, chunks, ranges
 
 #: Words that a line needs to be a unit.
 LINE_WORDS = 5
-#: Words of a run, and consecutive runs of which the least hash is selected.
-RUN, WINDOW = 25, 25
+#: Words of a passage, of an anchor, and consecutive anchors of which the least hash is selected.
+PASSAGE, RUN, WINDOW = 50, 25, 25
+#: Occurrences of a digest from which its first is broadcast instead of joined by shuffle; with more
+#: than HOT_GROUPS times as many rows in all, in proportion. So at most HOT_GROUPS are broadcast.
+HOT_ROWS, HOT_GROUPS = 10_000, 1_000_000
+#: Ids of documents that are broadcast at most, to leave others out of a shuffle of texts.
+BROADCAST_IDS = 2_000_000
 
-_OCCURRENCE = "hash long, doc_id long, body long, at int, n int, line boolean"
-_EDGE = "hash long, before boolean, after boolean"
-_RUN = "hash long, doc_id long, body long, at int, later boolean"
+_OCCURRENCE = "hash long, check int, doc_id long, body long, at int, n int, line boolean"
+_FOUND = "doc_id long, body long, at int, n int, keeper long, hash long, hot boolean"
+_RUN = "hash long, check int, doc_id long, body long, at int, later boolean"
 
+_FIRST, _SECOND = 0xD1342543DE82EF95, 0x2545F4914F6CDD1D
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def _line_of_word(words: Words) -> np.ndarray:
-    """A number for each word's line; lines of different documents have different numbers."""
-    breaks = np.cumsum(words.data == 0x0A) if len(words.data) else np.zeros(0, np.int64)
-    return breaks[words.start] + words.doc_of_word()
 
+class _Sums:
+    """Running sums of word hashes, from which any span's polynomial hash is a difference."""
 
-def _lines(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and hash of each line of LINE_WORDS words or more."""
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    number = _line_of_word(words)
+    def __init__(self, h: np.ndarray, odd: int):
+        if odd not in _powers or len(_powers[odd][0]) < len(h) + 1:
+            size = max(len(h) + 1, 1 << 19)
+            up, down = np.full(size, np.uint64(odd)), np.full(size, np.uint64(pow(odd, -1, 1 << 64)))
+            up[0] = down[0] = 1
+            _powers[odd] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        up, self.down = _powers[odd]
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+
+    def spans(self, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        size = np.asarray(n).astype(np.uint64)
+        return _mix((self.total[start + n] - self.total[start]) * self.down[start] + size)
+
+
+def _digests(sums: tuple[_Sums, _Sums], start: np.ndarray, n: np.ndarray | int) -> list[pa.Array]:
+    """64 bits by which spans are grouped and 32 further ones that must be equal too."""
+    return [pa.array(sums[0].spans(start, n).view(np.int64)), pa.array((sums[1].spans(start, n) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+
+
+def _lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each line of LINE_WORDS words or more."""
+    if not len(words.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = np.cumsum(words.data == 0x0A)[words.start] + words.doc_of_word()
     start = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-    n = np.diff(np.append(start, len(h)))
-    # a polynomial hash of each line's words, from one running sum
-    odd = np.uint64(0xD1342543DE82EF95)
-    up = np.full(len(h), odd, dtype=np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    inverse = np.full(len(h), np.uint64(pow(int(odd), -1, 1 << 64)), dtype=np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
-    digest = _mix((total[start + n] - total[start]) * inverse[start] + n.astype(np.uint64))
-    keep = n >= LINE_WORDS
-    return start[keep], n[keep], digest[keep]
-
-
-def _runs(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the selected runs of RUN words of each document."""
-    grams = combine(h, RUN)
-    if not len(grams):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = np.diff(np.append(start, len(number)))
+    return start[n >= LINE_WORDS], n[n >= LINE_WORDS]
+
+
+def _anchors(words: Words, sums: _Sums) -> np.ndarray:
+    """First words of the selected runs of RUN words of each document."""
+    n = len(words.start) - RUN + 1
+    m = n - WINDOW + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
     doc = words.doc_of_word()
-    whole = doc[: len(grams)] == doc[RUN - 1 :]  # within one document
-    grams = _mix(grams)
+    whole = doc[:n] == doc[RUN - 1 :]  # within one document
+    grams = sums.spans(np.arange(n), RUN)
     grams[~whole] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    m = len(grams) - WINDOW + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     # sliding minimum over WINDOW by doubling
     low, span = grams, 1
     while span * 2 <= WINDOW:
         low, span = np.minimum(low[:-span], low[span:]), span * 2
     low = np.minimum(low[:m], low[WINDOW - span : WINDOW - span + m])
     inside = doc[:m] == doc[RUN + WINDOW - 2 : RUN + WINDOW - 2 + m]
-    picked = np.zeros(len(grams), dtype=bool)
+    picked = np.zeros(n, dtype=bool)
     for shift in range(WINDOW):
         picked[shift : shift + m] |= inside & (grams[shift : shift + m] == low)
-    at = np.flatnonzero(picked & whole)
-    return at, grams[at]
+    return np.flatnonzero(picked & whole)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, bodies = batch.column(0), batch.column(1)
-        for rows, words in chunks(batch):
-            h = words.hashes(lower=True)
-            a, n, digest = _lines(words, h)
-            b, run = _runs(words, h)
-            at = np.concatenate([a, b])
-            doc = np.searchsorted(words.first, at, side="right") - 1
-            part = pa.array(doc + rows.start)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([digest, run]).view(np.int64)),
-                    ids.take(part),
-                    bodies.take(part),
-                    pa.array((at - words.first[doc]).astype(np.int32)),
-                    pa.array(np.concatenate([n, np.full(len(b), RUN)]).astype(np.int32)),
-                    pa.array(np.arange(len(at)) < len(a)),
-                ],
-                names=["hash", "doc_id", "body", "at", "n", "line"],
-            )
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the repeated runs with a word that stays among the WINDOW - 1 before or after them.
-
-    Each row has the spans of one document, by where they begin.
+def _occurrences(passages: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bodies = batch.column(0), batch.column(1)
+            for rows, words in chunks(batch):
+                h = words.hashes(lower=True)
+                sums = _Sums(h, _FIRST), _Sums(h, _SECOND)
+                a, n = _lines(words)
+                b = _anchors(words, sums[0]) if passages else np.zeros(0, np.int64)
+                at, n = np.concatenate([a, b]), np.concatenate([n, np.full(len(b), RUN)])
+                doc = np.searchsorted(words.first, at, side="right") - 1
+                part = pa.array(doc + rows.start)
+                place = [pa.array((at - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.arange(len(at)) < len(a))]
+                yield pa.RecordBatch.from_arrays([*_digests(sums, at, n), ids.take(part), bodies.take(part), *place], names=["hash", "check", "doc_id", "body", "at", "n", "line"])
+
+    return run
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that go (lines, and chains of anchors of PASSAGE words or more), and with them, by hash,
+    the outer anchors of all chains.
+
+    Each row has the later lines and anchors of one document, by where they begin.
     """
     for batch in batches:
-        spans = batch.column(0)
-        flat, doc = spans.flatten(), np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)))
+        flat = batch.column(2).flatten()
         if not len(flat):
             continue
-        at, n, line, digest = (np.asarray(flat.field(k)) for k in ("at", "n", "line", "hash"))
-        begin = at + (doc << 32)  # documents lie far apart
-        reach = np.maximum.accumulate(begin + n)
-        # stretches without a word that stays: where each begins and ends
-        fresh = np.concatenate([[True], begin[1:] > reach[:-1]])
-        stretch = np.cumsum(fresh) - 1
-        head = begin[fresh][stretch]
-        tail = reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(reach) - 1)][stretch]
-        before = (begin - head < WINDOW - 1) & (head & 0xFFFFFFFF > 0)
-        after = tail - (begin + RUN) < WINDOW - 1
-        keep = ~line & (before | after)
-        yield pa.RecordBatch.from_arrays([pa.array(digest[keep]), pa.array(before[keep]), pa.array(after[keep])], names=["hash", "before", "after"])
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(2).offsets)))
+        at, n, line, keeper, there, digest, hot = (np.asarray(flat.field(k)) for k in ("at", "n", "line", "keeper", "there", "hash", "hot"))
+        run = np.flatnonzero(~line)
+        d, a, k, shift = doc[run], at[run], keeper[run], (at - there)[run]
+        fresh = np.ones(len(run), dtype=bool)
+        fresh[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > a[:-1] + RUN)
+        begin = np.flatnonzero(fresh)
+        end = np.append(begin[1:], len(run))[: len(begin)] - 1
+        size = a[end] + RUN - a[begin]
+        long = size >= PASSAGE
+        lines = np.flatnonzero(line)
+        gone = np.concatenate([doc[lines], d[begin[long]]])
+        outer = run[np.unique(np.concatenate([begin, end]))] if len(run) else run
+        part, n_gone, n_outer = pa.array(np.concatenate([gone, doc[outer]])), len(gone), len(outer)
+        none, cols = pa.nulls(n_outer, pa.int32()), []
+        cols.append(pa.concat_arrays([pa.array(np.concatenate([at[lines], a[begin[long]]]), pa.int32()), none]))
+        cols.append(pa.concat_arrays([pa.array(np.concatenate([n[lines], size[long]]), pa.int32()), none]))
+        cols.append(pa.concat_arrays([pa.array(np.concatenate([keeper[lines], k[begin[long]]]), pa.int64()), pa.nulls(n_outer, pa.int64())]))
+        cols.append(pa.concat_arrays([pa.nulls(n_gone, pa.int64()), pa.array(digest[outer], pa.int64())]))
+        cols.append(pa.concat_arrays([pa.nulls(n_gone, pa.bool_()), pa.array(hot[outer], pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), *cols], names=["doc_id", "body", "at", "n", "keeper", "hash", "hot"])
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs of RUN words that begin up to WINDOW - 1 words before or after given ones, and those;
-    ``later`` where one of the given is."""
+    """All PASSAGE words in a row that hold one of the given anchors; ``later`` where a later one."""
     for batch in batches:
         ids, bodies = batch.column(0), batch.column(1)
         for rows, words in chunks(batch):
             spots = batch.column(3).slice(rows.start, words.n_docs)
             flat, doc = spots.flatten(), np.repeat(np.arange(words.n_docs), np.diff(np.asarray(spots.offsets)))
-            grams = combine(words.hashes(lower=True), RUN)
-            if not len(flat) or not len(grams):
+            if not len(flat):
                 continue
-            at = np.asarray(flat.field("at")) + words.first[doc]
-            low = np.where(np.asarray(flat.field("before")), np.maximum(at - WINDOW + 1, words.first[doc]), at)
-            high = np.where(np.asarray(flat.field("after")), np.minimum(at + WINDOW - 1, words.first[doc + 1] - RUN), at)
-            every, later = ranges(low, high - low + 1), np.repeat(np.asarray(flat.field("later")), high - low + 1)
+            h = words.hashes(lower=True)
+            at, late = np.asarray(flat.field("at")) + words.first[doc], np.asarray(flat.field("later"))
+            low, high = np.maximum(at + RUN - PASSAGE, words.first[doc]), np.minimum(at, words.first[doc + 1] - PASSAGE)
+            size = np.maximum(high - low + 1, 0)
+            every = ranges(low, size)
             place = np.unique(every)
-            later = np.isin(place, every[later])
+            later = np.isin(place, every[np.repeat(late, size)])
             doc = np.searchsorted(words.first, place, side="right") - 1
             part = pa.array(doc + rows.start)
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(grams[place]).view(np.int64)), ids.take(part), bodies.take(part), pa.array((place - words.first[doc]).astype(np.int32)), pa.array(later)], names=["hash", "doc_id", "body", "at", "later"])
-
-
-def _extended(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, body, at, n, keeper) of the runs next to repeated ones that a smaller id has too."""
-    spans = shared.where("later").groupBy("doc_id", "body").agg(F.array_sort(F.collect_list(F.struct("at", "n", "line", "hash"))).alias("spans")).select("spans")
-    edges = spans.mapInArrow(_edges, _EDGE).groupBy("hash").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    spots = shared.where(~F.col("line")).join(edges, "hash").groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "before", "after", "later")).alias("spots"))
-    near = texts.join(spots, ["doc_id", "body"]).select("doc_id", "body", "text", "spots")
-    runs = stored(near.mapInArrow(_around, _RUN), "runs")
-    first = runs.groupBy("hash").agg(F.min("doc_id").alias("keeper"))
-    return runs.where("later").join(first, "hash").where("doc_id > keeper").select("doc_id", "body", "at", F.lit(RUN).alias("n"), "keeper")
-
-
-def _char_at(words: Words, doc: int) -> np.ndarray:
-    """Code points before each byte of a document, with a last entry for all of them."""
-    part = words.data[words.text_start[doc] : words.text_start[doc + 1]]
-    return np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            cols = [*_digests((_Sums(h, _FIRST), _Sums(h, _SECOND)), place, PASSAGE), ids.take(part), bodies.take(part), pa.array((place - words.first[doc]).astype(np.int32)), pa.array(later)]
+            yield pa.RecordBatch.from_arrays(cols, names=["hash", "check", "doc_id", "body", "at", "later"])
+
+
+def _hot_rows(rows: DataFrame) -> int:
+    return max(HOT_ROWS, rows.count() // HOT_GROUPS)
+
+
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their group's columns. Groups marked ``hot``, at most HOT_GROUPS of them, are
+    broadcast, so that no task gets all rows of one; all others are joined by shuffle."""
+    if groups.where("hot").isEmpty():
+        return rows.join(groups, keys)
+    hot = F.broadcast(groups.where("hot"))
+    rest = rows.join(F.broadcast(groups.where("hot").select(*keys)), keys, "left_anti").join(groups.where("not hot"), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def _few(ids: DataFrame) -> DataFrame | None:
+    """Distinct ids as a broadcast side, if their number allows it."""
+    ids = stored(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else None
+
+
+def _passages(texts: DataFrame, shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, body, at, n, keeper) of the PASSAGE words around outer anchors that a smaller id has."""
+    edges = edges.groupBy("hash").agg(F.max("hot").alias("hot"))
+    spots = _joined(shared.where("not line").select("hash", "doc_id", "body", "at", "later"), edges, ["hash"])
+    spots = stored(spots.groupBy("doc_id", "body").agg(F.collect_set(F.struct("at", "later")).alias("spots")), "spots")
+    few = _few(spots.select("doc_id"))
+    near = (texts if few is None else texts.join(few, "doc_id", "left_semi")).join(spots, ["doc_id", "body"])
+    runs = stored(near.select("doc_id", "body", "text", "spots").mapInArrow(_around, _RUN), "runs")
+    hot = F.col("times") > _hot_rows(runs)
+    first = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "check")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
+    first = stored(first.where("last > first.doc_id").select("hash", "first", hot.alias("hot")), "first")
+    later = _joined(runs.where("later").select("hash", "check", "doc_id", "body", "at"), first, ["hash"]).where("doc_id > first.doc_id and check = first.check")
+    return later.select("doc_id", "body", "at", F.lit(PASSAGE).alias("n"), F.col("first.doc_id").alias("keeper"))
+
+
+def _spans(texts: DataFrame, passages: bool) -> DataFrame:
+    """(doc_id, body, at, n, keeper): words [at, at + n) of a text that go."""
+    occ = stored(texts.mapInArrow(_occurrences(passages), _OCCURRENCE), "units")
+    hot = F.col("times") > _hot_rows(occ)
+    first = occ.groupBy("hash", "line").agg(F.min(F.struct("doc_id", "at", "check")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
+    first = stored(first.where("times > 1 and (line or last > first.doc_id)").select("hash", "line", "first", hot.alias("hot")), "first")
+    later = F.when(F.col("line"), F.struct("doc_id", "at") > F.struct("first.doc_id", "first.at")).otherwise(F.col("doc_id") > F.col("first.doc_id"))
+    shared = _joined(occ, first, ["hash", "line"]).where("check = first.check")
+    shared = stored(shared.select("hash", "doc_id", "body", "at", "n", "line", F.col("first.doc_id").alias("keeper"), F.col("first.at").alias("there"), later.alias("later"), "hot"), "shared")
+    each = shared.where("later").groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", "line", "keeper", "there", "hash", "hot"))).alias("spans"))
+    found = stored(each.mapInArrow(_chains, _FOUND), "found")
+    gone = found.where("hash is null").select("doc_id", "body", "at", "n", "keeper")
+    return gone.union(_passages(texts, shared, found.where("hash is not null").select("hash", "hot"))) if passages else gone
 
 
 def _cut(words: Words, doc: int, spans: list[dict]) -> tuple[str, list[dict]]:
@@ -182,18 +230,18 @@ def _cut(words: Words, doc: int, spans: list[dict]) -> tuple[str, list[dict]]:
     base = int(words.text_start[doc])
     body = words.data[base : words.text_start[doc + 1]]
     first, last = int(words.first[doc]), int(words.first[doc + 1])
-    gone = np.zeros(last - first + 1, dtype=np.int8)
+    edge, keeper = np.zeros(last - first + 1, dtype=np.int64), {}
     for s in spans:
-        gone[s["at"] : s["at"] + s["n"]] = 1
-    gone[last - first] = 0
-    change = np.diff(np.concatenate([[0], gone]))
-    char = _char_at(words, doc)
+        edge[s["at"]] += 1
+        edge[s["at"] + s["n"]] -= 1
+        keeper[s["at"]] = min(s["keeper"], keeper.get(s["at"], s["keeper"]))
+    change = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=np.int8(0))
+    char = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])  # code points before each byte
     keep = np.ones(len(body), dtype=bool)
     cuts = []
-    for a, b in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1)):
+    for a, b in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist()):
         begin, end = int(words.start[first + a]) - base, int(words.end[first + b - 1]) - base
-        owner = next(s["keeper"] for s in spans if s["at"] <= a < s["at"] + s["n"])
-        cuts.append({"start": int(char[begin]), "end": int(char[end]), "keeper": owner})
+        cuts.append({"start": int(char[begin]), "end": int(char[end]), "keeper": keeper[a]})
         fresh = begin == 0 or body[begin - 1] == 0x0A
         while end < len(body) and body[end] in (0x20, 0x09, 0x0B, 0x0C, 0x0D):
             end += 1
@@ -203,37 +251,37 @@ def _cut(words: Words, doc: int, spans: list[dict]) -> tuple[str, list[dict]]:
     return body[keep].tobytes().decode(), cuts
 
 
-def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = True, deduped: str = "deduped", removed: str = "removed") -> DataFrame:
     """The rows with two more columns: ``deduped``, the text that stays, and ``removed``, an array of
-    (start, end, keeper): code points [start, end) of the original text that went, and the id of the
-    document that keeps the first of the passages removed there.
+    (start, end, keeper): code points [start, end) of the original text that went, and the least id of
+    a document that has what begins there.
 
     Units are compared by their words with A-Z lowered; white space does not count.  A line of at
     least LINE_WORDS words goes if an equal line stands in a document of a smaller id or before it
-    in the same one.  A run goes if it stands in a document of a smaller id; any 49 words in a row
-    or more that a document of a smaller id has go whole, to both ends.  A hot digest is a minimum
-    that combines before the shuffle; no group of occurrences meets in one task.
-
-    A null text stays null with nothing removed; an empty text stays empty.  Rows of one id are
-    ranked alike: equal rows keep and lose the same, and different texts of one id are told apart by
-    their digest.  A row with a null id keeps its text and removes nothing from others.  Columns of
-    the names of the two new ones are replaced, all others are kept.
+    in the same one.  With ``passages`` all words go, too, that are part of PASSAGE words in a row
+    which a document of a smaller id has, and no others.
+
+    A digest that holds any share of all occurrences is a minimum that combines before the shuffle;
+    its occurrences get the first by broadcast and don't meet in one task.  Digests have 96 bits.
+    Only texts with something to look at are shuffled, as long as the ids of these can be broadcast.
+
+    A null text stays null with nothing removed; an empty text stays empty; a very long one is hashed
+    whole by one task.  Rows of one id are ranked alike: equal rows keep and lose the same, so that of
+    equal first places all stay, and different texts of one id are told apart by their digest.  A row
+    with a null id keeps its text and removes nothing from others.  Columns of the names of the two
+    new ones are replaced, all others are kept.  An empty table gives an empty result.
     """
-    docs = docs.drop("deduped", "removed")
-    body, own = "body_", "spans_"
-    while {body, own} & set(docs.columns):
-        body, own = body + "_", own + "_"
+    lean_workers(docs.sparkSession)
+    docs = docs.drop(deduped, removed)
+    body, own = free_name(docs, "body"), free_name(docs, "spans")
     keyed = docs.withColumn(body, F.xxhash64(text_col))
     texts = keyed.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(text_col).alias("text"))
-    occ = stored(texts.mapInArrow(_occurrences, _OCCURRENCE), "units")
-    first = occ.groupBy("hash", "line").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = F.when(F.col("line"), F.struct("doc_id", "at") > F.col("first")).otherwise(F.col("doc_id") > F.col("first.doc_id"))
-    shared = occ.join(first, ["hash", "line"]).select("hash", "doc_id", "body", "at", "n", "line", F.col("first.doc_id").alias("keeper"), later.alias("later"))
-    shared = stored(shared, "shared")
-    gone = shared.where("later").select("doc_id", "body", "at", "n", "keeper").union(_extended(texts, shared))
-    spans = gone.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", "keeper"))).alias(own))
-    spans = spans.select(F.col("doc_id").alias("id_"), F.col("body").alias("of_"), own)
-    joined = keyed.join(spans, (keyed[id_col] == spans.id_) & (keyed[body] == spans.of_), "left").select(*(keyed[c] for c in docs.columns), spans[own])
+    gone = _spans(texts, passages)
+    spans = gone.groupBy("doc_id", "body").agg(F.collect_set(F.struct("at", "n", "keeper")).alias("spans"))
+    id_, of = free_name(keyed, "id"), free_name(keyed, "of")
+    spans = stored(spans.select(F.col("doc_id").alias(id_), F.col("body").alias(of), F.col("spans").alias(own)), "spans")
+    few = _few(spans.select(id_))
+    same = (keyed[id_col] == spans[id_]) & (keyed[body] == spans[of])
     names, at = docs.columns, docs.columns.index(text_col)
     cut_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("keeper", pa.int64())]))
 
@@ -245,16 +293,23 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 for d, spans in enumerate(part.column(len(names)).to_pylist()):
                     if spans:
                         texts[d], cuts[d] = _cut(words, d, spans)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(cuts, cut_type)], names=[*names, "deduped", "removed"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(cuts, cut_type)], names=[*names, deduped, removed])
 
     span = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("keeper", T.LongType())
-    return joined.mapInArrow(run, with_field(docs, "deduped", T.StringType()).add("removed", T.ArrayType(span)))
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines and passages taken out of the texts."""
-    done = substring_duplicates(docs, id_col, text_col)
-    return done.withColumn(text_col, F.col("deduped")).select(*docs.columns)
+    schema = with_field(docs, deduped, T.StringType()).add(removed, T.ArrayType(span))
+    if few is None:
+        return keyed.join(spans, same, "left").select(*(keyed[c] for c in names), spans[own]).mapInArrow(run, schema)
+    touched = keyed.join(few, keyed[id_col] == few[id_], "left_semi").join(spans, same, "left").select(*(keyed[c] for c in names), spans[own])
+    whole = docs.join(few, docs[id_col] == few[id_], "left_anti").select(*(docs[c] for c in names), docs[text_col].alias(deduped), F.array().cast(T.ArrayType(span)).alias(removed))
+    return touched.mapInArrow(run, schema).union(whole)
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = True) -> DataFrame:
+    """``docs`` with the repeated lines and passages taken out of the texts: ``text_col`` is the
+    ``deduped`` of ``substring_duplicates``, which also says what becomes of odd rows."""
+    text, spans = free_name(docs, "deduped"), free_name(docs, "removed")
+    done = substring_duplicates(docs, id_col, text_col, passages, text, spans)
+    return done.select(*(F.col(text).alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
