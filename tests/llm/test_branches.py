@@ -1,4 +1,4 @@
-"""Pairs of which an earlier shared node branched are compared in later trees."""
+"""Pairs of which an earlier shared node branched are compared below later roots."""
 
 import random
 
@@ -8,10 +8,10 @@ from tests.llm import brute
 from tidegauge.llm import near_dedup
 
 
-def test_skip_of_earlier_trees():
+def test_skip_of_earlier_roots():
     """Only an earlier shared node that did not branch settles a pair."""
     same = np.ones((2, near_dedup.FUNCTIONS), dtype=np.uint8)
-    trail = np.arange(2 * near_dedup.TREES, dtype=np.uint32).reshape(2, -1)
+    trail = np.arange(2 * len(near_dedup.ROOTS), dtype=np.uint32).reshape(2, -1)
     trail[:, 3] = 7
     block = {"rep": np.array([1, 2]), "comp": np.array([1, 2]), "n": np.array([9, 9]), "left": np.array([True, True]), "prints": same, "trail": trail}
     for branched, found in ((0, 0), (1 << 3, 1), (1 << 2, 0)):
@@ -37,3 +37,31 @@ def test_branched_nodes(spark, monkeypatch):
     assert sum(c != d for d, (_, c) in want.items()) == 10
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: c for d, (_, c) in want.items()}
+
+
+def test_repeated_ids(spark):
+    """Of one id with two texts, each text is linked on its own."""
+    rng = random.Random(2)
+    a, b = (["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)] for _ in range(2))
+    near = [*b[:98], "other", "end"]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(near)), (9, " ".join(a)), (9, " ".join(a)), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 3, False), (3, 3, True), (9, 5, False), (9, 5, False), (None, None, True)], key=str)
+    left = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect()), key=str)
+    assert left == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.75 exactly, of which none may be missed, and of 0.749, of which none counts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    rows = []
+    for k in range(1000):
+        base = [word() for _ in range(67)]
+        cut = 9 if k % 2 else 10  # of 63 shingles, 54 or 53 stay in common
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-cut], *(word() for _ in range(cut))]))]
+    want = brute.near_duplicates(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(c != d for d, (_, c) in want.items()) == 500
+    assert got == {d: c for d, (_, c) in want.items()}

@@ -3,7 +3,7 @@
 import random
 
 from tests.llm import brute
-from tidegauge.llm import substring_dedup
+from tidegauge.llm import shared
 from tidegauge.llm.substring_dedup import substring_duplicates
 
 
@@ -30,7 +30,7 @@ def test_whole_passages(spark):
 
 def test_against_brute_force(spark, monkeypatch):
     """Overlapping, cut, changed and nested passages, common ones (with the broadcast of hot digests), lines."""
-    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
     rng = random.Random(4)
     prose = lambda n: [rng.choice("aeiou") + "".join(rng.choice("bcdfg") for _ in range(5)) for _ in range(n)]
     sources, rows = [prose(400) for _ in range(6)], []

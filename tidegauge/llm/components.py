@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import hot_rows, join_groups, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _attached(edges: DataFrame, lowest: DataFrame) -> DataFrame:
-    """Edges from v to the least neighbour of u, u itself included."""
-    return edges.join(lowest, "u")
+def _with_lowest(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with the least neighbour ``m`` of their ``u`` in ``edges``, u itself included."""
+    lowest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), (F.col("n") > hot_rows(rows)).alias("hot"))
+    return join_groups(rows, stored(lowest, "lowest"), ["u"]).drop("hot")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """(node, component) of every node of the links; a component is named by its least node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step is a minimum by
-    node, which combines before the shuffle, and an equi-join.  Each round is written to the shared
+    node, which combines before the shuffle, and an equi-join, for star centres by broadcast.  Each round is written to the shared
     folder.  The number of rounds grows with the logarithm of the longest path.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = _both_ways(edges)
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _with_lowest(both.where("v > u"), both).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "edges")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
+        joined = _with_lowest(large, large)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = stored(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

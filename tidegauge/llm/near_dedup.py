@@ -1,15 +1,19 @@
 """Operator 5: near-duplicate documents by a chosen-path set similarity join.
 
-Every document is a set of five-word shingles.  In each of a number of independent trees a document
-follows the path of its minwise tokens: at every level a hash function picks one token of its set,
-and the documents that picked the same tokens so far share a node.  Two documents of similarity s
-share a node at depth d with probability s**d, so the trees find a pair of similarity 0.75 with
-probability 1 - (1 - 0.75**3)**32, all but 2 in 10**8.  Nodes are compared exhaustively by
-fingerprint while they are small; a larger node branches again by several more tokens.  What
-fingerprints call similar is confirmed on the full sets.
+Every document is a set of five-word shingles, of which FUNCTIONS hash functions pick one minwise token
+each (Christiani and Pagh, 2017; Christiani et al., 2018).  In each of a number of independent trees all
+documents start at the root.  A node's own hash chooses which tokens its documents branch by, 4 / 3 of
+them on average, and documents with the same token share a child.  A node stops branching as soon as
+its members can be compared exhaustively, which is done by fingerprint; what fingerprints call similar
+is confirmed on the full sets.
+
+Two documents of similarity 0.75 keep one common child on average.  They meet in a node of depth 1, 2,
+3, 4 or 5 of a tree with probability 0.81, 0.69, 0.60, 0.53 or 0.48, in one of TREES trees all but 3 in
+10**15, 7 in 10**11, 10**8, 3 in 10**7 or 2 in 10**6; of higher similarity more surely.  Only groups
+of more than BLOCK documents that share a token reach beyond depth 1.
 
 Work on groups of copies is kept linear: equal sets have one representative; a first round links
-each representative to the best of its nodes' leaders only; after that only pairs whose components
+each representative to the leader of most of its nodes only; after that only pairs whose components
 still differ are compared.
 """
 
@@ -23,18 +27,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored
+from .shared import HOT_ROWS, free_name, hot_rows, join_groups, lean_workers, stored
 from .tables import table
 from .textvec import _mix, binary_column, chunks, shingles, unique_per_doc
 
 #: Five-word shingles, Jaccard similarity of at least 75 / 100.
 WIDTH, ABOVE, OF = 5, 75, 100
-#: Trees, tokens on the path to a node, and minwise functions in all.
-TREES, DEPTH, FUNCTIONS = 32, 3, 128
-#: Children that a document follows where a large node branches, and further levels at most.
-BRANCHES, LEVELS = 3, 4
-#: Members compared at once, and comparisons up to which a node does not branch.
-BLOCK, WORK = 512, 4_000_000
+#: Independent trees, and minwise functions in all.
+TREES, FUNCTIONS = 20, 128
+#: (tree, function) of the tokens that the roots choose: one, in every third tree two.
+ROOTS = [(t, f) for t in range(TREES) for f in ([6 * t, 6 * t + 3] if t % 3 == 0 else [6 * t])]
+#: Further levels at most.
+LEVELS = 4
+#: Members compared at once; a node of more branches unless its comparisons are no more than WORK.
+BLOCK, WORK = 512, 512 * 512
+#: Nodes that a representative has to have in common with a leader, to be compared with it first.
+LED = len(ROOTS) // 4
 #: Likely pairs for each member of a block up to which they are listed; beyond, the block is linked
 #: as a whole with its sets at hand.
 SPARSE = 4
@@ -75,16 +83,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, first = unique_per_doc(*shingles(words, words.hashes(lower=True), WIDTH))
             tokens = _minwise(values, first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(rows.start, words.n_docs), *_digest(values, first), binary_column(tokens.ravel(), np.arange(words.n_docs + 1) * FUNCTIONS)],
-                names=["doc_id", "n", "h1", "h2", "tokens"],
+                [*(batch.column(c).slice(rows.start, words.n_docs) for c in (0, 1)), *_digest(values, first), binary_column(tokens.ravel(), np.arange(words.n_docs + 1) * FUNCTIONS)],
+                names=["doc_id", "body", "n", "h1", "h2", "tokens"],
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, words in chunks(batch):
+        for _, words in chunks(batch):
             values, first = unique_per_doc(*shingles(words, words.hashes(lower=True), WIDTH))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, words.n_docs), *_digest(values, first), binary_column(values, first)], names=["rep", "n", "h1", "h2", "members"])
+            yield pa.RecordBatch.from_arrays([*_digest(values, first), binary_column(values, first)], names=["n", "h1", "h2", "members"])
 
 
 def _matrix(col: pa.Array, kind: type) -> np.ndarray:
@@ -92,13 +100,14 @@ def _matrix(col: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(raw, dtype=kind).reshape(len(col), -1) if len(col) else np.zeros((0, 1), dtype=kind)
 
 
+def _child(node: np.ndarray, function: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return _mix(node * np.uint64(0x9E3779B97F4A7C15) + (function.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)))
+
+
 def _nodes(tokens: np.ndarray) -> np.ndarray:
-    """The node at depth DEPTH of each representative in each tree."""
-    tokens = tokens.astype(np.uint64)
-    node = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(tokens), 1))
-    for d in range(DEPTH):
-        node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + tokens[:, d::DEPTH][:, :TREES] + np.uint64(d + 1))
-    return node
+    """The nodes at depth 1 of each representative, one for each of ROOTS."""
+    tree, function = (np.array(x) for x in zip(*ROOTS))
+    return _child(_mix(tree.astype(np.uint64) + np.uint64(1)), function, tokens[:, function])
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,22 +115,25 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
             node = _nodes(_matrix(part.column(1), np.uint32)).ravel().view(np.int64)
-            tree = np.tile(np.arange(TREES, dtype=np.int32), part.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(np.repeat(np.asarray(part.column(0)), TREES))], names=["tree", "node", "rep"])
+            root = np.tile(np.arange(len(ROOTS), dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(node), pa.array(np.repeat(np.asarray(part.column(0)), len(ROOTS)))], names=["root", "node", "rep"])
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """BRANCHES further nodes below a node for each member, by tokens that the node selects."""
+    """The members' nodes one level deeper: by one token that the node chooses, or by two."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
             node = np.asarray(part.column(1)).view(np.uint64)
-            tokens = _matrix(part.column(3), np.uint32).astype(np.uint64)
-            rows = np.arange(len(tokens))
-            for b in range(BRANCHES):
-                seed = _mix(node + np.uint64(7919 * (b + 1)))
-                child = _mix(seed * np.uint64(0x9E3779B97F4A7C15) + tokens[rows, (seed % np.uint64(FUNCTIONS)).astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(child.view(np.int64)), part.column(2)], names=["tree", "node", "rep"])
+            tokens = _matrix(part.column(3), np.uint32)
+            choice = _mix(node + np.uint64(7919))
+            function = (choice % np.uint64(FUNCTIONS)).astype(np.int64)
+            more = np.flatnonzero(choice >> np.uint64(8) & np.uint64(0xFFFF) < np.uint64(65536 // 3))
+            second = (function[more] + 1 + (choice[more] >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64) % (FUNCTIONS - 1)) % FUNCTIONS
+            at, function = np.concatenate([np.arange(len(node)), more]), np.concatenate([function, second])
+            child = _child(node[at], function, tokens[at, function]).view(np.int64)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(child), part.column(2).take(take)], names=["root", "node", "rep"])
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -134,28 +146,19 @@ def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) * OF >= np.maximum(n, m) * ABOVE
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b, n, m = (np.asarray(batch.column(i)) for i in range(4))
-            est = _similar(_matrix(batch.column(4), np.uint8), _matrix(batch.column(5), np.uint8))
-            ok = (est >= LEAST_ESTIMATE) & _fits(n, m)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(est[ok])], names=["a", "b", "est"])
-
-
-def _pairs(block: dict[str, np.ndarray], tree: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _pairs(block: dict[str, np.ndarray], root: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(i, others, estimates): likely similar members of different components in a block.
 
     A block compared with itself has only left members; else left ones meet those that are not.  A
-    pair that shares a node of an earlier tree too is left to that tree, unless that node branched:
-    its pairs are compared only where they share a child.
+    pair that shares a node of an earlier root too is left to that one, unless that node branched: its
+    pairs are compared only where they share a child.
     """
     rep, comp, n, left, prints, trail, branched = (block[k] for k in ("rep", "comp", "n", "left", "prints", "trail", "branched"))
     alone = bool(left.all())
     for i in np.flatnonzero(left):
         at = np.flatnonzero((comp != comp[i]) & _fits(n, n[i]) & ((rep > rep[i]) if alone else ~left))
-        if len(at) and tree:
-            whole = np.flatnonzero(branched[i] >> np.arange(tree) & 1 == 0)
+        if len(at) and root:
+            whole = np.flatnonzero(branched[i] >> np.arange(root) & 1 == 0)
             at = at[~(trail[np.ix_(at, whole)] == trail[i, whole]).any(axis=1)]
         if len(at):
             est = _similar(prints[at], prints[i])
@@ -177,10 +180,10 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     only its name, with null for the pair."""
     for batch in batches:
         for r in range(batch.num_rows):
-            node, i, j, tree = (batch.column(c)[r].as_py() for c in range(4))
+            node, i, j, root = (batch.column(c)[r].as_py() for c in range(4))
             block = _block(batch.column(4)[r].values)
             rep, out_a, out_b, room = block["rep"], [], [], SPARSE * len(block["rep"])
-            for k, at, _ in _pairs(block, tree):
+            for k, at, _ in _pairs(block, root):
                 out_a.append(np.minimum(rep[at], rep[k]))
                 out_b.append(np.maximum(rep[at], rep[k]))
                 room -= len(at)
@@ -196,7 +199,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within dense blocks, confirmed on the full sets; no more than join the components."""
     for batch in batches:
         for r in range(batch.num_rows):
-            tree, entries = batch.column(0)[r].as_py(), batch.column(1)[r].values
+            at_root, entries = batch.column(0)[r].as_py(), batch.column(1)[r].values
             block = _block(entries)
             sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in entries.field("members")]
             root = {int(c): int(c) for c in block["comp"]}
@@ -207,7 +210,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return c
 
             out_a, out_b = [], []
-            for k, at, est in _pairs(block, tree):
+            for k, at, est in _pairs(block, at_root):
                 for m in at[np.argsort(-est, kind="stable")]:
                     x, y = find(int(block["comp"][k])), find(int(block["comp"][m]))
                     if x != y and _enough(sets[k], sets[m]):
@@ -233,35 +236,48 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    x = sets.select(F.col("rep").alias("a"), F.col("members").alias("x"))
+    """Those of the pairs (a, b) whose full sets are similar enough.
+
+    The set of an ``a`` with more than HOT_ROWS pairs is copied once for each HOT_ROWS of them.
+    """
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("copies")).where("copies > 1")
+    copies = F.broadcast(copies)  # no more rows than pairs / HOT_ROWS
+    copy = F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int")
+    dealt = pairs.select("a", "b").join(copies, "a", "left").select("a", "b", copy.alias("copy"))
+    x = sets.select(F.col("rep").alias("a"), F.col("members").alias("x")).join(copies, "a", "left")
+    x = x.select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     y = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
+    return dealt.join(x, ["a", "copy"]).join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
 
 
 def _occupied(paths: DataFrame) -> DataFrame:
     """Members of the nodes that two or more share, with the node's size and least member."""
     nodes = paths.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
-    return paths.join(nodes, "node")
+    nodes = stored(nodes.withColumn("hot", F.col("size") > hot_rows(paths)), "nodes")
+    return join_groups(paths, nodes, ["node"])
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members with their components (their own id while they have no link)."""
-    return members.join(comps, members.rep == comps.node_, "left").withColumn("comp", F.coalesce("component", "rep")).drop("node_", "component")
+    named = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    return members.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of nodes with several components: size, the largest component and how many others."""
+    members = members.select("root", "node", "rep", "comp")
     by = members.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    nodes = by.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("most")).select("node", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.k")).alias("minor")).where("minor > 0")
-    return members.select("tree", "node", "rep", "comp").join(nodes, "node")
+    nodes = by.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("most"))
+    nodes = nodes.select("node", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.k")).alias("minor")).where("minor > 0")
+    nodes = stored(nodes.withColumn("hot", F.col("size") > hot_rows(members)), "nodes")
+    return join_groups(members, nodes, ["node"]).drop("hot")
 
 
 def _marked(prints: DataFrame, rest: DataFrame | None) -> DataFrame:
-    """``prints`` with a bit in ``branched`` for each tree in which the member's node branches."""
+    """``prints`` with a bit in ``branched`` for each root below which the member's node branches."""
     if rest is None:
         return prints.withColumn("branched", F.lit(0).cast("long"))
-    bits = rest.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).alias("branched"))
+    bits = rest.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("root"))).alias("branched"))
     return stored(prints.join(bits, "rep", "left").withColumn("branched", F.coalesce("branched", F.lit(0).cast("long"))), "marked")
 
 
@@ -287,98 +303,120 @@ def _dealt(members: DataFrame, prints: DataFrame) -> DataFrame:
             F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
-    return placed.join(prints, "rep").withColumn("at", F.explode(meets)).select("tree", "node", "at.i", "at.j", "rep", "comp", "n", "prints", "trail", "branched", (F.col("own") == F.col("at.i")).alias("left"))
-
+    return placed.join(prints, "rep").withColumn("at", F.explode(meets)).select("root", "node", "at.i", "at.j", "rep", "comp", "n", "prints", "trail", "branched", (F.col("own") == F.col("at.i")).alias("left"))
 
-def _new_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the blocks' members beyond those within components."""
-    entry = ["rep", "comp", "n", "prints", "trail", "branched", "left"]
-    blocks = dealt.groupBy("node", "i", "j", "tree").agg(F.collect_list(F.struct(*entry)).alias("block"))
-    found = stored(blocks.mapInArrow(_compare_blocks, _FOUND), "found")
-    sparse = _links(found.where("a is not null").select("a", "b").distinct(), sets)
-    dense = dealt.join(found.where("a is null").select("node", "i", "j"), ["node", "i", "j"], "left_semi").join(sets, "rep")
-    full = dense.groupBy("node", "i", "j", "tree").agg(F.collect_list(F.struct(*entry, "members")).alias("block")).select("tree", "block")
-    return stored(sparse.union(full.mapInArrow(_link_blocks, "a long, b long")), "links")
 
+_ENTRY = ["rep", "comp", "n", "prints", "trail", "branched", "left"]
 
-def _few(ids: DataFrame) -> DataFrame:
-    """Ids as a broadcast side if their number is within BROADCAST_IDS, else as they are."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
+def _found(dealt: DataFrame) -> DataFrame:
+    """Likely pairs of the blocks' members, and the blocks that have too many of them."""
+    blocks = dealt.groupBy("node", "i", "j", "root").agg(F.collect_list(F.struct(*_ENTRY)).alias("block"))
+    return stored(blocks.mapInArrow(_compare_blocks, _FOUND), "found")
 
-def _named(comps: DataFrame) -> DataFrame:
-    return comps.select(F.col("node").alias("node_"), "component")
 
+def _sets(source: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, members) of some representatives, from the text of one document of each."""
+    wanted = stored(reps.join(ids.distinct(), "rep").select("rep", "least", "n", "h1", "h2"), "wanted")
+    texts = wanted.select(F.col("least").alias("doc_id")).distinct()
+    texts = F.broadcast(texts) if wanted.count() <= BROADCAST_IDS else texts
+    every = source.join(texts, "doc_id", "left_semi").mapInArrow(_shingle_sets, "n long, h1 long, h2 long, members binary")
+    return stored(every.join(wanted.select("rep", "n", "h1", "h2"), ["n", "h1", "h2"]).groupBy("rep").agg(F.any_value("members").alias("members")), "sets")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, n_shingles, component_id and kept.
 
-    Words are runs of other characters than white space (0x20, 0x09-0x0D), with A-Z lowered.  The
-    set of a document is that of its distinct five-word shingles; with fewer words it is the whole
-    sequence as one; a null, empty or blank text has the empty set and is linked with nothing.
-    Documents are linked from a similarity of 0.75; component_id is the least id that links reach,
-    and the document of that id is kept.  Rows that share an id share what their equal texts get.
-    Other columns are ignored, a null id is never linked, and an empty table gives an empty result.
-    """
-    # Sets are compared as sets of 64-bit hashes. Every table that several steps read is written once.
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(source.mapInArrow(_signatures, "doc_id long, n long, h1 long, h2 long, tokens binary"), "signed")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    # where rows of one id have different texts, one of its sets stands for the id in comparisons
-    chosen = classes.groupBy("rep").agg(F.min(F.struct("n", "h1", "h2")).alias("k")).select(F.col("rep").alias("doc_id"), "k.n", "k.h1", "k.h2")
-    reps = signed.join(chosen, ["doc_id", "n", "h1", "h2"]).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    reps = stored(reps, "reps")
-    paths = reps.select("rep", "tokens").mapInArrow(_paths, "tree int, node long, rep long")
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, body (hash of the text), n, component_id and kept of every row."""
+    lean_workers(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
+    signed = stored(source.mapInArrow(_signatures, "doc_id long, body long, n long, h1 long, h2 long, tokens binary"), "signed")
+    # equal sets have one representative; its number is fixed once the table is written
+    reps = signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.any_value("tokens").alias("tokens"))
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    paths = reps.select("rep", "tokens").mapInArrow(_paths, "root int, node long, rep long")
     members = stored(_occupied(paths), "members")
-    inside = stored(members.select("rep").distinct(), "inside")
-    prints = stored(reps.join(inside, "rep").select("rep", "n", "tokens").mapInArrow(_prints, "rep long, n long, prints binary, trail binary"), "prints")
-    near = _few(inside.select(F.col("rep").alias("doc_id")))
-    every = source.join(near, "doc_id", "left_semi").mapInArrow(_sets, "rep long, n long, h1 long, h2 long, members binary")
-    sets = stored(every.join(reps.select("rep", "n", "h1", "h2"), ["rep", "n", "h1", "h2"]).select("rep", "members").dropDuplicates(["rep"]), "sets")
-
-    # Round 1: each representative with the best of its leaders.
-    star = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    left = prints.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("p_a"))
-    right = prints.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("p_b"))
-    scored = star.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_estimate, "a long, b long, est double")
-    best = scored.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), "b")
-    links = stored(_links(best, sets), "links")
-    comps = _named(connected_components(links))
+
+    # Round 1: each representative with the leader of most of its nodes.
+    led = members.where("rep != leader").groupBy("rep", "leader").agg(F.count("*").alias("k")).where(F.col("k") >= LED)
+    best = led.groupBy("rep").agg(F.max(F.struct("k", (-F.col("leader")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), F.col("rep").alias("b"))
+    best = stored(best, "best")
+    links = stored(_links(best, _sets(source, reps, best.select(F.col("a").alias("rep")).union(best.select("b")))), "links")
+    comps = connected_components(links)
 
     # Round 2: all pairs of a node whose components differ; large nodes branch first.
     todo = stored(_mixed(_labelled(members, comps)), "mixed")
+    prints = reps.join(todo.select("rep").distinct(), "rep").select("rep", "n", "tokens").mapInArrow(_prints, "rep long, n long, prints binary, trail binary")
+    prints = stored(prints, "prints")
+    compared = []
     for level in range(LEVELS + 1):
         large = F.lit(False) if level == LEVELS else (F.col("size") > BLOCK) & (F.col("size") * F.col("minor") > WORK)
         rest = todo.where(large)
         last = level == LEVELS or rest.isEmpty()
         if level == 0:
             prints = _marked(prints, None if last else rest)
-        links = links.union(_new_links(_dealt(todo.where(~large), prints), sets))
+        dealt = _dealt(todo.where(~large), prints)
+        compared.append((dealt, _found(dealt)))
         if last:
             break
-        below = rest.select("tree", "node", "rep").join(reps.select("rep", "tokens"), "rep").select("tree", "node", "rep", "tokens").mapInArrow(_children, "tree int, node long, rep long")
-        todo = stored(_mixed(_labelled(_occupied(below), comps)), "mixed")
-    comps = _named(connected_components(links))
+        below = rest.select("root", "node", "rep").join(reps.select("rep", "tokens"), "rep").select("root", "node", "rep", "tokens").mapInArrow(_children, "root int, node long, rep long")
+        todo = stored(_mixed(_labelled(_occupied(stored(below, "below")), comps)), "mixed")
+    pairs, full = None, None
+    for dealt, found in compared:
+        some = found.where("a is not null").select("a", "b")
+        crowded = dealt.join(found.where("a is null").select("node", "i", "j"), ["node", "i", "j"], "left_semi")
+        pairs, full = (some, crowded) if pairs is None else (pairs.union(some), full.union(crowded))
+    pairs, full = stored(pairs.distinct(), "pairs"), stored(full, "crowded")
+    sets = _sets(source, reps, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(full.select("rep")))
+    blocks = full.join(sets, "rep").groupBy("node", "i", "j", "root").agg(F.collect_list(F.struct(*_ENTRY, "members")).alias("block")).select("root", "block")
+    more = stored(_links(pairs, sets).union(blocks.mapInArrow(_link_blocks, "a long, b long")), "links")
+    comps = connected_components(links.union(more))
+
+    # a component has the least id of its documents
+    named = reps.select("rep", "least", "n", "h1", "h2").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = stored(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), (F.count("*") > hot_rows(named)).alias("hot"))
+    named = join_groups(named, stored(least, "least"), ["component"])
+    # and a set, however many documents have it, the component of its representative
+    sizes = signed.where("n > 0").groupBy("n", "h1", "h2").agg((F.count("*") > hot_rows(signed)).alias("hot"))
+    named = stored(named.drop("hot").join(sizes, ["n", "h1", "h2"]).select("n", "h1", "h2", "component_id", "hot"), "named")
+    linked = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    own = ["doc_id", "body", "n"]
+    out = join_groups(signed.where(linked).select(*own, "h1", "h2"), named, ["n", "h1", "h2"]).select(*own, "component_id")
+    out = out.union(signed.where(~linked).select(*own, F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
 
-    named = classes.join(comps, classes.rep == comps.node_, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, n_shingles, component_id and kept.
+
+    Words are runs of other characters than white space (0x20, 0x09-0x0D), with A-Z lowered.  The
+    set of a document is that of its distinct five-word shingles, compared by 64-bit hashes; with fewer
+    words it is the whole sequence as one; a null, empty or blank text has the empty set and is linked
+    with nothing.  Documents are linked from a similarity of 0.75; component_id is the least id that
+    links reach, and documents of that id are kept.  Rows are documents of their own: of rows with one
+    id and different texts each is in the component of its own text, all of the id being kept where it
+    is the least.  Equal rows have equal results.  A very long text is one set, read by one task.
+    Other columns are ignored, a null id is never linked, and an empty table gives an empty result.
+    """
+    found = _components(docs, id_col, text_col)
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low byte of each minwise token, and 32 bits of each tree's node."""
+    """The low byte of each minwise token, and 32 bits of each root's node."""
     for batch in batches:
         tokens = _matrix(batch.column(2), np.uint32)
         prints, trail, rows = tokens.astype(np.uint8), _nodes(tokens).astype(np.uint32), np.arange(len(tokens) + 1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_column(prints.ravel(), rows * FUNCTIONS), binary_column(trail.ravel(), rows * TREES)], names=["rep", "n", "prints", "trail"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_column(prints.ravel(), rows * FUNCTIONS), binary_column(trail.ravel(), rows * len(ROOTS))], names=["rep", "n", "prints", "trail"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is kept: one of each group of near-duplicates."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id_")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("kept_id_")), "left_semi")
+    """The rows of ``docs`` whose document is kept: of each group of near-duplicates that of the least
+    id; rows with a null id stay.  All columns are kept, whatever their names."""
+    id_, of = free_name(docs, "id"), free_name(docs, "of")
+    gone = _components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_), F.col("body").alias(of)).distinct()
+    gone = stored(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, (docs[id_col] == gone[id_]) & (F.xxhash64(docs[text_col]) == gone[of]), "left_anti")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +49,26 @@ def lean_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault(name, value)
 
 
+#: Rows of a group from which its columns are broadcast to its rows instead of joined by shuffle; with
+#: more than HOT_GROUPS times as many rows in all, in proportion. So at most HOT_GROUPS are broadcast.
+HOT_ROWS, HOT_GROUPS = 10_000, 1_000_000
+
+
+def hot_rows(rows: DataFrame) -> int:
+    """Rows from which a group of this table is hot."""
+    return max(HOT_ROWS, rows.count() // HOT_GROUPS)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their group's columns, among them ``hot``. Hot groups, at most HOT_GROUPS of them,
+    are broadcast, so that no task gets all rows of one; all others are joined by shuffle."""
+    if groups.where("hot").isEmpty():
+        return rows.join(groups, keys)
+    hot = F.broadcast(groups.where("hot"))
+    rest = rows.join(F.broadcast(groups.where("hot").select(*keys)), keys, "left_anti").join(groups.where("not hot"), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the table doesn't have yet (Spark's names don't tell case apart)."""
     taken, name = {c.lower() for c in df.columns}, f"_{wanted}"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, lean_workers, stored
+from .shared import free_name, hot_rows, join_groups, lean_workers, stored
 from .tables import table, with_field
 from .textvec import Words, _mix, chunks, ranges
 
@@ -31,9 +31,6 @@ from .textvec import Words, _mix, chunks, ranges
 LINE_WORDS = 5
 #: Words of a passage, of an anchor, and consecutive anchors of which the least hash is selected.
 PASSAGE, RUN, WINDOW = 50, 25, 25
-#: Occurrences of a digest from which its first is broadcast instead of joined by shuffle; with more
-#: than HOT_GROUPS times as many rows in all, in proportion. So at most HOT_GROUPS are broadcast.
-HOT_ROWS, HOT_GROUPS = 10_000, 1_000_000
 #: Ids of documents that are broadcast at most, to leave others out of a shuffle of texts.
 BROADCAST_IDS = 2_000_000
 
@@ -172,20 +169,6 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["hash", "check", "doc_id", "body", "at", "later"])
 
 
-def _hot_rows(rows: DataFrame) -> int:
-    return max(HOT_ROWS, rows.count() // HOT_GROUPS)
-
-
-def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their group's columns. Groups marked ``hot``, at most HOT_GROUPS of them, are
-    broadcast, so that no task gets all rows of one; all others are joined by shuffle."""
-    if groups.where("hot").isEmpty():
-        return rows.join(groups, keys)
-    hot = F.broadcast(groups.where("hot"))
-    rest = rows.join(F.broadcast(groups.where("hot").select(*keys)), keys, "left_anti").join(groups.where("not hot"), keys)
-    return rows.join(hot, keys).unionByName(rest)
-
-
 def _few(ids: DataFrame) -> DataFrame | None:
     """Distinct ids as a broadcast side, if their number allows it."""
     ids = stored(ids.distinct(), "ids")
@@ -195,26 +178,26 @@ def _few(ids: DataFrame) -> DataFrame | None:
 def _passages(texts: DataFrame, shared: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, body, at, n, keeper) of the PASSAGE words around outer anchors that a smaller id has."""
     edges = edges.groupBy("hash").agg(F.max("hot").alias("hot"))
-    spots = _joined(shared.where("not line").select("hash", "doc_id", "body", "at", "later"), edges, ["hash"])
+    spots = join_groups(shared.where("not line").select("hash", "doc_id", "body", "at", "later"), edges, ["hash"])
     spots = stored(spots.groupBy("doc_id", "body").agg(F.collect_set(F.struct("at", "later")).alias("spots")), "spots")
     few = _few(spots.select("doc_id"))
     near = (texts if few is None else texts.join(few, "doc_id", "left_semi")).join(spots, ["doc_id", "body"])
     runs = stored(near.select("doc_id", "body", "text", "spots").mapInArrow(_around, _RUN), "runs")
-    hot = F.col("times") > _hot_rows(runs)
+    hot = F.col("times") > hot_rows(runs)
     first = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "check")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
     first = stored(first.where("last > first.doc_id").select("hash", "first", hot.alias("hot")), "first")
-    later = _joined(runs.where("later").select("hash", "check", "doc_id", "body", "at"), first, ["hash"]).where("doc_id > first.doc_id and check = first.check")
+    later = join_groups(runs.where("later").select("hash", "check", "doc_id", "body", "at"), first, ["hash"]).where("doc_id > first.doc_id and check = first.check")
     return later.select("doc_id", "body", "at", F.lit(PASSAGE).alias("n"), F.col("first.doc_id").alias("keeper"))
 
 
 def _spans(texts: DataFrame, passages: bool) -> DataFrame:
     """(doc_id, body, at, n, keeper): words [at, at + n) of a text that go."""
     occ = stored(texts.mapInArrow(_occurrences(passages), _OCCURRENCE), "units")
-    hot = F.col("times") > _hot_rows(occ)
+    hot = F.col("times") > hot_rows(occ)
     first = occ.groupBy("hash", "line").agg(F.min(F.struct("doc_id", "at", "check")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
     first = stored(first.where("times > 1 and (line or last > first.doc_id)").select("hash", "line", "first", hot.alias("hot")), "first")
     later = F.when(F.col("line"), F.struct("doc_id", "at") > F.struct("first.doc_id", "first.at")).otherwise(F.col("doc_id") > F.col("first.doc_id"))
-    shared = _joined(occ, first, ["hash", "line"]).where("check = first.check")
+    shared = join_groups(occ, first, ["hash", "line"]).where("check = first.check")
     shared = stored(shared.select("hash", "doc_id", "body", "at", "n", "line", F.col("first.doc_id").alias("keeper"), F.col("first.at").alias("there"), later.alias("later"), "hot"), "shared")
     each = shared.where("later").groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", "line", "keeper", "there", "hash", "hot"))).alias("spans"))
     found = stored(each.mapInArrow(_chains, _FOUND), "found")
