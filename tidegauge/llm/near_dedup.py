@@ -8,12 +8,13 @@ its members can be compared exhaustively, which is done by fingerprint; what fin
 is confirmed on the full sets.
 
 Two documents of similarity 0.75 keep one common child on average.  They meet in a node of depth 1, 2,
-3, 4 or 5 of a tree with probability 0.81, 0.69, 0.60, 0.53 or 0.48, in one of TREES trees all but 3 in
-10**15, 7 in 10**11, 10**8, 3 in 10**7 or 2 in 10**6; of higher similarity more surely.  Only groups
+3, 4 or 5 of a tree with probability 0.81, 0.69, 0.60, 0.53 or 0.48, in one of TREES trees all but 2 in
+10**12, 8 in 10**9, 4 in 10**7, 5 in 10**6 or 3 in 10**5; of higher similarity more surely.  Only groups
 of more than BLOCK documents that share a token reach beyond depth 1.
 
 Work on groups of copies is kept linear: equal sets have one representative; a first round links
-each representative to the leader of most of its nodes only; after that only pairs whose components
+each representative to the leader of most of its nodes only, the member that has the most in common with
+all others; after that only pairs whose components
 still differ are compared.
 """
 
@@ -34,13 +35,13 @@ from .textvec import _mix, binary_column, chunks, shingles, unique_per_doc
 #: Five-word shingles, Jaccard similarity of at least 75 / 100.
 WIDTH, ABOVE, OF = 5, 75, 100
 #: Independent trees, and minwise functions in all.
-TREES, FUNCTIONS = 20, 128
+TREES, FUNCTIONS = 16, 128
 #: (tree, function) of the tokens that the roots choose: one, in every third tree two.
-ROOTS = [(t, f) for t in range(TREES) for f in ([6 * t, 6 * t + 3] if t % 3 == 0 else [6 * t])]
+ROOTS = [(t, f) for t in range(TREES) for f in ([8 * t, 8 * t + 4] if t % 3 == 0 else [8 * t])]
 #: Further levels at most.
 LEVELS = 4
 #: Members compared at once; a node of more branches unless its comparisons are no more than WORK.
-BLOCK, WORK = 512, 512 * 512
+BLOCK, WORK = 512, 2_000_000
 #: Nodes that a representative has to have in common with a leader, to be compared with it first.
 LED = len(ROOTS) // 4
 #: Likely pairs for each member of a block up to which they are listed; beyond, the block is linked
@@ -100,14 +101,16 @@ def _matrix(col: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(raw, dtype=kind).reshape(len(col), -1) if len(col) else np.zeros((0, 1), dtype=kind)
 
 
-def _child(node: np.ndarray, function: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return _mix(node * np.uint64(0x9E3779B97F4A7C15) + (function.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)))
+def _child(node: np.ndarray, root: np.ndarray, function: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The number of a node's child; its lowest five bits are the root."""
+    mixed = _mix(node * np.uint64(0x9E3779B97F4A7C15) + (function.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)))
+    return mixed << np.uint64(5) | root.astype(np.uint64)
 
 
 def _nodes(tokens: np.ndarray) -> np.ndarray:
     """The nodes at depth 1 of each representative, one for each of ROOTS."""
     tree, function = (np.array(x) for x in zip(*ROOTS))
-    return _child(_mix(tree.astype(np.uint64) + np.uint64(1)), function, tokens[:, function])
+    return _child(_mix(tree.astype(np.uint64) + np.uint64(1)), np.arange(len(ROOTS)), function, tokens[:, function])
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +118,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
             node = _nodes(_matrix(part.column(1), np.uint32)).ravel().view(np.int64)
-            root = np.tile(np.arange(len(ROOTS), dtype=np.int32), part.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(node), pa.array(np.repeat(np.asarray(part.column(0)), len(ROOTS)))], names=["root", "node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(np.asarray(part.column(0)), len(ROOTS)))], names=["node", "rep"])
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +126,15 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
-            node = np.asarray(part.column(1)).view(np.uint64)
-            tokens = _matrix(part.column(3), np.uint32)
+            node = np.asarray(part.column(0)).view(np.uint64)
+            tokens = _matrix(part.column(2), np.uint32)
             choice = _mix(node + np.uint64(7919))
             function = (choice % np.uint64(FUNCTIONS)).astype(np.int64)
             more = np.flatnonzero(choice >> np.uint64(8) & np.uint64(0xFFFF) < np.uint64(65536 // 3))
             second = (function[more] + 1 + (choice[more] >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64) % (FUNCTIONS - 1)) % FUNCTIONS
             at, function = np.concatenate([np.arange(len(node)), more]), np.concatenate([function, second])
-            child = _child(node[at], function, tokens[at, function]).view(np.int64)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(child), part.column(2).take(take)], names=["root", "node", "rep"])
+            child = _child(node[at], node[at] & np.uint64(31), function, tokens[at, function]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(child), part.column(1).take(pa.array(at))], names=["node", "rep"])
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,10 +181,10 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     only its name, with null for the pair."""
     for batch in batches:
         for r in range(batch.num_rows):
-            node, i, j, root = (batch.column(c)[r].as_py() for c in range(4))
-            block = _block(batch.column(4)[r].values)
+            node, i, j = (batch.column(c)[r].as_py() for c in range(3))
+            block = _block(batch.column(3)[r].values)
             rep, out_a, out_b, room = block["rep"], [], [], SPARSE * len(block["rep"])
-            for k, at, _ in _pairs(block, root):
+            for k, at, _ in _pairs(block, node & 31):
                 out_a.append(np.minimum(rep[at], rep[k]))
                 out_b.append(np.maximum(rep[at], rep[k]))
                 room -= len(at)
@@ -199,7 +200,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within dense blocks, confirmed on the full sets; no more than join the components."""
     for batch in batches:
         for r in range(batch.num_rows):
-            at_root, entries = batch.column(0)[r].as_py(), batch.column(1)[r].values
+            node, entries = batch.column(0)[r].as_py(), batch.column(1)[r].values
             block = _block(entries)
             sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in entries.field("members")]
             root = {int(c): int(c) for c in block["comp"]}
@@ -210,7 +211,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return c
 
             out_a, out_b = [], []
-            for k, at, est in _pairs(block, at_root):
+            for k, at, est in _pairs(block, node & 31):
                 for m in at[np.argsort(-est, kind="stable")]:
                     x, y = find(int(block["comp"][k])), find(int(block["comp"][m]))
                     if x != y and _enough(sets[k], sets[m]):
@@ -251,12 +252,27 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _occupied(paths: DataFrame) -> DataFrame:
-    """Members of the nodes that two or more share, with the node's size and least member."""
-    nodes = paths.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
+    """Members of the nodes that two or more share, with the node's size."""
+    nodes = paths.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     nodes = stored(nodes.withColumn("hot", F.col("size") > hot_rows(paths)), "nodes")
     return join_groups(paths, nodes, ["node"])
 
 
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """(rep, leader): for each representative the member that leads most of its nodes, LED at least.
+
+    A node is led by that of its members whose nodes have most members in all: of a text and changed
+    copies of it, the text, with which each has more in common than with the others.
+    """
+    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weight, "rep").select("node", "rep", "weight")
+    leaders = weighed.groupBy("node").agg(F.max(F.struct("weight", "rep")).alias("top"), F.count("*").alias("size"))
+    leaders = stored(leaders.select("node", F.col("top.rep").alias("leader"), (F.col("size") > hot_rows(members)).alias("hot")), "leaders")
+    led = join_groups(members.select("node", "rep"), leaders, ["node"]).where("rep != leader")
+    counted = led.groupBy("rep", "leader").agg(F.count("*").alias("k")).where(F.col("k") >= LED)
+    return counted.groupBy("rep").agg(F.max(F.struct("k", "leader")).alias("top")).select("rep", F.col("top.leader").alias("leader"))
+
+
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members with their components (their own id while they have no link)."""
     named = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
@@ -265,7 +281,7 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of nodes with several components: size, the largest component and how many others."""
-    members = members.select("root", "node", "rep", "comp")
+    members = members.select("node", "rep", "comp")
     by = members.groupBy("node", "comp").agg(F.count("*").alias("k"))
     nodes = by.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("most"))
     nodes = nodes.select("node", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.k")).alias("minor")).where("minor > 0")
@@ -277,7 +293,7 @@ def _marked(prints: DataFrame, rest: DataFrame | None) -> DataFrame:
     """``prints`` with a bit in ``branched`` for each root below which the member's node branches."""
     if rest is None:
         return prints.withColumn("branched", F.lit(0).cast("long"))
-    bits = rest.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("root"))).alias("branched"))
+    bits = rest.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("node").bitwiseAND(31).cast("int"))).alias("branched"))
     return stored(prints.join(bits, "rep", "left").withColumn("branched", F.coalesce("branched", F.lit(0).cast("long"))), "marked")
 
 
@@ -303,7 +319,7 @@ def _dealt(members: DataFrame, prints: DataFrame) -> DataFrame:
             F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
-    return placed.join(prints, "rep").withColumn("at", F.explode(meets)).select("root", "node", "at.i", "at.j", "rep", "comp", "n", "prints", "trail", "branched", (F.col("own") == F.col("at.i")).alias("left"))
+    return placed.join(prints, "rep").withColumn("at", F.explode(meets)).select("node", "at.i", "at.j", "rep", "comp", "n", "prints", "trail", "branched", (F.col("own") == F.col("at.i")).alias("left"))
 
 
 _ENTRY = ["rep", "comp", "n", "prints", "trail", "branched", "left"]
@@ -311,7 +327,7 @@ _ENTRY = ["rep", "comp", "n", "prints", "trail", "branched", "left"]
 
 def _found(dealt: DataFrame) -> DataFrame:
     """Likely pairs of the blocks' members, and the blocks that have too many of them."""
-    blocks = dealt.groupBy("node", "i", "j", "root").agg(F.collect_list(F.struct(*_ENTRY)).alias("block"))
+    blocks = dealt.groupBy("node", "i", "j").agg(F.collect_list(F.struct(*_ENTRY)).alias("block"))
     return stored(blocks.mapInArrow(_compare_blocks, _FOUND), "found")
 
 
@@ -332,12 +348,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # equal sets have one representative; its number is fixed once the table is written
     reps = signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.any_value("tokens").alias("tokens"))
     reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    paths = reps.select("rep", "tokens").mapInArrow(_paths, "root int, node long, rep long")
+    paths = reps.select("rep", "tokens").mapInArrow(_paths, "node long, rep long")
     members = stored(_occupied(paths), "members")
 
     # Round 1: each representative with the leader of most of its nodes.
-    led = members.where("rep != leader").groupBy("rep", "leader").agg(F.count("*").alias("k")).where(F.col("k") >= LED)
-    best = led.groupBy("rep").agg(F.max(F.struct("k", (-F.col("leader")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), F.col("rep").alias("b"))
+    best = _with_leaders(members).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     best = stored(best, "best")
     links = stored(_links(best, _sets(source, reps, best.select(F.col("a").alias("rep")).union(best.select("b")))), "links")
     comps = connected_components(links)
@@ -357,7 +372,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         compared.append((dealt, _found(dealt)))
         if last:
             break
-        below = rest.select("root", "node", "rep").join(reps.select("rep", "tokens"), "rep").select("root", "node", "rep", "tokens").mapInArrow(_children, "root int, node long, rep long")
+        below = rest.select("node", "rep").join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(_children, "node long, rep long")
         todo = stored(_mixed(_labelled(_occupied(stored(below, "below")), comps)), "mixed")
     pairs, full = None, None
     for dealt, found in compared:
@@ -366,7 +381,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         pairs, full = (some, crowded) if pairs is None else (pairs.union(some), full.union(crowded))
     pairs, full = stored(pairs.distinct(), "pairs"), stored(full, "crowded")
     sets = _sets(source, reps, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(full.select("rep")))
-    blocks = full.join(sets, "rep").groupBy("node", "i", "j", "root").agg(F.collect_list(F.struct(*_ENTRY, "members")).alias("block")).select("root", "block")
+    blocks = full.join(sets, "rep").groupBy("node", "i", "j").agg(F.collect_list(F.struct(*_ENTRY, "members")).alias("block")).select("node", "block")
     more = stored(_links(pairs, sets).union(blocks.mapInArrow(_link_blocks, "a long, b long")), "links")
     comps = connected_components(links.union(more))
 
