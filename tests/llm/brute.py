@@ -143,27 +143,27 @@ def simhash(w: list[str]) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(w))
 
 
-def leaks(docs, items, radius: int = 15) -> dict[tuple[int, int], float]:
-    """(doc, item) -> best similarity of an item-sized window within the radius."""
+def leaks(docs, items, radius: int = 64) -> dict[tuple[int, int], float]:
+    """(doc, item) -> best similarity of an item-sized window within the radius, of all that overlap
+    the document."""
     out: dict = {}
     prepared = [(i, bench_words(t)) for i, t in items]
     prepared = [(i, w, bench_grams(w), simhash(w)) for i, w in prepared if w]
     for d, text in docs:
         w = bench_words(text)
-        where = defaultdict(list)
-        for p in range(len(w)):
-            for k in range(1, 6):
-                if p + k <= len(w):
-                    where[tuple(w[p : p + k])].append(p)
+        here = set()
+        for k in range(1, 6):
+            here.update(tuple(w[p : p + k]) for p in range(len(w) - k + 1))
         for item, iw, grams, finger in prepared:
-            m, k = len(iw), min(5, len(iw))
-            starts = {p - q for q in range(m - k + 1) for p in where.get(tuple(iw[q : q + k]), ())}
-            for s in starts:
-                win = w[max(s, 0) : max(s, 0) + max(0, min(s + m, len(w)) - max(s, 0))]
+            m = len(iw)
+            if not here & grams.keys():
+                continue
+            for s in range(1 - m, len(w)):
+                win = w[max(s, 0) : max(0, s + m)]
                 g = bench_grams(win)
-                both = sum((g & grams).values())
+                both = sum(min(n, grams[x]) for x, n in g.items() if x in grams)
                 sim = both / (sum(g.values()) + sum(grams.values()) - both)
-                if 100 * sim >= 75 and (simhash(win) ^ finger).bit_count() <= radius:
+                if 100 * sim >= 75 and (radius == 64 or (simhash(win) ^ finger).bit_count() <= radius):
                     out[d, item] = max(out.get((d, item), 0), sim)
     return out
 
