@@ -21,6 +21,7 @@ from tidegauge.llm.token_files import read_token_files, write_token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ["ids", "decoded", "deduped", "removed", "kept", "size", "shard", "slot", "score", "n_words", "component_id", "n_tokens", "spans_", "body"]
+CLASHING += ["_id", "_of", "_body", "_spans", "_deduped", "_removed", *(f"_{x}" for x in "twlhspkg"), "t_", "k_", "leak_", "kept_id_"]
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
 

@@ -3,9 +3,12 @@
 An interpolated modified Kneser-Ney bigram model (Chen and Goodman, 1998) over the pieces of a public
 BPE vocabulary is trained on all trusted text: labelled documents of quality 1 that are not toxic.
 
-Counts are sharded by a hash of the bigram.  Tasks send to each shard one packed array of the
-bigrams of a block of documents, each bigram once per document; the shard holds its part of the
-model, adds up the log probabilities by document and returns one number per document.  A document's
+Counts are sharded by a hash of the bigram.  The FREQUENT most frequent bigrams are broadcast, and
+what they add to a document is summed up where the document is read.  Of all others, tasks send to each
+shard one packed array for a block of documents, each bigram once per document; the shard holds its part
+of the model, adds up the log probabilities by document and returns one number per document.  Shards are
+copied in proportion to the partitions of the documents and each block asks one copy, so that a bigram
+which is rare in trusted text but common in the corpus is no task's burden either.  A document's
 perplexity is compared with a high quantile of that of trusted documents of its language, whose own
 occurrences are left out of the counts when they are scored.
 """
@@ -24,12 +27,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, text_chunks, vocabulary
-from .shared import stored
+from .shared import free_name, lean_workers, stored
 from .tables import table, tokenizer_path
 
 #: Ids fit 16 bits; the highest stands for the start of a document.
 IDS = 1 << 16
 START = IDS - 1
+#: Bigrams that are broadcast at most, 8 bytes each, and shards at most; 256 shards of the 65,536 ** 2
+#: bigrams that could be would still fit a task.
+FREQUENT, SHARDS = 500_000, 256
 #: Pieces that a block of documents holds about; bounds a task's arrays.
 BLOCK_PIECES = 1_000_000
 #: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
@@ -94,6 +100,7 @@ class _Model:
         d = self._discounts(spread)
         all_follows = max(1.0, follows.sum())
         left = (d[np.minimum(follows.astype(np.int64), 3)] * (follows > 0)).sum() / all_follows if follows.any() else 1.0
+        self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.lower = np.maximum(follows - d[np.minimum(follows.astype(np.int64), 3)], 0) / all_follows + left / n_pieces
 
     @staticmethod
@@ -105,6 +112,14 @@ class _Model:
             out[k] = min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.05) if n[k] and n[k + 1] else 0.5 * k
         return out
 
+    def frequent(self, parts: list[bytes]) -> _Model:
+        """The model with the counts of its most frequent bigrams."""
+        found = [_unpack(p) for p in parts]
+        keys = np.concatenate([_keys(x[0]) for x in found] or [self.keys])
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], np.concatenate([x[1] for x in found] or [self.counts])[order]
+        return self
+
     def log_probability(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         u, v = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
         seen = np.maximum(counts - self.discount[np.clip(counts, 0, 3).astype(np.int64)], 0) / np.maximum(self.total[u], 1)
@@ -176,6 +191,34 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([c, f, [0]])), *(pa.array(x.astype(np.int64)) for x in cols)], names=names)
 
 
+def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many bigrams have a count of so many bits."""
+    for batch in batches:
+        for data in batch.column(1).to_pylist():
+            n = np.bincount(np.log2(np.maximum(_unpack(data)[1], 1)).astype(np.int64), minlength=32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int64()), pa.array(n, pa.int64())], names=["bits", "n"])
+
+
+def _frequent(model: DataFrame) -> list[bytes]:
+    """Packed keys and counts of the bigrams of a count from 2 ** k, for the least k that leaves no more
+    than FREQUENT of them."""
+    least, n = 32, 0
+    for r in sorted(model.mapInArrow(_count_bits, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        n += r.n
+        if n > FREQUENT:
+            break
+        least = r.bits
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                steps, counts = _unpack(data)
+                at = np.flatnonzero(counts >= 1 << least)
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(_steps(_keys(steps)[at]), counts[at])], pa.binary())], names=["data"])
+
+    return [bytes(r.data) for r in model.mapInArrow(pick, "data binary").collect()]
+
+
 def _table(batch: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
@@ -185,12 +228,20 @@ def _table(batch: pa.RecordBatch) -> bytes:
 
 def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, body (hash of the text), lang, trusted, n_pieces and log_ppl (nats a piece; null
-    without pieces) of every row."""
+    without pieces) of every row.
+
+    A null or empty text has no pieces; a very long one is a block of its own; rows are scored one by
+    one, whatever their ids; other columns are ignored; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
+    lean_workers(spark)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("good_")).distinct()
-    good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    few = good.count() <= BROADCAST_ROWS
+    good = F.broadcast(good) if few else good
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    shards = max(8, min(20_000, docs.rdd.getNumPartitions()))
+    parts = docs.rdd.getNumPartitions()
+    shards = max(4, min(SHARDS, parts // 4))
+    copies = -(-parts // shards)
 
     trusted = source.join(good, F.col("doc_id") == F.col("good_"), "left_semi").select("text")
     n_pieces = len(vocabulary(vocab_path).strings)
@@ -214,10 +265,10 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
         if len(held):
             yield out()
 
-    model = trusted.mapInArrow(bigram_counts, "shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merged, "shard int, data binary")
+    model = trusted.mapInArrow(bigram_counts, "shard int, data binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_merged, "shard int, data binary")
     model = stored(model, "bigrams")
     stats = model.mapInArrow(_statistics, "kind string, id long, a long, b long, c long, d long").groupBy("kind", "id").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()  # two rows a piece of the vocabulary
-    shared = spark.sparkContext.broadcast(_Model(stats, n_pieces))
+    shared = spark.sparkContext.broadcast(_Model(stats, n_pieces).frequent(_frequent(model)))
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, keys, docs_, heads, n_docs, n_held = None, [], [], [], 0, 0
@@ -236,8 +287,18 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
             joint = joint[at]
             key, doc = (joint >> np.uint64(32)).astype(np.uint32), (joint & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             head = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+            own, model = np.asarray(head.column(3)).astype(np.int64), shared.value
+            base = np.zeros(n_docs)
+            if len(model.keys) and len(key):
+                at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+                here = model.keys[at] == key
+                left = model.counts[at[here]].astype(np.int64) - times[here] * own[doc[here]]  # a trusted document does not vouch for itself
+                base = np.bincount(doc[here], weights=model.log_probability(key[here], left) * times[here], minlength=n_docs)
+                key, doc, times = key[~here], doc[~here], times[~here]
+            head = head.append_column("base", pa.array(base))
             sent = [(s, _pack(_steps(key[at]), doc[at], times[at].astype(np.uint32))) for s, at in _by_shard(key, shards)]
-            flags = _pack(np.asarray(head.column(3)).astype(np.uint8))
+            flags = _pack(own.astype(np.uint8))
+            copy = (block * 0x9E3779B97F4A7C15 >> 40) % copies
             # the documents' columns go along once, with a shard that differs from block to block
             meta = [None] * len(sent)
             if sent:
@@ -245,8 +306,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
             if not sent:
                 sent, meta = [(0, _pack(key, doc, times.astype(np.uint32)))], [_table(head)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in sent], pa.int32()), pa.array([1] * len(sent), pa.int32()), pa.array([block] * len(sent), pa.int64()), pa.array([d for _, d in sent], pa.binary()), pa.array([flags] * len(sent), pa.binary()), pa.array(meta, pa.binary())],
-                names=["shard", "kind", "block", "data", "flags", "head"],
+                [pa.array([s * copies + copy for s, _ in sent], pa.int32()), pa.array([1] * len(sent), pa.int32()), pa.array([block] * len(sent), pa.int64()), pa.array([d for _, d in sent], pa.binary()), pa.array([flags] * len(sent), pa.binary()), pa.array(meta, pa.binary())],
+                names=["slot", "kind", "block", "data", "flags", "head"],
             )
 
         for batch in batches:
@@ -266,11 +327,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
             yield out()
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, known, n_known = None, np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        slot, known, n_known = None, np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         for batch in batches:
             for s, kind, block, data, flags, head in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    shard, known, n_known = s, np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+                if s != slot:
+                    slot, known, n_known = s, np.zeros(0, np.uint32), np.zeros(0, np.uint32)
                 if kind == 0:
                     steps, n_known = _unpack(data)
                     known = _keys(steps)
@@ -284,7 +345,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
                 counts -= times * own[doc]  # a trusted document does not vouch for itself
                 log_p = shared.value.log_probability(key, np.maximum(counts, 0)) * times
                 sums = np.bincount(doc, weights=log_p, minlength=len(own))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([s], pa.int32()), pa.array([sums.astype("<f8").tobytes()], pa.binary()), pa.array([head], pa.binary())], names=["block", "shard", "sums", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([s], pa.int32()), pa.array([sums.astype("<f8").tobytes()], pa.binary()), pa.array([head], pa.binary())], names=["block", "slot", "sums", "head"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total, head = None, None, None
@@ -292,8 +353,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
         def out() -> pa.RecordBatch:
             t = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(head)).read_next_batch()
             n = np.asarray(t.column(4))
-            log_ppl = pa.array(-total / np.maximum(n, 1), mask=n == 0)
-            return pa.RecordBatch.from_arrays([*t.columns, log_ppl], names=[*t.schema.names, "log_ppl"])
+            log_ppl = pa.array(-(total + np.asarray(t.column(5))) / np.maximum(n, 1), mask=n == 0)
+            return pa.RecordBatch.from_arrays([*t.columns[:5], log_ppl], names=[*t.schema.names[:5], "log_ppl"])
 
         for batch in batches:
             for b, _, sums, h in zip(*(c.to_pylist() for c in batch.columns)):
@@ -306,11 +367,15 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
         if block is not None:
             yield out()
 
-    flagged = source.join(good, F.col("doc_id") == F.col("good_"), "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("body"), "lang", F.col("good_").isNotNull().alias("trusted"), "text")
-    sent = flagged.mapInArrow(requests, "shard int, kind int, block long, data binary, flags binary, head binary")
-    parts = model.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), "data", F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("binary").alias("head"))
-    summed = sent.union(parts).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block").mapInArrow(scores, "block long, shard int, sums binary, head binary")
-    return summed.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(gathered, "doc_id long, body long, lang string, trusted boolean, n_pieces long, log_ppl double")
+    flagged = source.join(good, F.col("doc_id") == F.col("good_"), "left").select("doc_id", F.xxhash64("text").alias("body"), "lang", F.col("good_").isNotNull().alias("trusted"), "text")
+    if not few:  # after a shuffle a task that is run again may cut other blocks
+        flagged = stored(flagged, "flagged")
+    flagged = flagged.select(F.monotonically_increasing_id().alias("row"), *flagged.columns)
+    sent = flagged.mapInArrow(requests, "slot int, kind int, block long, data binary, flags binary, head binary")
+    slot = F.explode(F.sequence(F.col("shard") * copies, F.col("shard") * copies + copies - 1)).alias("slot")
+    parts = model.select(slot, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), "data", F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("binary").alias("head"))
+    summed = sent.union(parts).repartitionById(shards * copies, F.col("slot")).sortWithinPartitions("slot", "kind", "block").mapInArrow(scores, "block long, slot int, sums binary, head binary")
+    return summed.repartition("block").sortWithinPartitions("block", "slot").mapInArrow(gathered, "doc_id long, body long, lang string, trusted boolean, n_pieces long, log_ppl double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
@@ -353,10 +418,12 @@ def classify(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: str =
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps."""
-    bad = stored(classify(docs, labels, vocab_path, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col(id_col).alias("bad_"), F.col("body").alias("body_")).distinct(), "rejected")
+    """The rows of ``docs`` that the classifier keeps, with all columns, whatever their names."""
+    id_, body = free_name(docs, "id"), free_name(docs, "body")
+    bad = classify(docs, labels, vocab_path, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col(id_col).alias(id_), F.col("body").alias(body))
+    bad = stored(bad.distinct(), "rejected")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("bad_")) & F.xxhash64(text_col).eqNullSafe(F.col("body_")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[id_]) & F.xxhash64(docs[text_col]).eqNullSafe(bad[body]), "left_anti")
 
 
 def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
