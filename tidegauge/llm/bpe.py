@@ -33,7 +33,7 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Bytes of a pre-token up to which it is merged in rounds with all others.
 LONG = 128
 #: Text handled at a time; bounds the arrays of a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 class PairTable:
@@ -399,7 +399,7 @@ class Encoded:
 class Encoder:
     """Encodes chunk after chunk; keeps the ids of pieces seen before, up to ``keep`` of them."""
 
-    def __init__(self, vocab: Vocabulary, keep: int = 200_000):
+    def __init__(self, vocab: Vocabulary, keep: int = 100_000):
         self.vocab, self.keep = vocab, keep
         self._clear()
 

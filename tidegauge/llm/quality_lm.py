@@ -37,7 +37,7 @@ START = IDS - 1
 #: bigrams that could be would still fit a task.
 FREQUENT, SHARDS = 500_000, 256
 #: Pieces that a block of documents holds about; bounds a task's arrays.
-BLOCK_PIECES = 1_000_000
+BLOCK_PIECES = 500_000
 #: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
 QUANTILE, SLACK = 0.995, 1.25
 #: A short text says little: its mean is taken with so many pieces of its language's trusted mean.

@@ -43,8 +43,16 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 24), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: Rows of an Arrow batch, where the caller leaves Spark's 10,000: a batch of whole texts is held on
+#: both sides of the socket.
+BATCH_ROWS = "2000"
+
+
 def lean_workers(spark: SparkSession) -> None:
-    """Have Python workers started from now on return freed memory; settings of the caller stay."""
+    """Have Python workers started from now on return freed memory, and batches of texts be small;
+    settings of the caller stay."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     for name, value in WORKER_MEMORY.items():
         spark.sparkContext.environment.setdefault(name, value)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; bounds the numpy temporaries (about 60 bytes per byte of text).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
