@@ -148,21 +148,30 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All PASSAGE words in a row that hold one of the given anchors; ``later`` where a later one."""
+    """All PASSAGE words in a row that hold one of the given anchors; ``later`` where a later one, and
+    not inside a chain of the document, all words of which go already.
+
+    Spots are anchors (without ``n``) and chains (with it).
+    """
     for batch in batches:
         ids, bodies = batch.column(0), batch.column(1)
         for rows, words in chunks(batch):
             spots = batch.column(3).slice(rows.start, words.n_docs)
             flat, doc = spots.flatten(), np.repeat(np.arange(words.n_docs), np.diff(np.asarray(spots.offsets)))
-            if not len(flat):
+            at, late, n = np.asarray(flat.field("at")) + words.first[doc], np.asarray(flat.field("later")), np.asarray(flat.field("n"))
+            begin, anchor = at[n > 0], n == 0
+            reach = np.maximum.accumulate(begin + n[n > 0])  # spots are in order
+            at, late, doc = at[anchor], late[anchor], doc[anchor]
+            if not len(at):
                 continue
             h = words.hashes(lower=True)
-            at, late = np.asarray(flat.field("at")) + words.first[doc], np.asarray(flat.field("later"))
             low, high = np.maximum(at + RUN - PASSAGE, words.first[doc]), np.minimum(at, words.first[doc + 1] - PASSAGE)
             size = np.maximum(high - low + 1, 0)
             every = ranges(low, size)
             place = np.unique(every)
             later = np.isin(place, every[np.repeat(late, size)])
+            chain = np.searchsorted(begin, place, side="right")
+            later &= np.append(0, reach)[chain] < place + PASSAGE
             doc = np.searchsorted(words.first, place, side="right") - 1
             part = pa.array(doc + rows.start)
             cols = [*_digests((_Sums(h, _FIRST), _Sums(h, _SECOND)), place, PASSAGE), ids.take(part), bodies.take(part), pa.array((place - words.first[doc]).astype(np.int32)), pa.array(later)]
@@ -175,11 +184,14 @@ def _few(ids: DataFrame) -> DataFrame | None:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else None
 
 
-def _passages(texts: DataFrame, shared: DataFrame, edges: DataFrame) -> DataFrame:
+def _passages(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, body, at, n, keeper) of the PASSAGE words around outer anchors that a smaller id has."""
-    edges = edges.groupBy("hash").agg(F.max("hot").alias("hot"))
-    spots = join_groups(shared.where("not line").select("hash", "doc_id", "body", "at", "later"), edges, ["hash"])
-    spots = stored(spots.groupBy("doc_id", "body").agg(F.collect_set(F.struct("at", "later")).alias("spots")), "spots")
+    edges = found.where("hash is not null").groupBy("hash").agg(F.max("hot").alias("hot"))
+    anchors = join_groups(shared.where("not line").select("hash", "doc_id", "body", "at", "later"), edges, ["hash"])
+    chains = found.where(F.col("hash").isNull() & (F.col("n") >= PASSAGE)).select("doc_id", "body", "at", F.lit(False).alias("later"), "n")
+    spots = anchors.select("doc_id", "body", "at", "later", F.lit(0).alias("n")).union(chains)
+    spots = spots.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "later", "n"))).alias("spots"), F.min("n").alias("least")).where("least = 0")
+    spots = stored(spots.drop("least"), "spots")
     few = _few(spots.select("doc_id"))
     near = (texts if few is None else texts.join(few, "doc_id", "left_semi")).join(spots, ["doc_id", "body"])
     runs = stored(near.select("doc_id", "body", "text", "spots").mapInArrow(_around, _RUN), "runs")
@@ -202,7 +214,7 @@ def _spans(texts: DataFrame, passages: bool) -> DataFrame:
     each = shared.where("later").groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("at", "n", "line", "keeper", "there", "hash", "hot"))).alias("spans"))
     found = stored(each.mapInArrow(_chains, _FOUND), "found")
     gone = found.where("hash is null").select("doc_id", "body", "at", "n", "keeper")
-    return gone.union(_passages(texts, shared, found.where("hash is not null").select("hash", "hot"))) if passages else gone
+    return gone.union(_passages(texts, shared, found)) if passages else gone
 
 
 def _cut(words: Words, doc: int, spans: list[dict]) -> tuple[str, list[dict]]:
