@@ -28,6 +28,14 @@ def write_table(rows: DataFrame, root: str, name: str, batch: int | str | None =
     (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if batch is not None else writer.mode("append")).parquet(f"{root}/{name}")
 
 
+def write_hours(rows: DataFrame, root: str, name: str) -> None:
+    """All rows of some hours of a table: each hour's folder is replaced, others stay."""
+    time, order, _ = TABLES[name]
+    out = rows.withColumn("month", F.date_format(time, "yyyyMM")).withColumn("hour", F.date_format(time, "yyyyMMddHH"))
+    writer = out.sortWithinPartitions("month", "hour", *order).write.partitionBy("month", "hour")
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}")
+
+
 def read_table(spark: SparkSession, root: str, name: str, months: list[str] | None = None) -> DataFrame:
     """A table; ``months`` (yyyyMM) prunes folders."""
     found = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")

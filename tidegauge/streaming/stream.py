@@ -1,7 +1,8 @@
 """The log pipeline as a stream: each micro-batch leaves mergeable sums, from which windows follow.
 
-Sums of a batch go to a folder of that batch, which a repeated batch replaces; so a lost executor or
-a restart from the checkpoint leaves every event counted once.
+Sums of a batch go to folders of that batch, by hour, which a repeated batch replaces; so a lost executor
+or a restart from the checkpoint leaves every event counted once.  Hours that no later window can need
+are neither read nor kept.
 """
 
 from __future__ import annotations
@@ -15,11 +16,23 @@ from ..operators.bot import bot_partials, bot_windows, score_bot
 from ..operators.enrich import anomaly_rows, bot_rows, enrich, forecast_rows
 from ..operators.forecast import forecast_features, score_forecast, traffic_buckets
 from ..settings import Settings
-from ..sinks import write_table
+from ..sinks import write_hours, write_table
 
 
-def _put(df: DataFrame, path: str, batch: int) -> None:
-    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+_HOUR = "yyyyMMddHH"
+#: Time column of each kind of sums.
+_TIMES = {"bot": "pane", "anomaly": "pane", "buckets": "bucket_end"}
+
+
+def _put(df: DataFrame, path: str, batch: int, time: str) -> None:
+    out = df.withColumn("hour", F.date_format(time, _HOUR)).withColumn("batch", F.lit(batch))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+
+
+def _put_sums(batch: DataFrame, path: str, number: int, s: Settings) -> None:
+    _put(bot_partials(batch, s.bot_slide), f"{path}/bot", number, "pane")
+    _put(anomaly_partials(batch, s.anomaly_slide), f"{path}/anomaly", number, "pane")
+    _put(traffic_buckets(batch, s.bucket), f"{path}/buckets", number, "bucket_end")
 
 
 def _start(query, available_now: bool, s: Settings) -> StreamingQuery:
@@ -37,34 +50,65 @@ def stream_partials(events: DataFrame, path: str, s: Settings = Settings(), avai
     stream of events (whole seconds) below ``path``."""
 
     def each(batch: DataFrame, number: int) -> None:
-        _put(bot_partials(batch, s.bot_slide), f"{path}/bot", number)
-        _put(anomaly_partials(batch, s.anomaly_slide), f"{path}/anomaly", number)
-        _put(traffic_buckets(batch, s.bucket), f"{path}/buckets", number)
+        _put_sums(batch, path, number, s)
 
     return _start(events.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint"), available_now, s)
 
 
-def _kept(df: DataFrame, time: str, since: str | None) -> DataFrame:
-    return df.drop("batch") if since is None else df.where(F.col(time) >= F.lit(since).cast("timestamp")).drop("batch")
+def _read(spark: SparkSession, path: str, name: str, since: str | None) -> DataFrame:
+    found = spark.read.parquet(f"{path}/{name}")
+    if since is not None:
+        at = F.lit(since).cast("timestamp")
+        found = found.where((F.col("hour").cast("string") >= F.date_format(at, _HOUR)) & (F.col(_TIMES[name]) >= at))
+    return found.drop("batch", "hour")
 
 
 def streamed_features(spark: SparkSession, path: str, s: Settings = Settings(), since: str | None = None) -> dict[str, DataFrame]:
-    """Scored windows and forecasts of the sums kept so far; ``since`` bounds the state that is read."""
-    read = lambda name, time: _kept(spark.read.parquet(f"{path}/{name}"), time, since)
-    buckets = read("buckets", "bucket_end").groupBy("scope", "endpoint", "bucket_end").agg(F.sum("requests").alias("requests"))
-    sums = read("anomaly", "pane").groupBy("endpoint", "pane", "latency_ms").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+    """Scored windows and forecasts of the sums kept so far; ``since`` bounds the state that is read, by
+    folder.  Windows that begin before ``since`` lack what came before it."""
+    buckets = _read(spark, path, "buckets", since).groupBy("scope", "endpoint", "bucket_end").agg(F.sum("requests").alias("requests"))
+    sums = _read(spark, path, "anomaly", since).groupBy("endpoint", "pane", "latency_ms").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     return {
-        "bot": score_bot(bot_windows(read("bot", "pane"), s.bot_window, s.bot_slide), s),
+        "bot": score_bot(bot_windows(_read(spark, path, "bot", since), s.bot_window, s.bot_slide), s),
         "anomaly": score_anomaly(anomaly_windows(sums, s), s),
         "forecast": score_forecast(forecast_features(buckets, s), s),
     }
 
 
+def _expire(spark: SparkSession, path: str, before: str) -> None:
+    """Deletes the state of all hours before a time."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    limit = spark.range(1).select(F.date_format(F.lit(before).cast("timestamp"), _HOUR).alias("h")).first().h
+    for name in _TIMES:
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/hour=*")) or []:
+            if status.getPath().getName().split("=")[1] < limit:
+                fs.delete(status.getPath(), True)
+
+
+def _reach(spark: SparkSession, state: str, batch: DataFrame, number: int, s: Settings) -> tuple[str, str, str] | None:
+    """What a batch touches: the hours from the first to the last whose windows it may change, and the
+    time from which their sums are needed; as text. None for a batch without events."""
+    mine = batch.agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"))
+    before = spark.read.parquet(f"{state}/buckets").where(F.col("batch") < number).agg(F.max("bucket_end").alias("latest"))
+    keep = max(s.event_retention, s.bucket_retention)
+    hour = lambda c: F.date_trunc("HOUR", c)
+    found = mine.crossJoin(before).where("first is not null")  # one row each
+    # a gap after the last event of before may now have empty buckets
+    begin = hour(F.least("first", F.coalesce("latest", "first")))
+    end = hour(F.greatest("last", F.coalesce("latest", "last")) + F.expr(f"interval {keep} seconds")) + F.expr("interval 1 hour")
+    row = found.select(*(c.cast("string").alias(n) for c, n in ((begin, "begin"), (end, "end"), (begin - F.expr(f"interval {keep} seconds"), "since")))).first()
+    return (row.begin, row.end, row.since) if row else None
+
+
 def run_stream(events: DataFrame, root: str, s: Settings = Settings(), available_now: bool = False) -> StreamingQuery:
-    """Starts the whole pipeline: events with their scores and the three feature tables, by batch.
+    """Starts the whole pipeline: events with their scores and the three feature tables.
 
-    A micro-batch is scored by its own windows and the sums of the batches before it, no further back
-    than the retention of events and buckets.
+    Events without a time, repeated request ids within the retention of events, and events later than
+    that are left out.  A micro-batch is scored by its own windows and the sums of the batches before it.
+    ``processed_logs`` gets the batch's events.  The feature tables have one row for each key and
+    window: the hours whose windows the batch may have changed are replaced from the sums, so that in
+    the end they hold what the batch functions give for the same events.
     """
     spark = events.sparkSession
     state = f"{root}/state"
@@ -72,18 +116,18 @@ def run_stream(events: DataFrame, root: str, s: Settings = Settings(), available
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            first = batch.agg(F.min("event_time").alias("t")).first().t
-            if first is None:
+            if batch.isEmpty():
                 return
-            _put(bot_partials(batch, s.bot_slide), f"{state}/bot", number)
-            _put(anomaly_partials(batch, s.anomaly_slide), f"{state}/anomaly", number)
-            _put(traffic_buckets(batch, s.bucket), f"{state}/buckets", number)
-            keep = max(s.event_retention, s.bucket_retention)
-            since = spark.range(1).select((F.lit(first) - F.expr(f"interval {keep} seconds")).cast("string").alias("s")).first().s
+            _put_sums(batch, state, number, s)
+            begin, end, since = _reach(spark, state, batch, number, s)
             got = streamed_features(spark, state, s, since)
-            for name, rows in (("bot_feature_windows", bot_rows(got["bot"])), ("load_forecasts", forecast_rows(got["forecast"])), ("anomaly_alerts", anomaly_rows(got["anomaly"])), ("processed_logs", enrich(batch, got["bot"], got["anomaly"], got["forecast"], s))):
-                write_table(rows, root, name, number)
+            for name, time, rows in (("bot_feature_windows", "window_end", bot_rows(got["bot"])), ("load_forecasts", "bucket_end", forecast_rows(got["forecast"])), ("anomaly_alerts", "window_end", anomaly_rows(got["anomaly"]))):
+                at = F.col(time).cast("timestamp")
+                write_hours(rows.where((at >= F.lit(begin).cast("timestamp")) & (at < F.lit(end).cast("timestamp"))), root, name)
+            write_table(enrich(batch, got["bot"], got["anomaly"], got["forecast"], s), root, "processed_logs", number)
+            _expire(spark, state, since)
         finally:
             batch.unpersist()
 
-    return _start(events.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint"), available_now, s)
+    unique = deduplicated(events.where("event_time is not null"), s)
+    return _start(unique.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint"), available_now, s)
