@@ -174,3 +174,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The same over all windows at any distance of fingerprints, for items of five words or more.
+OP3_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+items AS (
+    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+),
+item_grams AS (
+    SELECT item_id, m, g, count(*) AS n FROM (SELECT item_id, len(w) AS m, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM items) GROUP BY item_id, m, g
+),
+grams AS (
+    SELECT doc_id, len(w) AS n_words, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM texts
+),
+inside AS (
+    SELECT doc_id, n_words, item_id, m, g, n, unnest(range(pos - m + 5, pos + 1)) AS start FROM grams JOIN item_grams USING (g)
+),
+counted AS (
+    SELECT doc_id, n_words, item_id, m, start, least(count(*), n) AS held FROM inside GROUP BY doc_id, n_words, item_id, m, g, n, start
+),
+windows AS (
+    SELECT doc_id, item_id, m, start, sum(held)::BIGINT AS common, m - 4 + greatest(least(start + m, n_words) - greatest(start, 0) - 4, 1) AS total
+    FROM counted GROUP BY doc_id, n_words, item_id, m, start
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / (total - common) DESC, start) AS place FROM windows WHERE 100 * common >= 75 * (total - common)
+)
+SELECT doc_id, item_id, greatest(start, 0)::INTEGER AS start_word, m::INTEGER AS n_words, round(common / (total - common), 6) AS similarity FROM ranked WHERE place = 1
+"""

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .bpe_codec import op4_bpe_codec
-from .decontaminate import op3_decontamination
+from .decontaminate import OP3_SQL, op3_decontamination
 from .license_scan import op10_license_scan
-from .near_dedup import op5_near_dedup
+from .near_dedup import OP5_SQL, op5_near_dedup
 from .quality_lm import op2_quality_lm
 from .quality_rules import op8_quality_rules
-from .sharding import op1_sharding
+from .sharding import OP1_SQL, op1_sharding
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op7_token_counts
 from .token_files import op6_token_files
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_near_dedup": OP5_SQL}
