@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hot_rows, join_groups, stored
+from .shared import HOT_GROUPS, HOT_ROWS, join_groups, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _with_lowest(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows with the least neighbour ``m`` of their ``u`` in ``edges``, u itself included."""
-    lowest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), (F.col("n") > hot_rows(rows)).alias("hot"))
+def _with_lowest(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """Rows with the least neighbour ``m`` of their ``u`` in ``edges``, u itself included; ``n`` is the
+    number of rows."""
+    least = max(HOT_ROWS, n // HOT_GROUPS)
+    lowest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), (F.col("n") > least).alias("hot"))
+    if n <= least:  # too few rows for a hot group
+        return rows.join(lowest.drop("hot"), "u")
     return join_groups(rows, stored(lowest, "lowest"), ["u"]).drop("hot")
 
 
@@ -29,9 +33,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     before = None
     for _ in range(rounds):
         both = _both_ways(edges)
-        large = _with_lowest(both.where("v > u"), both).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        n = edges.count()
+        large = _with_lowest(both.where("v > u"), both, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "edges")
-        joined = _with_lowest(large, large)
+        joined = _with_lowest(large, large, large.count())
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = stored(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
