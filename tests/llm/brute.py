@@ -169,29 +169,37 @@ def leaks(docs, items, radius: int = 64) -> dict[tuple[int, int], float]:
 
 
 # -- licences ----------------------------------------------------------------------------------
-def notices(text: str, templates, least: float = 0.75) -> list[tuple[str, float, int]]:
-    """(licence, cosine, words) of each sentence or line that matches a template."""
-    bags = [(n, Counter(re.findall(r"[a-z0-9]+", t.lower()))) for n, t in templates]
-    seen = Counter(t for _, bag in bags for t in bag)
+def licence_scorer(templates, least: float = 0.75):
+    """A function from a text to its best (-cosine, licence), or None."""
+    bag = lambda text: Counter(re.findall(r"[^\W_]+", text.lower()))
+    bags = [(name, bag(text)) for name, text in templates]
+    seen = Counter(t for _, b in bags for t in b)
     idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in seen.items()}
-    unknown = math.log(1 + len(bags)) + 1
-    out = []
-    for unit in re.split(r"\n|(?<=[.!?])\s+", text or ""):
-        tf = Counter(re.findall(r"[^\W_]+", unit.lower()))
-        if not tf:
-            continue
-        v = {t: n * idf.get(t, unknown) for t, n in tf.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        best = []
-        for name, bag in bags:
-            u = {t: n * idf[t] for t, n in bag.items()}
-            dot = sum(v.get(t, 0) * x for t, x in u.items())
-            cosine = round(dot / norm / math.sqrt(sum(x * x for x in u.values())), 6)
-            if cosine >= least:
-                best.append((-cosine, name))
-        if best:
-            out.append((min(best)[1], -min(best)[0], sum(tf.values())))
-    return out
+    vector = lambda b: {t: (1 + math.log(n)) * idf.get(t, math.log(1 + len(bags)) + 1) for t, n in b.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(name, vector(b)) for name, b in bags]
+
+    def score(text: str):
+        v = vector(bag(text))
+        got = [(-round(sum(v.get(t, 0) * x for t, x in u.items()) / length(u) / length(v), 6), name) for name, u in vectors] if v else []
+        return min((g for g in got if g[0] <= -least), default=None)
+
+    return score
+
+
+def own_licence(text, of_notice, of_file):
+    """(licence, is a licence file) of a text by itself, or None."""
+    words = lambda u: len(re.findall(r"[^\W_]+", u.lower()))
+    plain = re.sub(r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--)[ \t]?", "", text or "")
+    paragraphs = [re.sub(r"\s+", " ", p, flags=re.ASCII) for p in re.split(r"\n[ \t]*\n", plain)]
+    levels = [plain.split("\n"), [s for p in paragraphs for s in re.split(r"(?<=[.!?])\s+", p)], paragraphs]
+    found = [[(m, words(u)) for u in level if (m := of_notice(u))] for level in levels]
+    whole = of_file(text or "")
+    if whole:
+        return whole[1], True
+    if any(found):
+        return min(m for level in found for m, _ in level)[1], 2 * max(sum(n for _, n in level) for level in found) >= words(text)
+    return None
 
 
 # -- Kneser-Ney --------------------------------------------------------------------------------

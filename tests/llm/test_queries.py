@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import SMALL, TINY
 from tests.llm import brute
-from tidegauge.llm.license_scan import TEMPLATES
+from tidegauge.llm.license_scan import TEMPLATES, licence_texts, scan_licenses
 from tidegauge.llm.queries import QUERIES
 
 
@@ -106,25 +106,76 @@ def test_op9(spark, texts):
         assert (got[d]["text"], [tuple(c.values()) for c in got[d]["removed"]], got[d]["n_removed"]) == (text, cuts, len(cuts)), d
 
 
+def licence_rows(files):
+    """{id: (licence, origin)} of files (id, path, text)."""
+    of_notice, of_file = brute.licence_scorer(TEMPLATES), brute.licence_scorer(licence_texts())
+    own = {i: brute.own_licence(text, of_notice, of_file) for i, _, text in files}
+    votes = defaultdict(Counter)
+    for i, path, _ in files:
+        if own[i] and own[i][1]:
+            votes[path.rpartition("/")[0]][own[i][0]] += 1
+    out = {}
+    for i, path, _ in files:
+        if own[i]:
+            out[i] = (own[i][0], "license_file" if own[i][1] else "header")
+            continue
+        above = path.rpartition("/")[0]
+        while above and above not in votes:
+            above = above.rpartition("/")[0]
+        named = min(votes[above].items(), key=lambda x: (-x[1], x[0]))[0] if above in votes else None
+        out[i] = (named, "inherited" if named else "none")
+    return out
+
+
 def test_op10(spark):
     docs = rows("documents", TINY)
-    got = {r["doc_id"]: r for r in run(spark, "op10_license_scan", TINY)}
-    own, votes = {}, defaultdict(Counter)
-    for r in docs:
-        found = brute.notices(r["text"], TEMPLATES)
-        path = f"{r['source']}/{r['lang']}"
-        if found:
-            n = len(re.findall(r"[^\W_]+", (r["text"] or "").lower()))
-            is_file = 2 * sum(f[2] for f in found) >= n
-            own[r["doc_id"]] = (min((-c, name) for name, c, _ in found)[1], "license_file" if is_file else "header")
-            if is_file:
-                votes[path][own[r["doc_id"]][0]] += 1
-    for r in docs:
-        path = f"{r['source']}/{r['lang']}"
-        inherited = min(votes[path].items(), key=lambda x: (-x[1], x[0]))[0] if votes.get(path) else None
-        want = own.get(r["doc_id"]) or (inherited, "inherited" if inherited else "none")
-        assert (got[r["doc_id"]]["license"], got[r["doc_id"]]["origin"]) == want, r["doc_id"]
-    assert any(o == "header" for _, o in own.values())
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in run(spark, "op10_license_scan", TINY)}
+    want = licence_rows([(r["doc_id"], f"{r['source']}/{r['lang']}/{r['doc_id']}", r["text"]) for r in docs])
+    assert got == want
+    assert any(o == "header" for _, o in want.values())
+
+
+GPL3 = """# frobnicate -- turns knobs
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful.
+
+""" + "def turn(knob, by):\n    return knob.angle + by\n\n" * 20
+APACHE = """/*
+ * Copyright 2020 The Knob Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+""" + "int turn(int knob, int by) {\n    return knob + by;\n}\n" * 20
+
+
+def test_op10_files(spark):
+    """Licence files, wrapped headers, ties and inheritance over several directories."""
+    plain = "Knobs turn by angles, and angles add up to a whole turn. " * 30
+    texts = dict(licence_texts())
+    files = [(i, f"lic/{name}/LICENSE", "Copyright (c) 2019 Ann Author\n\n" + text) for i, (name, text) in enumerate(texts.items())]
+    files += [(100 + i, f"lic/{name}/a/b/c.txt", plain) for i, name in enumerate(texts)]
+    files += [(200, "src/gpl.py", GPL3), (201, "src/apache.c", APACHE), (202, "src/x/none.txt", plain), (203, "top.txt", plain)]
+    files += [(204, "tie/LICENSE.a", texts["MIT"]), (205, "tie/LICENSE.b", texts["ISC"]), (206, "tie/deep/er/file", plain), (207, "tie/deep/LICENSE", texts["Zlib"])]
+    files += [(208, "tie", plain), (209, "tiers/file", plain), (210, "wrapped/LICENSE", re.sub(r"\s+", "\n", texts["BSD-3-Clause"]))]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {i: (r.license, r.origin) for i, r in got.items()} == licence_rows(files)
+    for i, name in enumerate(texts):
+        assert (got[i].license, got[i].origin) == (name, "license_file")
+        assert (got[100 + i].license, got[100 + i].inherited_from) == (name, f"lic/{name}")
+    assert [(got[i].license, got[i].origin) for i in (200, 201, 202, 203)] == [("GPL-3.0", "header"), ("Apache-2.0", "header"), (None, "none"), (None, "none")]
+    assert (got[206].license, got[206].inherited_from) == ("Zlib", "tie/deep") and got[208].license is None and got[209].license is None
+    assert got[210].license == "BSD-3-Clause"
+    twice = scan_licenses(spark.createDataFrame([(1, "a", "Released under the MIT License.\n" + "many other words " * 3)] * 2, "doc_id long, path string, text string"))
+    assert [(r.license, r.origin) for r in twice.collect()] == [("MIT", "header")] * 2
 
 
 def test_op2(spark):
