@@ -66,7 +66,8 @@ LEAST_COSINE = 0.75
 #: Words too common to look for, as long as they cannot reach LEAST_COSINE alone: function words
 #: first, then digits, then words of general English.
 COMMON = (
-    "the of to and is this in or a any with are that by has all under for it as not may was which your so into made on be if you 0 1 2 3 4 v work use met law form forms "
+    "the of to and is this in or a any with are that by has all under for it as not may was which your so into made on be if you at an from he she they we than then "
+    "only here there their no nor do does what when been have had but can will its each other such 0 1 2 3 4 v work use met law form forms "
     "free following person public general source possible provided subject without copy conditions author terms "
     "version extent code related files associated charge documentation permitted binary rights software january"
 ).split()
@@ -138,6 +139,21 @@ def _literals(terms: list[str]) -> Column:
     return F.array(*(F.lit(t) for t in terms))
 
 
+def _can_match(words: Column, templates: list[tuple[str, str]], keys: list[str], least: float) -> Column:
+    """Whether a text of these words can reach ``least`` with any template.
+
+    It must have one of the key terms.  Then, let s of its different terms be known and u unknown.  The
+    dot product is at most the length of the known part, which is at most the greatest weight times
+    sqrt(s) times 1 + ln of their mean frequency (Jensen), and the unknown part is at least sqrt(u) long.
+    """
+    idf, _, unknown = _vectors(templates)
+    s = F.size(F.array_intersect(words, _literals(sorted(idf))))
+    u = F.greatest(F.size(F.array_distinct(words)) - s - 1, F.lit(0))  # one may be the empty string
+    known = s * max(idf.values()) ** 2 * F.pow(1 + F.log((F.size(words) - u) / s), 2)
+    enough = (s >= least_terms(templates, least)) & (known * (1 - least**2) >= u * (unknown * least) ** 2)
+    return F.coalesce(F.arrays_overlap(words, _literals(keys)) & enough, F.lit(False))
+
+
 def match_templates(texts: DataFrame, templates: list[tuple[str, str]], least: float = LEAST_COSINE) -> DataFrame:
     """(key, license, cosine) of the texts (key, unit), each key once, that match a template."""
     spark = texts.sparkSession
@@ -156,19 +172,18 @@ def match_templates(texts: DataFrame, templates: list[tuple[str, str]], least: f
 
 
 def file_units(base: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(id, path, copy, words, level, pos, key, unit): the parts of files (id, path, text) that can match.
+    """(id, path, copy, words, pos, level, unit, key, n): the parts of files (id, path, text) that can match.
 
     Level "file" is the whole text. With comment marks at the start of lines taken away, level "line" are
     the lines, "sentence" the sentences of each paragraph, its lines joined, and "paragraph" the
-    paragraphs; copy is a hash of the text, pos the number of the part. One pass over the texts; parts that
-    can't reach ``least`` are left out, so a text of much ordinary English may be kept whole.
+    paragraphs; copy is a hash of the text, pos the number of the part, n its words. One pass over the texts; parts
+    that can't reach ``least`` are left out, by bounds that a long text of plain English may pass.
     """
-    keys, file_keys = _literals(key_terms(TEMPLATES, least)), _literals(key_terms(licence_texts(), least))
-    file_terms = _literals(sorted(_vectors(licence_texts())[0]))
-    noticed = F.arrays_overlap("all", keys)
-    # the exact bound on shared terms is dear, and tried only on texts with a key term
-    whole = F.arrays_overlap("all", file_keys) & (F.size(F.array_intersect("all", file_terms)) >= least_terms(licence_texts(), least))
-    read = base.withColumn("all", _words(F.col("text"))).withColumn("noticed", noticed).withColumn("whole", whole).where("noticed or whole")
+    keys = key_terms(TEMPLATES, least)
+    noticed = F.arrays_overlap("all", _literals(keys))
+    whole = _can_match(F.col("all"), licence_texts(), key_terms(licence_texts(), least), least)
+    # no filter here: it would be pushed below and cut the words again; rows without parts give none
+    read = base.withColumn("all", _words(F.col("text"))).withColumn("noticed", noticed).withColumn("whole", whole)
     level = lambda name, parts: F.transform(parts, lambda u: F.struct(F.lit(name).alias("level"), F.trim(u).alias("unit")))
     plain = F.regexp_replace("text", _MARKS, "")
     paragraphs = F.transform(F.split(plain, _BLANK), lambda p: F.regexp_replace(p, r"\s+", " "))
@@ -178,8 +193,8 @@ def file_units(base: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     parts = F.concat(F.when(F.col("noticed"), inner).otherwise(none), F.when(F.col("whole"), level("file", F.array("text"))).otherwise(none))
     file = ["id", "path", F.xxhash64("text").alias("copy"), F.size(_terms(F.col("text"))).alias("words")]
     units = read.select(*file, F.posexplode(parts).alias("pos", "u")).select("id", "path", "copy", "words", "pos", "u.level", "u.unit")
-    likely = units.where((F.col("level") == "file") | F.arrays_overlap(_words(F.col("unit")), keys))
-    return likely.withColumn("key", F.sha2("unit", 256))
+    likely = units.where((F.col("level") == "file") | _can_match(_words(F.col("unit")), TEMPLATES, keys, least))
+    return likely.withColumn("key", F.sha2("unit", 256)).withColumn("n", F.size(_terms(F.col("unit"))))
 
 
 def _parent(path: Column) -> Column:
@@ -203,13 +218,14 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     result, the strongest of their texts.  Other columns of ``files`` are not returned.
     """
     base = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    units = stored(file_units(base, least), "units").dropDuplicates(["id", "path", "copy", "pos"])
+    units = stored(file_units(base, least), "units")
     is_whole = F.col("level") == "file"
     match = lambda rows, templates: match_templates(rows.select("key", "unit").distinct(), templates, least)
     notices = match(units.where(~is_whole), TEMPLATES).withColumn("whole", F.lit(False))
-    found = units.withColumn("whole", is_whole).join(notices.unionByName(match(units.where(is_whole), licence_texts()).withColumn("whole", F.lit(True))), ["key", "whole"])
+    files = match(units.where(is_whole), licence_texts()).withColumn("whole", F.lit(True))
+    parts = units.drop("unit").withColumn("whole", is_whole)
+    found = parts.join(notices.unionByName(files), ["key", "whole"]).dropDuplicates(["id", "path", "copy", "pos"])
     best = F.min(F.struct((~F.col("whole")).alias("part"), (-F.col("cosine")).alias("c"), "license"))
-    found = found.withColumn("n", F.when(F.col("whole"), F.col("words")).otherwise(F.size(_terms(F.col("unit")))))
     levels = found.groupBy("id", "path", "copy", "level").agg(best.alias("b"), F.sum("n").alias("inside"), F.max("words").alias("words"))
     texts = levels.groupBy("id", "path", "copy").agg(F.min("b").alias("b"), (2 * F.max("inside") >= F.max("words")).alias("is_file"))
     own = texts.groupBy(F.col("id").alias("own_id"), F.col("path").alias("own_path")).agg(F.min("b").alias("b"), F.bool_or("is_file").alias("is_file"))
