@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +170,24 @@ def leaks(docs, items, radius: int = 64) -> dict[tuple[int, int], float]:
     return out
 
 
+# -- log-likelihood ratio ------------------------------------------------------------------------
+def ratio_scores(docs: dict[int, str], trusted: set[int], buckets: int = 10_000, scale: int = 10_000) -> dict[int, float | None]:
+    """Mean log ratio of the trusted and the raw multinomial over hashed unigrams and bigrams."""
+    as_long = lambda h: h - (1 << 64) if h >> 63 else h
+    of_long = lambda n, seed: xxhash.xxh64_intdigest(struct.pack("<q", n), seed)
+    grams = {}
+    for d, text in docs.items():
+        tokens = regex.findall(r"[\p{L}\p{N}_]+|[^\x20\x09-\x0D\p{L}\p{N}_]+", text.lower())
+        h = [as_long(xxhash.xxh64_intdigest(t.encode(), 42)) for t in tokens]
+        pairs = [as_long(of_long(b, of_long(a, 42))) for a, b in zip(h, h[1:])]
+        grams[d] = [x % buckets for x in h + pairs]
+    raw = Counter(b for g in grams.values() for b in g)
+    target = Counter(b for d, g in grams.items() if d in trusted for b in g)
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    ratio = [round(scale * (math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw))) for b in range(buckets)]
+    return {d: sum(ratio[b] for b in g) / len(g) / scale if g else None for d, g in grams.items()}
+
+
 # -- licences ----------------------------------------------------------------------------------
 def licence_scorer(templates, least: float = 0.75):
     """A function from a text to its best (-cosine, licence), or None."""

@@ -81,11 +81,13 @@ def test_op8(spark, texts):
     quality = {r["doc_id"]: r["quality"] and not r["toxic"] for r in rows("labels")}
     right = Counter()
     got = run(spark, "op8_quality_rules")
+    scores = brute.ratio_scores(texts, {d for d, good in quality.items() if good})
     assert sorted(r["doc_id"] for r in got) == sorted(texts)
     for r in got:
         want = brute.base_rules(texts[r["doc_id"]])
         assert {k: r[k] for k in want} == want, r["doc_id"]
-        assert not (r["kept"] and r["base_failed"])
+        assert r["score"] == (None if scores[r["doc_id"]] is None else pytest.approx(scores[r["doc_id"]], abs=1e-9)), r["doc_id"]
+        assert r["kept"] == (not r["base_failed"] and r["score"] is not None and r["score"] >= -0.3)
         if r["doc_id"] in quality and not r["base_failed"]:
             right[bool(quality[r["doc_id"]]), r["kept"]] += 1
     assert right[True, True] >= 0.97 * (right[True, True] + right[True, False]), right
