@@ -10,43 +10,77 @@ Rules = list[tuple[str, str, bool, dict]]
 _KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$", "boolean": "^BOOLEAN$", "array": "^ARRAY.*", "object": "^OBJECT.*"}
 
 
-def _field_errors(doc: Column, field: str, kind: str, required: bool, rule: dict, path: str) -> list[Column]:
-    value = F.try_variant_get(doc, f"$.{field}", "variant")
-    there = F.array_contains(F.json_object_keys(doc.cast("string")), field)
-    typed = F.schema_of_variant(value).rlike(_KINDS[kind])
-    where = f"{path}.{field}"
-    out = []
-    if required:
-        out.append(F.when(~there, F.lit(f"{where}: missing required property")))
-    out.append(F.when(there & ~F.coalesce(typed, F.lit(False)), F.lit(f"{where}: expected {kind}")))
-    ok = there & F.coalesce(typed, F.lit(False))
-    text = F.try_variant_get(doc, f"$.{field}", "string")
-    number = F.try_variant_get(doc, f"$.{field}", "double")
+def _objects(rules: Rules, at: str = "$") -> list[str]:
+    """Paths of the objects that the rules describe, from the outermost."""
+    return [at, *(p for field, kind, _, rule in rules if kind == "object" and "properties" in rule for p in _objects(rule["properties"], f"{at}.{field}"))]
+
+
+def _value_errors(doc: Column, at: str, kind: str, rule: dict, path: Column, keys: dict[str, Column]) -> Column:
+    """Messages (null where a rule holds) on the value at a path that is there."""
+    say = lambda what: F.concat(path, F.lit(f": {what}"))
+    typed = F.coalesce(F.schema_of_variant(F.try_variant_get(doc, at, "variant")).rlike(_KINDS[kind]), F.lit(False))
+    text, number = F.try_variant_get(doc, at, "string"), F.try_variant_get(doc, at, "double")
+    broken = []
     if "enum" in rule:
-        out.append(F.when(ok & ~text.isin(*rule["enum"]), F.lit(f"{where}: expected one of {rule['enum']}")))
+        broken.append((~text.isin(*map(str, rule["enum"])), f"expected one of {rule['enum']}"))
     if "minLength" in rule:
-        out.append(F.when(ok & (F.length(text) < rule["minLength"]), F.lit(f"{where}: minLength {rule['minLength']}")))
+        broken.append((F.length(text) < rule["minLength"], f"minLength {rule['minLength']}"))
     if rule.get("format") == "date-time":
-        out.append(F.when(ok & F.try_to_timestamp(text).isNull(), F.lit(f"{where}: invalid date-time")))
+        broken.append((F.try_to_timestamp(text).isNull(), "invalid date-time"))
     if "pattern" in rule:
-        out.append(F.when(ok & ~text.rlike(f"^(?:{rule['pattern']})$"), F.lit(f"{where}: pattern {rule['pattern']}")))
+        broken.append((~text.rlike(f"^(?:{rule['pattern']})$"), f"pattern {rule['pattern']}"))
     if "minimum" in rule:
-        out.append(F.when(ok & (number < rule["minimum"]), F.lit(f"{where}: minimum {rule['minimum']}")))
+        broken.append((number < rule["minimum"], f"minimum {rule['minimum']}"))
     if "maximum" in rule:
-        out.append(F.when(ok & (number > rule["maximum"]), F.lit(f"{where}: maximum {rule['maximum']}")))
+        broken.append((number > rule["maximum"], f"maximum {rule['maximum']}"))
+    values = F.try_variant_get(doc, at, "array<variant>")
     if "minItems" in rule:
-        out.append(F.when(ok & (F.size(F.try_variant_get(doc, f"$.{field}", "array<variant>")) < rule["minItems"]), F.lit(f"{where}: minItems {rule['minItems']}")))
-    return out
+        broken.append((F.size(values) < rule["minItems"], f"minItems {rule['minItems']}"))
+    found = [F.array(*(F.when(cond, say(what)) for cond, what in broken))] if broken else []
+    if "items" in rule:
+        of, inner = rule["items"]
+        one = lambda v, i: _value_errors(v, "$", of, inner, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), {})
+        found.append(F.flatten(F.transform(values, one)))
+    if "properties" in rule:
+        found.append(_object_errors(doc, at, rule["properties"], path, rule.get("closed", True), keys))
+    right = F.concat(*found) if found else F.array().cast("array<string>")
+    return F.when(typed, right).otherwise(F.array(say(f"expected {kind}")))
+
+
+def _object_errors(doc: Column, at: str, rules: Rules, path: Column, closed: bool, keys: dict[str, Column]) -> Column:
+    found = [F.array().cast("array<string>")]
+    for field, kind, required, rule in rules:
+        where = F.concat(path, F.lit(f".{field}"))
+        absent = F.array(F.concat(where, F.lit(": missing required property"))) if required else F.array().cast("array<string>")
+        there = F.array_contains(keys[at], field)
+        found.append(F.when(there, _value_errors(doc, f"{at}.{field}", kind, rule, where, keys)).otherwise(absent))
+    if closed:
+        extra = F.array_sort(F.array_except(keys[at], F.array(*(F.lit(r[0]) for r in rules))))
+        found.append(F.transform(extra, lambda k: F.concat(path, F.lit("."), k, F.lit(": additional property not allowed"))))
+    return F.concat(*found)
 
 
 def validate(records: DataFrame, json_col: str, rules: Rules, path: str = "$", closed: bool = True) -> DataFrame:
     """The records with ``errors``: messages of the broken rules, in order of the rules, then of
-    properties that the contract does not know. Text that is no JSON object breaks one rule."""
-    doc = F.try_parse_json(json_col)
-    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
-    found = F.array(*(e for field, kind, required, rule in rules for e in _field_errors(doc, field, kind, required, rule, path)))
-    if closed:
-        extra = F.array_sort(F.array_except(F.json_object_keys(doc.cast("string")), F.array(*(F.lit(r[0]) for r in rules))))
-        found = F.concat(found, F.transform(extra, lambda k: F.concat(F.lit(f"{path}."), k, F.lit(": additional property not allowed"))))
-    errors = F.when(is_object, F.filter(found, lambda e: e.isNotNull())).otherwise(F.array(F.lit(f"{path}: expected object")))
-    return records.withColumn("errors", errors)
+    properties that the contract does not know. Text that is no JSON object breaks one rule.
+
+    A rule of an object may have ``properties`` (rules, closed unless ``closed`` is False), one of an
+    array ``items``: the kind and the rule of each item, which is no object with properties."""
+    held = records.select(F.struct(*records.columns).alias("row"), F.try_parse_json(json_col).alias("doc"))
+    names = {at: f"keys{i}" for i, at in enumerate(_objects(rules))}
+    held = held.select("row", "doc", *(F.json_object_keys(F.try_variant_get("doc", at, "variant").cast("string")).alias(n) for at, n in names.items()))
+    found = _object_errors(F.col("doc"), "$", rules, F.lit(path), closed, {at: F.col(n) for at, n in names.items()})
+    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
+    errors = F.when(is_object, F.array_compact(found)).otherwise(F.array(F.lit(f"{path}: expected object")))
+    return held.select("row.*", errors.alias("errors"))
+
+
+def validate_lines(lines: DataFrame, rules: Rules, path: str = "$") -> DataFrame:
+    """JSON lines (column ``value``), blank ones left out, with their ``errors``."""
+    return validate(lines.where(F.trim("value") != ""), "value", rules, path)
+
+
+def error_counts(validated: DataFrame) -> DataFrame:
+    """One row: records, records with an error, and errors."""
+    n = F.size("errors")
+    return validated.agg(F.count("*").alias("records"), F.count_if(n > 0).alias("bad_records"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("errors"))

@@ -1,8 +1,13 @@
-"""JSON text of events, one kind of fault in each residue of event_id modulo 12."""
+"""JSON text with faults for contract queries, as expressions that Spark SQL and DuckDB read alike."""
+
+from __future__ import annotations
+
+import copy
+import json
 
 
 def json_text() -> str:
-    """An expression that Spark SQL and DuckDB read alike."""
+    """Raw logs, one kind of fault in each residue of event_id modulo 12."""
     fault = "event_id % 12"
     part = lambda k, broken, good: f"CASE WHEN {fault} = {k} THEN '{broken}' ELSE '{good}' END"
     parts = [
@@ -25,3 +30,55 @@ def json_text() -> str:
         part(10, ',"zone":1}', "}"),
     ]
     return f"CASE WHEN {fault} = 11 THEN '[1]' ELSE concat({', '.join(parts)}) END"
+
+
+_GOOD = {"string": "10.0.0.1", "integer": 1, "number": 0.5, "boolean": True, "array": [1, 2]}
+_WRONG = {"string": 5, "integer": 1.5, "number": "x", "boolean": 1, "array": {}, "object": []}
+
+
+def _value(kind: str, rule: dict):
+    if kind == "object":
+        return {f: _value(k, r) for f, k, _, r in rule["properties"]}
+    if "enum" in rule:
+        return rule["enum"][0]
+    return "2024-01-01T10:00:00Z" if "format" in rule else max(_GOOD[kind], rule["minimum"]) if "minimum" in rule else _GOOD[kind]
+
+
+def _faults(kind: str, rule: dict) -> list:
+    out = [_WRONG[kind], None]
+    for word, values in (("minLength", [""]), ("format", ["yesterday"]), ("items", [[], [1, "a", -1, True]]), ("enum", ["zz", 7])):
+        out += values if word in rule else []
+    return out + [rule[w] + d for w, d in (("minimum", -1), ("maximum", 1)) if w in rule] + ([True] if kind == "number" else [])
+
+
+def records(rules: list) -> list[str]:
+    """A record that keeps the contract, others with one fault each, two with more, and an array."""
+    good = _value("object", {"properties": rules})
+    out = [good]
+
+    def add(way: list[str], change) -> None:
+        record = copy.deepcopy(good)
+        inner = record
+        for step in way:
+            inner = inner[step]
+        change(inner)
+        out.append(record)
+
+    def walk(rules: list, way: list[str]) -> None:
+        add(way, lambda inner: inner.update({"zone": 1, "also": None}))
+        for field, kind, _, rule in rules:
+            add(way, lambda inner: inner.pop(field))
+            for bad in _faults(kind, rule):
+                add(way, lambda inner: inner.update({field: bad}))
+            if kind == "object":
+                walk(rule["properties"], [*way, field])
+
+    walk(rules, [])
+    return [json.dumps(r) for r in [*out, {}, {k: None for k in good}, [1]]]
+
+
+def contract_text(rules: list) -> str:
+    """The records in turn by event_id."""
+    found = records(rules)
+    cases = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(found))
+    return f"CASE event_id % {len(found)} {cases} END"

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..functions.web import BOT_SIGNATURES, LATENCY_BASES, OTHER_BASE
-from ..schema import ANOMALY_ALERTS, BOT_FEATURE_WINDOWS, LOAD_FORECASTS, PROCESSED_LOGS, RAW_LOG_CONTRACT
+from ..schema import ANOMALY_ALERTS, BOT_FEATURE_WINDOWS, CONTRACTS, LOAD_FORECASTS, PROCESSED_LOGS, RAW_LOG_CONTRACT
 from ..sources.events import AGENTS, ENDPOINTS
 from ..sources.generate import LOAD_JITTER, LOAD_PROFILE, PHASES
-from .faults import json_text
+from .faults import contract_text, json_text
 
 W, S, AW, AS, AL, B, H = 86400, 14400, 3600, 600, 18000, 3600, 10
 GAP, KEEP = 21_600, 864_000
@@ -117,28 +117,65 @@ _BOUND = f"floor(greatest({_d(50)}, (cur + 25)::DOUBLE, (top * 8)::DOUBLE, rolli
 _PATH = r"regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '')"
 
 
-def _contract() -> str:
-    """A list of messages (null where a rule holds) by the JSON functions of DuckDB."""
-    kinds = {"string": "'VARCHAR'", "integer": "'BIGINT', 'UBIGINT'"}
+_JSON_KINDS = {
+    "string": "'VARCHAR'", "integer": "'BIGINT', 'UBIGINT'", "number": "'BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN'", "boolean": "'BOOLEAN'",
+    "array": "'ARRAY'", "object": "'OBJECT'",
+}
+
+
+def _value_rules(j: str, at: str, kind: str, rule: dict, path: str) -> str:
+    """A list of messages (null where a rule holds) on a value that is there, by DuckDB's JSON functions."""
+    text, out = f"json_extract_string({j}, '{at}')", []
+    say = lambda cond, what: out.append(f"CASE WHEN {cond} THEN {path} || ': {what}' END")
+    if "enum" in rule:
+        say(f"NOT list_contains({_texts(rule['enum'])}, {text})", "expected one of " + str(rule["enum"]).replace("'", "''"))
+    if "minLength" in rule:
+        say(f"length({text}) < {rule['minLength']}", f"minLength {rule['minLength']}")
+    if "format" in rule:
+        say(f"TRY_CAST({text} AS TIMESTAMPTZ) IS NULL", "invalid date-time")
+    for word, op in (("minimum", "<"), ("maximum", ">")):
+        if word in rule:
+            say(f"TRY_CAST({text} AS DOUBLE) {op} {rule[word]}", f"{word} {rule[word]}")
+    if "minItems" in rule:
+        say(f"json_array_length({j}, '{at}') < {rule['minItems']}", f"minItems {rule['minItems']}")
+    found = f"[{', '.join(out)}]::VARCHAR[]"
+    if "items" in rule:
+        each = _value_rules("v", "$", *rule["items"], f"{path} || '[' || (i - 1) || ']'")
+        found = f"list_concat({found}, flatten(list_transform(json_extract({j}, '{at}[*]'), lambda v, i: {each})))"
+    if "properties" in rule:
+        found = f"list_concat({found}, {_object_rules(at, rule['properties'], path)})"
+    return f"CASE WHEN coalesce(json_type({j}, '{at}') IN ({_JSON_KINDS[kind]}), false) THEN {found} ELSE [{path} || ': expected {kind}'] END"
+
+
+def _object_rules(at: str, rules: list, path: str) -> str:
     out = []
-    for f, kind, required, rule in RAW_LOG_CONTRACT:
-        there, ok, text = f"json_exists(j, '$.{f}')", f"coalesce(json_type(j, '$.{f}') IN ({kinds[kind]}), false)", f"json_extract_string(j, '$.{f}')"
-        say = lambda cond, what, f=f: out.append(f"CASE WHEN {cond} THEN '$.{f}: {what}' END")
-        if required:
-            say(f"NOT {there}", "missing required property")
-        say(f"{there} AND NOT {ok}", f"expected {kind}")
-        if "enum" in rule:
-            say(f"{ok} AND NOT list_contains({_texts(rule['enum'])}, {text})", "expected one of " + str(rule["enum"]).replace("'", "''"))
-        if "minLength" in rule:
-            say(f"{ok} AND length({text}) < {rule['minLength']}", f"minLength {rule['minLength']}")
-        if "format" in rule:
-            say(f"{ok} AND TRY_CAST({text} AS TIMESTAMPTZ) IS NULL", "invalid date-time")
-        for word, op in (("minimum", "<"), ("maximum", ">")):
-            if word in rule:
-                say(f"{ok} AND TRY_CAST({text} AS DOUBLE) {op} {rule[word]}", f"{word} {rule[word]}")
-    known = _texts([r[0] for r in RAW_LOG_CONTRACT])
-    extra = f"list_transform(list_sort(list_filter(json_keys(j), lambda k: NOT list_contains({known}, k))), lambda k: '$.' || k || ': additional property not allowed')"
-    return f"CASE WHEN json_type(j) = 'OBJECT' THEN array_to_string(list_concat(list_filter([{', '.join(out)}], lambda e: e IS NOT NULL), {extra}), '; ') ELSE '$: expected object' END"
+    for f, kind, required, rule in rules:
+        absent = f"[{path} || '.{f}: missing required property']" if required else "[]::VARCHAR[]"
+        out.append(f"CASE WHEN list_contains(json_keys(j, '{at}'), '{f}') THEN {_value_rules('j', f'{at}.{f}', kind, rule, f"{path} || '.{f}'")} ELSE {absent} END")
+    known = _texts([r[0] for r in rules])
+    out.append(f"list_transform(list_sort(list_filter(json_keys(j, '{at}'), lambda k: NOT list_contains({known}, k))), lambda k: {path} || '.' || k || ': additional property not allowed')")
+    return f"flatten([{', '.join(out)}])"
+
+
+def _contract(rules: list) -> str:
+    found = f"list_filter({_object_rules('$', rules, "'$'")}, lambda e: e IS NOT NULL)"
+    return f"CASE WHEN json_type(j) = 'OBJECT' THEN array_to_string({found}, '; ') ELSE '$: expected object' END"
+
+
+def _linear(columns: str, weights: str, intercept: float) -> str:
+    """Sum of weighted columns, from the intercept on."""
+    return f"{_d(intercept)} + " + " + ".join(f"({c.strip()})::DOUBLE * {_d(float(w))}" for c, w in zip(columns.split(","), weights.split(","), strict=True))
+
+
+_BOT_MODEL = _linear(
+    "number_of_requests, total_duration_s, average_time_ms, repeated_requests, http_response_2xx, http_response_3xx, http_response_4xx, http_response_5xx, get_method, post_method, head_method, other_method, night, max_barrage",
+    "0.25, -0.00001, -0.002, 1.5, -0.5, 0.25, 2.0, 1.0, -0.75, 0.5, 1.25, 0.75, 0.5, 0.125", -1.0,
+)
+_ANOMALY_MODEL = _linear(
+    "request_count, avg_latency_ms, p95_latency_ms, p99_latency_ms, status_5xx_ratio, baseline_avg_latency_ms, baseline_5xx_ratio",
+    "0.0625, 0.004, 0.002, 0.001, 3.0, -0.006, -1.0", -0.5,
+)
+_FORECAST_MODEL = _linear("h[6], h[7], h[8], h[9], h[10], rolling_mean_5, rolling_std_5, hour_of_day, day_of_week", "0.25, 0.25, 0.5, 0.5, 40.0, -12.0, 0.5, 0.125, -0.25", -2.0)
 
 
 _CTES: dict[str, tuple[str, list[str]]] = {
@@ -332,7 +369,7 @@ ORACLES: dict[str, str] = {
           ip, user_agent, method, endpoint || '/' || event_id AS endpoint, endpoint || '/{id}' AS route_template, status, date_trunc('second', t) AS event_time FROM raw WHERE event_id % 10 NOT IN (3, 7)""",
         "raw",
     ),
-    "q29_contract_errors": f"SELECT event_id, errors FROM (SELECT event_id, {_contract()} AS errors FROM (SELECT event_id, ({json_text()})::JSON AS j FROM events)) WHERE errors <> ''",
+    "q29_contract_errors": f"SELECT event_id, errors FROM (SELECT event_id, {_contract(RAW_LOG_CONTRACT)} AS errors FROM (SELECT event_id, ({json_text()})::JSON AS j FROM events)) WHERE errors <> ''",
     "q30_late_filter": _sql("SELECT event_id FROM kept", "kept"),
     "q30_retained_buckets": _sql(f"SELECT scope, endpoint, {_time('be')} AS bucket_end, requests FROM buckets WHERE be >= (SELECT max(be) FROM buckets) - {B * (H + 2)}", "buckets"),
     "q31_bot_as_run": _sql(f"SELECT {_BOT_COLUMNS} FROM bot_r", "bot_r"),
@@ -349,4 +386,28 @@ ORACLES: dict[str, str] = {
         f"""SELECT event_id, r AS replay_time, strftime(r, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM (SELECT event_id, make_timestamp(epoch_us(TIMESTAMP '2026-04-06 10:00:00') + floor(greatest({_d(0)}, (us - (SELECT min_by(us, event_id) FROM raw)) / {_d(30)}))::BIGINT) AS r FROM raw)""",
         "raw",
     ),
+    "q37_bot_model": _sql(
+        f"""SELECT {KEYS}, window_end, CASE WHEN lacks THEN bot_score ELSE p END AS bot_score, CASE WHEN lacks THEN is_bot ELSE (p >= {_d(0.5)})::INT END AS is_bot, 'model-bot-v2' AS model_version
+          FROM (SELECT *, number_of_requests % 3 = 0 AS lacks, {_score(f'1 / (1 + exp(-({_BOT_MODEL})))')} AS p FROM bots)""",
+        "bots",
+    ),
+    "q38_anomaly_model": _sql(
+        f"""SELECT endpoint, window_end, p AS anomaly_score, (p >= {_d(0.5)})::INT AS is_anomaly, 'model-anomaly-v2' AS model_version
+          FROM (SELECT *, {_score(f'1 / (1 + exp(-({_ANOMALY_MODEL})))')} AS p FROM anomalies)""",
+        "anomalies",
+    ),
+    "q39_forecast_model": _sql(
+        f"""SELECT scope, endpoint, bucket_end, CASE WHEN hour_of_day <> 3 AND m <= upper_bound THEN round_even(m, 0)::BIGINT ELSE heuristic END AS predicted_request_count,
+          CASE WHEN hour_of_day <> 3 AND m > upper_bound THEN 'guarded-forecast-v2' ELSE 'model-forecast-v2' END AS model_version
+          FROM (SELECT *, greatest({_d(0)}, {_FORECAST_MODEL}) AS m, {_BOUND} AS upper_bound FROM (SELECT *, predicted_request_count AS heuristic FROM forecasts))""",
+        "forecasts",
+    ),
 }
+
+_CHECKED = {
+    "q40_processed_log_contract": "processed-log", "q41_bot_request_contract": "bot-request", "q41_bot_response_contract": "bot-response",
+    "q42_forecast_request_contract": "forecast-request", "q42_forecast_response_contract": "forecast-response",
+    "q43_anomaly_request_contract": "anomaly-request", "q43_anomaly_response_contract": "anomaly-response",
+}
+for _query, _name in _CHECKED.items():
+    ORACLES[_query] = f"SELECT event_id, {_contract(CONTRACTS[_name])} AS errors FROM (SELECT event_id, ({contract_text(CONTRACTS[_name])})::JSON AS j FROM events)"

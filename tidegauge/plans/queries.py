@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.web import infer_latency_ms, normalize_endpoint, route_template
-from ..operators import anomaly, bot, enrich, forecast, rollups
+from ..operators import anomaly, bot, enrich, forecast, models, rollups
 from ..operators.normalize import normalize, retained, whole_seconds
 from ..operators.quality import validate
-from ..schema import RAW_LOG_CONTRACT
+from ..schema import CONTRACTS, RAW_LOG_CONTRACT
 from ..settings import Settings
 from ..sources.access_log import parse_lines, rebase, sessionize
 from ..sources.events import as_raw_logs, raw_logs
 from ..sources.generate import generate_logs, load_batches
 from ..streaming.stream import stream_partials, streamed_features
-from .faults import json_text
+from .faults import contract_text, json_text
 
 #: The events table has one event in minutes, so windows of hours and days are the useful ones.
 WIDE = Settings(bot_window=86400, bot_slide=14400, anomaly_window=3600, anomaly_slide=600, anomaly_lookback=18000, bucket=3600)
@@ -275,4 +276,44 @@ def q36_replay_rebase(spark, sf_dir):
     return _out(moved.select("event_id", "replay_time", "timestamp"))
 
 
+#: Linear models with plain weights, whose scores SQL can give as well.
+MODEL = replace(WIDE, mode="model")
+BOT_MODEL = models.Scorer(models.Linear((0.25, -0.00001, -0.002, 1.5, -0.5, 0.25, 2.0, 1.0, -0.75, 0.5, 1.25, 0.75, 0.5, 0.125), -1.0), tuple(models.BOT_FEATURES), 0.5)
+ANOMALY_MODEL = models.Scorer(models.Linear((0.0625, 0.004, 0.002, 0.001, 3.0, -0.006, -1.0), -0.5), tuple(models.ANOMALY_FEATURES), 0.5)
+FORECAST_MODEL = models.Scorer(models.Linear((0.0, 0.0, 0.0, 0.0, 0.0, 0.25, 0.25, 0.5, 0.5, 40.0, -12.0, 0.5, 0.125, -0.25), -2.0, logistic=False), tuple(models.FORECAST_FEATURES))
+
+
+def q37_bot_model(spark, sf_dir):
+    """Clients whose windows lack the mean time get the heuristic score."""
+    features = bot.bot_features(_whole(spark, sf_dir), MODEL).withColumn("average_time_ms", F.when(F.col("number_of_requests") % 3 != 0, F.col("average_time_ms")))
+    return _out(models.score_bot_by(features, BOT_MODEL, MODEL).select(*bot.KEYS, "window_end", "bot_score", "is_bot", "model_version"))
+
+
+def q38_anomaly_model(spark, sf_dir):
+    """All windows by the model."""
+    scored = models.score_anomaly_by(anomaly.anomaly_features(_whole(spark, sf_dir), MODEL), ANOMALY_MODEL, MODEL)
+    return _out(scored.select("endpoint", "window_end", "anomaly_score", "is_anomaly", "model_version"))
+
+
+def q39_forecast_model(spark, sf_dir):
+    """Histories of nine buckets, as those for three o'clock, get the heuristic forecast."""
+    features = forecast.forecast_features(forecast.traffic_buckets(_whole(spark, sf_dir), MODEL.bucket), MODEL)
+    features = features.withColumn("history_rps", F.when(F.col("hour_of_day") == 3, F.slice("history_rps", 2, 9)).otherwise(F.col("history_rps")))
+    return _out(models.score_forecast_by(features, FORECAST_MODEL, MODEL).select("scope", "endpoint", "bucket_end", "predicted_request_count", "model_version"))
+
+
+def _contract_errors(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        records = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(contract_text(CONTRACTS[name])).alias("record"))
+        return validate(records, "record", CONTRACTS[name]).select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+    return query
+
+
+q40_processed_log_contract = _contract_errors("processed-log")
+q41_bot_request_contract, q41_bot_response_contract = _contract_errors("bot-request"), _contract_errors("bot-response")
+q42_forecast_request_contract, q42_forecast_response_contract = _contract_errors("forecast-request"), _contract_errors("forecast-response")
+q43_anomaly_request_contract, q43_anomaly_response_contract = _contract_errors("anomaly-request"), _contract_errors("anomaly-response")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}

@@ -62,6 +62,18 @@ def write_fallback(tables: dict[str, DataFrame], path: str) -> None:
     out.write.mode("overwrite").text(path)
 
 
+def write_lines(records: DataFrame, path: str) -> None:
+    """Records as JSON lines, missing values as null, as a replay writes them."""
+    records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def batch_summary(tables: dict[str, DataFrame], source: str, sink: str) -> dict[str, str | int]:
+    """Where a batch came from and went to, and the rows of each of its tables."""
+    rows = {name: df.count() for name, df in tables.items()}
+    names = {"count": "processed_logs", "bot_windows": "bot_feature_windows", "forecasts": "load_forecasts", "anomalies": "anomaly_alerts"}
+    return {"source": source, "sink": sink, **{k: rows.get(name, 0) for k, name in names.items()}}
+
+
 def expired_months(spark: SparkSession, root: str, name: str, now: str) -> list[str]:
     """Months all of whose rows are past the table's days of retention."""
     days = TABLES[name][2]
