@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op4_bpe_codec
 from .decontaminate import OP3_SQL, op3_decontamination
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .license_scan import op10_license_scan
 from .near_dedup import OP5_SQL, op5_near_dedup
 from .quality_lm import op2_quality_lm
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_near_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_near_dedup": OP5_SQL, "op13_filter_audit": OP13_SQL}
