@@ -7,6 +7,7 @@ from .decontaminate import OP3_SQL, op3_decontamination
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .license_scan import op10_license_scan
 from .near_dedup import OP5_SQL, op5_near_dedup
+from .phrases import OP12_SQL, op12_phrases
 from .quality_lm import op2_quality_lm
 from .quality_rules import op8_quality_rules
 from .sharding import OP1_SQL, op1_sharding
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_phrases": op12_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_near_dedup": OP5_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_near_dedup": OP5_SQL, "op12_phrases": OP12_SQL, "op13_filter_audit": OP13_SQL}
