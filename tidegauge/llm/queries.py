@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op4_bpe_codec
 from .decontaminate import OP3_SQL, op3_decontamination
 from .filter_audit import OP13_SQL, op13_filter_audit
+from .fingerprints import op11_fingerprints
 from .license_scan import op10_license_scan
 from .near_dedup import OP5_SQL, op5_near_dedup
 from .phrases import OP12_SQL, op12_phrases
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_fingerprints": op11_fingerprints,
     "op12_phrases": op12_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
