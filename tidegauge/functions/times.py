@@ -11,11 +11,6 @@ def aligned(ts: Column, slide: int) -> Column:
     return F.timestamp_seconds(F.ceil(F.unix_seconds(ts) / slide) * slide)
 
 
-def window_ends(end: Column, slide: int, length: int) -> Column:
-    """Ends of all windows of ``length`` that hold the pane which ends at ``end``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(length // slide - 1)), lambda j: F.timestamp_seconds(F.unix_seconds(end) + j * slide))
-
-
 def seconds_after(ts: Column, n: int | Column) -> Column:
     n = F.lit(n) if isinstance(n, int) else n
     return F.timestamp_micros(F.unix_micros(ts) + n.cast("long") * 1_000_000)

@@ -1,7 +1,7 @@
 """Latency and error features of each endpoint over sliding windows, with a trailing baseline.
 
 Panes keep a histogram of latencies (distinct value, count), from which exact percentiles of any
-window follow; nothing but histogram rows is spread over windows.
+window follow; windows are made by running sums for each of its bins.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import anomaly_score, is_anomaly
-from ..functions.times import aligned, seconds_after, window_ends
+from ..functions.sliding import sliding, spans
+from ..functions.times import aligned, seconds_after
 from ..settings import Settings
 
 
@@ -47,10 +48,11 @@ def anomaly_windows(partials: DataFrame, s: Settings) -> DataFrame:
     """Features of every window that has an event. The baseline is a sliding sum of its own, whose
     end is the window's start: an equi-join."""
     window, slide, lookback = s.anomaly_window, s.anomaly_slide, s.anomaly_lookback
-    spread = lambda df, length: df.withColumn("window_end", F.explode(window_ends(F.col("pane"), slide, length)))
-    found = spread(partials, window).groupBy("endpoint", "window_end").agg(*_stats()).withColumn("window_start", seconds_after(F.col("window_end"), -window))
-    panes = partials.groupBy("endpoint", "pane").agg(F.sum("n").alias("n"), F.sum(F.col("latency_ms").cast("long") * F.col("n")).alias("total"), F.sum("errors").alias("errors"))
-    base = spread(panes, lookback).groupBy("endpoint", F.col("window_end").alias("window_start")).agg(F.sum("n").alias("base_n"), F.sum("total").alias("base_total"), F.sum("errors").alias("base_errors"))
+    bins = spans(partials, window, slide).repartition("endpoint", "span")
+    found = sliding(bins, ["endpoint", "latency_ms"], window, slide, ["n", "errors"]).groupBy("endpoint", "span", "window_end").agg(*_stats()).drop("span")
+    found = found.withColumn("window_start", seconds_after(F.col("window_end"), -window))
+    panes = partials.groupBy("endpoint", "pane").agg(F.sum("n").alias("base_n"), F.sum(F.col("latency_ms").cast("long") * F.col("n")).alias("base_total"), F.sum("errors").alias("base_errors"))
+    base = sliding(spans(panes, lookback, slide), ["endpoint"], lookback, slide, ["base_n", "base_total", "base_errors"]).drop("span").withColumnRenamed("window_end", "window_start")
     return _features(found.join(base, ["endpoint", "window_start"], "left"), ["endpoint", "window_start", "window_end"])
 
 

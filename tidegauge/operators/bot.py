@@ -1,17 +1,19 @@
 """Behaviour features of each client (ip, session, user agent) over sliding windows (start, end].
 
-Events are first reduced to mergeable sums of panes one slide long; only these are spread over the
-windows that hold them.  The partial sums of different batches add up, so the same two steps serve
+Events are first reduced to mergeable sums of panes one slide long, from which windows follow by running
+sums.  The partial sums of different batches add up, so the same two steps serve
 batch and stream.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import bot_score
-from ..functions.times import aligned, is_night, seconds_after, window_ends
+from ..functions.sliding import sliding, spans
+from ..functions.times import aligned, is_night, seconds_after
 from ..settings import Settings
 
 KEYS = ["ip", "session_id", "user_agent"]
@@ -65,15 +67,17 @@ def _features(by_key: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bot_windows(partials: DataFrame, window: int, slide: int) -> DataFrame:
-    """Features of every window that has an event, from the sums of ``bot_partials``."""
-    panes = partials.groupBy(*KEYS, "pane", "route_template").agg(*_merged())
-    seconds = partials.groupBy(*KEYS, "pane", "second").agg(F.sum("n").alias("n")).groupBy(*KEYS, "pane").agg(F.max("n").alias("top"))
-    spread = lambda df: df.withColumn("window_end", F.explode(window_ends(F.col("pane"), slide, window)))
-    by_route = spread(panes).groupBy(*KEYS, "window_end", "route_template").agg(*_merged())
-    by_key = by_route.groupBy(*KEYS, "window_end").agg(*_merged(F.max("n").alias("top_route")))
-    barrage = spread(seconds).groupBy(*KEYS, "window_end").agg(F.max("top").alias("top_second"))
-    found = _features(by_key.join(barrage, [*KEYS, "window_end"]), [*KEYS, "window_end"])
-    return found.withColumn("window_start", seconds_after(F.col("window_end"), -window))
+    """Features of every window that has an event, from the sums of ``bot_partials``.
+
+    One shuffle, by client and span of time; all else is done where the rows then are.
+    """
+    dealt = spans(partials, window, slide).repartition(*KEYS, "span")
+    each = [*KEYS, "span", "pane"]
+    in_second = dealt.withColumn("top_second", F.sum("n").over(W.partitionBy(*each, "second")))
+    routes = in_second.groupBy(*each, "route_template").agg(*_merged(F.max("top_second").alias("top_second")))
+    by_route = sliding(routes, [*KEYS, "route_template"], window, slide, _SUMS, ["last_seen", "top_second"], ["first_seen"])
+    by_key = by_route.groupBy(*KEYS, "span", "window_end").agg(*_merged(F.max("n").alias("top_route"), F.max("top_second").alias("top_second")))
+    return _features(by_key, [*KEYS, "window_end"]).withColumn("window_start", seconds_after(F.col("window_end"), -window))
 
 
 def bot_features(events: DataFrame, s: Settings = Settings()) -> DataFrame:

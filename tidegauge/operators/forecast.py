@@ -52,10 +52,10 @@ def _histories(buckets: DataFrame, s: Settings) -> DataFrame:
     return found.select("scope", "endpoint", F.col("at").alias("bucket_end"), filled.alias("history_rps"))
 
 
-def forecast_features(buckets: DataFrame, s: Settings = Settings()) -> DataFrame:
+def forecast_features(buckets: DataFrame, s: Settings = Settings(), until: int | None = None) -> DataFrame:
     """All buckets: a row for an endpoint where it has a request in the bucket, for the system in each
-    bucket up to the last one."""
-    last = buckets.agg(F.max("bucket_end")).scalar()
+    bucket up to the last one (up to ``until``, in seconds, where that is given)."""
+    last = buckets.agg(F.max("bucket_end")).scalar() if until is None else F.timestamp_seconds(F.lit(until))
     asked = (F.element_at("history_rps", -1) > 0) | ((F.col("scope") == "system") & (F.col("bucket_end") <= last))
     return _with_features(_histories(buckets, s).where(asked), s)
 

@@ -77,29 +77,73 @@ def system_traffic_minutely(logs: DataFrame, approximate: bool = False) -> DataF
     )
 
 
-def traffic_partials(logs: DataFrame) -> DataFrame:
-    """Mergeable sums behind system_traffic_minutely, for incremental upkeep: batches' rows add up.
-    Distinct addresses are kept as a HyperLogLog sketch."""
-    return logs.groupBy(F.date_trunc("MINUTE", "timestamp").alias("minute")).agg(
-        F.count("*").alias("n"),
-        F.hll_sketch_agg("ip").alias("ips"),
-        F.sum(F.col("latency_ms").cast("long")).alias("latency"),
-        F.count_if(F.col("status") >= 400).alias("errors"),
-        F.sum("is_bot").alias("bots"),
-        F.sum("is_anomaly").alias("anomalies"),
-    )
+# -- kept incrementally --------------------------------------------------------------------------
+#: Of each roll-up: the table that it is made of, its time column and step, its other keys.
+_ROLLUPS = {
+    "bot_stats_hourly": ("bot_feature_windows", "window_end", "HOUR", ["ip", "session_id", "user_agent"]),
+    "endpoint_perf_hourly": ("anomaly_alerts", "window_end", "HOUR", ["endpoint"]),
+    "forecast_accuracy_hourly": ("load_forecasts", "predicted_bucket_end", "HOUR", ["scope", "endpoint"]),
+    "processed_logs_summary_hourly": ("processed_logs", "timestamp", "HOUR", ["endpoint"]),
+    "system_traffic_minutely": ("processed_logs", "timestamp", "MINUTE", []),
+}
+#: Of each roll-up: columns that are summed up (name of the sum, expression), columns whose maximum and
+#: whose minimum is kept.  Of addresses a theta sketch is kept.
+_STATES: dict[str, tuple[dict[str, str], list[str], list[str]]] = {
+    "bot_stats_hourly": ({"bots": "is_bot", "score": "bot_score", "repeated": "repeated_requests", "r4": "http_response_4xx", "r5": "http_response_5xx"}, ["max_barrage"], []),
+    "endpoint_perf_hourly": ({"latency": "avg_latency_ms", "anomalies": "is_anomaly", "score": "anomaly_score"}, ["p95_latency_ms", "p99_latency_ms", "status_5xx_ratio"], []),
+    "forecast_accuracy_hourly": ({"load": "predicted_request_count"}, ["predicted_request_count"], ["predicted_request_count"]),
+    "processed_logs_summary_hourly": (
+        {"latency": "latency_ms", "e4": "int(status >= 400 and status < 500)", "e5": "int(status >= 500)", "bots": "is_bot", "anomalies": "is_anomaly", "bot_score": "bot_score", "anomaly_score": "anomaly_score", "load": "predicted_load"},
+        [], [],
+    ),
+    "system_traffic_minutely": ({"latency": "latency_ms", "errors": "int(status >= 400)", "bots": "is_bot", "anomalies": "is_anomaly"}, [], []),
+}
+_NAMED = {
+    "bot_stats_hourly": {"total_requests": "n", "bot_detected": "sum_bots", "avg_bot_score": "sum_score / n", "max_barrage": "max_max_barrage", "avg_repeated_requests": "sum_repeated / n", "avg_4xx_ratio": "sum_r4 / n", "avg_5xx_ratio": "sum_r5 / n"},
+    "endpoint_perf_hourly": {
+        "total_requests": "n", "avg_latency_ms": "sum_latency / n", "p95_latency_ms": "max_p95_latency_ms", "p99_latency_ms": "max_p99_latency_ms", "max_5xx_ratio": "max_status_5xx_ratio",
+        "anomaly_detected": "sum_anomalies", "avg_anomaly_score": "sum_score / n",
+    },
+    "forecast_accuracy_hourly": {"total_forecasts": "n", "avg_predicted_load": "sum_load / n", "max_predicted_load": "max_predicted_request_count", "min_predicted_load": "min_predicted_request_count"},
+    "processed_logs_summary_hourly": {
+        "total_requests": "n", "unique_ips": "theta_sketch_estimate(ips)", "avg_latency_ms": "sum_latency / n", "error_4xx_count": "sum_e4", "error_5xx_count": "sum_e5", "bot_count": "sum_bots",
+        "anomaly_count": "sum_anomalies", "avg_bot_score": "sum_bot_score / n", "avg_anomaly_score": "sum_anomaly_score / n", "avg_predicted_load": "sum_load / n",
+    },
+    "system_traffic_minutely": {"total_requests": "n", "unique_ips": "theta_sketch_estimate(ips)", "avg_latency_ms": "sum_latency / n", "error_rate": "sum_errors / n", "bot_ratio": "sum_bots / n", "anomaly_ratio": "sum_anomalies / n"},
+}
+
+
+def _step(name: str) -> str:
+    return _ROLLUPS[name][2].lower()
+
+
+def roll_up_states(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Of a batch of the four tables, the states of the roll-ups made of them: sums, extremes and
+    sketches by time and key, a row for each that the batch touches.  States of different batches,
+    late ones too, are kept side by side; ``rolled_up`` merges them."""
+    out = {}
+    for name, (source, time, step, keys) in _ROLLUPS.items():
+        if source in tables:
+            sums, most, least = _STATES[name]
+            states = [F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(f"sum_{c}") for c, e in sums.items()), *(F.max(c).alias(f"max_{c}") for c in most), *(F.min(c).alias(f"min_{c}") for c in least)]
+            if "ips" in _NAMED[name].get("unique_ips", ""):
+                states.append(F.theta_sketch_agg("ip").alias("ips"))
+            out[name] = tables[source].groupBy(F.date_trunc(step, time).alias(_step(name)), *keys).agg(*states)
+    return out
 
 
-def traffic_from_partials(partials: DataFrame) -> DataFrame:
-    n = F.sum("n")
-    return partials.groupBy("minute").agg(
-        n.alias("total_requests"),
-        F.hll_sketch_estimate(F.hll_union_agg("ips")).alias("unique_ips"),
-        (F.sum("latency") / n).alias("avg_latency_ms"),
-        (F.sum("errors") / n).alias("error_rate"),
-        (F.sum("bots") / n).alias("bot_ratio"),
-        (F.sum("anomalies") / n).alias("anomaly_ratio"),
-    )
+def merged_states(states: DataFrame, name: str) -> DataFrame:
+    """The states of several batches as one for each time and key, of the same columns."""
+    merge = {"n": F.sum, "sum": F.sum, "max": F.max, "min": F.min, "ips": F.theta_union_agg}
+    keys = [_step(name), *_ROLLUPS[name][3]]
+    columns = [c for c in states.columns if c.split("_")[0] in merge and c not in keys]
+    return states.groupBy(*keys).agg(*(merge[c.split("_")[0]](c).alias(c) for c in columns))
+
+
+def rolled_up(states: DataFrame, name: str) -> DataFrame:
+    """A roll-up from the states of all batches; distinct addresses are exact up to 4,096 a row."""
+    found = merged_states(states, name)
+    return found.select(_step(name), *_ROLLUPS[name][3], *(F.expr(e).alias(c) for c, e in _NAMED[name].items()))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,7 +1,17 @@
-"""The four tables as Parquet by month, JSON-lines fallback, and retention."""
+"""The four tables as Parquet: batches that become visible at once, JSON-lines fallback, and retention.
+
+Every batch has folders of its own, ``<root>/<table>/batch=<batch>/month=<yyyyMM>``, and is visible from
+the moment when its commit file ``<root>/commits/<batch>.json`` is in place, all its tables together.
+Readers go by the commit files only: what a crash left behind is not read, and the repeated batch
+writes over it; a batch that is committed is not written again.
+"""
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,46 +21,119 @@ TABLES = {
     "bot_feature_windows": ("window_end", ["window_end", "ip", "session_id"], 30),
     "load_forecasts": ("bucket_end", ["bucket_end", "scope", "endpoint"], 30),
     "anomaly_alerts": ("window_end", ["window_end", "endpoint"], 30),
+    "system_traffic_minutely": ("minute", ["minute"], 7),
+    "bot_stats_hourly": ("hour", ["hour", "ip", "session_id"], 30),
+    "endpoint_perf_hourly": ("hour", ["hour", "endpoint"], 30),
+    "forecast_accuracy_hourly": ("hour", ["hour", "scope", "endpoint"], 30),
+    "processed_logs_summary_hourly": ("hour", ["hour", "endpoint"], 30),
 }
+#: Folders by day, where rows are kept for a few days only.
+_FOLDER = {"system_traffic_minutely": ("day", "yyyyMMdd")}
+_MONTH = ("month", "yyyyMM")
 
 
-def write_table(rows: DataFrame, root: str, name: str, batch: int | str | None = None) -> None:
-    """Rows of a table, in folders by month (and by batch), sorted within each file.
+def _folder(name: str) -> tuple[str, str]:
+    return _FOLDER.get(name, _MONTH)
 
-    With ``batch`` only that batch's folders are replaced, so that a repeated batch leaves one copy.
-    """
-    time, order, _ = TABLES[name]
-    out = rows.withColumn("month", F.date_format(time, "yyyyMM"))
-    by = ["month"]
-    if batch is not None:
-        out, by = out.withColumn("batch", F.lit(str(batch))), ["batch", "month"]
-    writer = out.sortWithinPartitions("month", *order).write.partitionBy(*by)
-    (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if batch is not None else writer.mode("append")).parquet(f"{root}/{name}")
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
-def write_hours(rows: DataFrame, root: str, name: str) -> None:
-    """All rows of some hours of a table: each hour's folder is replaced, others stay."""
+
+def put_table(rows: DataFrame, root: str, name: str, batch: str) -> None:
+    """Rows of a table as a batch's folders, sorted within each file; not visible before ``commit``."""
     time, order, _ = TABLES[name]
-    out = rows.withColumn("month", F.date_format(time, "yyyyMM")).withColumn("hour", F.date_format(time, "yyyyMMddHH"))
-    writer = out.sortWithinPartitions("month", "hour", *order).write.partitionBy("month", "hour")
-    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}")
+    by, form = _folder(name)
+    out = rows.drop("batch", by).withColumn(by, F.date_format(time, form))
+    out.sortWithinPartitions(by, *order).write.mode("overwrite").partitionBy(by).parquet(f"{root}/{name}/batch={batch}")
+
+
+def commit(spark: SparkSession, root: str, batch: str, note: dict) -> None:
+    """Makes a batch visible: its commit file appears whole, by a rename."""
+    fs, final = _files(spark, f"{root}/commits/{batch}.json")
+    _, temp = _files(spark, f"{root}/commits/.{batch}-{uuid.uuid4().hex}")
+    out = fs.create(temp, True)
+    try:
+        out.write(bytearray(json.dumps({"batch": batch, **note}).encode()))
+    finally:
+        out.close()
+    if not fs.rename(temp, final):
+        fs.delete(temp, False)
+        raise FileExistsError(f"batch {batch} is committed already")
+
+
+def commits(spark: SparkSession, root: str) -> dict[str, dict]:
+    """The notes of all visible batches; those that a compaction has replaced are left out."""
+    fs, folder = _files(spark, f"{root}/commits")
+    if not fs.exists(folder):
+        return {}
+    lines = spark.read.text(f"{root}/commits", pathGlobFilter="*.json", wholetext=True).collect()  # a small file a batch
+    found = {note["batch"]: note for note in (json.loads(r.value) for r in lines)}
+    gone = {b for note in found.values() for b in note.get("replaces", [])}
+    return {b: note for b, note in found.items() if b not in gone}
+
+
+def write_batch(tables: dict[str, DataFrame], root: str, batch: int | str, **note: object) -> bool:
+    """Writes a batch of rows of several tables and commits it; False if it has been committed before."""
+    batch = str(batch)
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"no name for a batch: {batch!r}")
+    spark = next(iter(tables.values())).sparkSession
+    fs, path = _files(spark, f"{root}/commits/{batch}.json")
+    if fs.exists(path):
+        return False
+    for name, rows in tables.items():
+        put_table(rows, root, name, batch)
+    commit(spark, root, batch, {"tables": list(tables), **note})
+    return True
+
+
+def _folders(spark: SparkSession, root: str, name: str) -> list[tuple[str, str, str]]:
+    """(batch, month, path) of a table's visible folders."""
+    seen = {b for b, note in commits(spark, root).items() if name in note["tables"]}
+    fs, pattern = _files(spark, f"{root}/{name}/batch=*/{_folder(name)[0]}=*")
+    found = [str(status.getPath().toString()) for status in fs.globStatus(pattern) or []]
+    parts = [(*re.findall(r"=([^/=]*)", p)[-2:], p) for p in found]
+    return sorted(p for p in parts if p[0] in seen)
 
 
 def read_table(spark: SparkSession, root: str, name: str, months: list[str] | None = None) -> DataFrame:
-    """A table; ``months`` (yyyyMM) prunes folders."""
-    found = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return found.where(F.col("month").cast("string").isin(*months)) if months is not None else found
+    """The visible rows of a table; ``months`` (yyyyMM, where folders are days yyyyMMdd) prunes folders."""
+    paths = [p for _, month, p in _folders(spark, root, name) if months is None or month in months]
+    if not paths:
+        raise FileNotFoundError(f"{root}/{name} has no visible rows" + (f" in {months}" if months else ""))
+    found = spark.read.option("basePath", f"{root}/{name}").parquet(*paths)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("batch", _folder(name)[0])})
 
 
 def seed_if_empty(spark: SparkSession, root: str, name: str, seed: DataFrame) -> bool:
-    """Writes ``seed`` if the table has no row yet; whether it did."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    if there and not read_table(spark, root, name).isEmpty():
-        return False
-    write_table(seed, root, name)
-    return True
+    """Writes ``seed``, as a batch of its own, if the table has no row yet; whether it did."""
+    return not _folders(spark, root, name) and write_batch({name: seed}, root, f"seed-{name}")
+
+
+def compact(spark: SparkSession, root: str, keep: int = 100) -> str | None:
+    """Puts all but the newest ``keep`` batches together as one, and deletes their folders; the name of
+    the new batch.  Readers see either the old batches or the new one."""
+    notes = commits(spark, root)
+    old = sorted(notes, key=lambda b: (notes[b].get("number", -1), b))[: max(0, len(notes) - keep)]
+    if len(old) < 2:
+        return None
+    tables = {}
+    for name in sorted({t for b in old for t in notes[b]["tables"]}):
+        paths = [p for b, _, p in _folders(spark, root, name) if b in old]
+        if paths:
+            tables[name] = spark.read.option("basePath", f"{root}/{name}").parquet(*paths)
+    merged = f"merged-{uuid.uuid4().hex}"
+    number = max(notes[b].get("number", -1) for b in old)
+    until = max((notes[b]["until"] for b in old if "until" in notes[b]), default=None)
+    write_batch(tables, root, merged, replaces=old, number=number, **({"until": until} if until is not None else {}))
+    for name in tables:
+        for b in old:
+            fs, path = _files(spark, f"{root}/{name}/batch={b}")
+            fs.delete(path, True)
+    return merged
 
 
 def write_fallback(tables: dict[str, DataFrame], path: str) -> None:
@@ -75,21 +158,17 @@ def batch_summary(tables: dict[str, DataFrame], source: str, sink: str) -> dict[
 
 
 def expired_months(spark: SparkSession, root: str, name: str, now: str) -> list[str]:
-    """Months all of whose rows are past the table's days of retention."""
-    days = TABLES[name][2]
-    limit = F.date_format(F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"), "yyyyMM")
-    months = read_table(spark, root, name).select(F.col("month").cast("string").alias("month")).distinct()
-    return [r.month for r in months.where(F.col("month") < limit).orderBy("month").collect()]  # a folder each
+    """Months (days) all of whose rows are past the table's days of retention."""
+    limit = F.date_format(F.lit(now).cast("timestamp") - F.expr(f"interval {TABLES[name][2]} days"), _folder(name)[1])
+    last = spark.range(1).select(limit.alias("limit")).first().limit
+    return sorted({month for _, month, _ in _folders(spark, root, name) if month < last})
 
 
 def prune(spark: SparkSession, root: str, name: str, now: str) -> list[str]:
-    """Deletes the folders of expired months (of all batches)."""
+    """Deletes the folders of expired months (days) of all batches."""
     gone = expired_months(spark, root, name, now)
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for month in gone:
-        for pattern in (f"{root}/{name}/month={month}", f"{root}/{name}/batch=*/month={month}"):
-            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []:
-                fs.delete(status.getPath(), True)
+    for _, month, path in _folders(spark, root, name):
+        if month in gone:
+            fs, folder = _files(spark, path)
+            fs.delete(folder, True)
     return gone

@@ -1,4 +1,4 @@
-"""The log pipeline as a stream: each micro-batch leaves mergeable sums, from which windows follow.
+"""The log pipeline as a stream: events wait in the state store until their windows close.
 
 Sums of a batch go to folders of that batch, by hour, which a repeated batch replaces; so a lost executor
 or a restart from the checkpoint leaves every event counted once.  Hours that no later window can need
@@ -7,6 +7,9 @@ are neither read nor kept.
 
 from __future__ import annotations
 
+import datetime
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,8 +18,10 @@ from ..operators.anomaly import anomaly_partials, anomaly_windows, score_anomaly
 from ..operators.bot import bot_partials, bot_windows, score_bot
 from ..operators.enrich import anomaly_rows, bot_rows, enrich, forecast_rows
 from ..operators.forecast import forecast_features, score_forecast, traffic_buckets
+from ..functions.times import aligned
+from ..operators.rollups import roll_up_states
 from ..settings import Settings
-from ..sinks import write_hours, write_table
+from ..sinks import commits, write_batch
 
 
 _HOUR = "yyyyMMddHH"
@@ -40,11 +45,6 @@ def _start(query, available_now: bool, s: Settings) -> StreamingQuery:
     return query.start()
 
 
-def deduplicated(events: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """A stream without repeated request ids, as far as the retention of events reaches."""
-    return events.withWatermark("event_time", f"{s.event_retention} seconds").dropDuplicatesWithinWatermark(["request_id"])
-
-
 def stream_partials(events: DataFrame, path: str, s: Settings = Settings(), available_now: bool = False) -> StreamingQuery:
     """Starts a query that keeps the sums of bot windows, anomaly windows and traffic buckets of a
     stream of events (whole seconds) below ``path``."""
@@ -55,23 +55,26 @@ def stream_partials(events: DataFrame, path: str, s: Settings = Settings(), avai
     return _start(events.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint"), available_now, s)
 
 
-def _read(spark: SparkSession, path: str, name: str, since: str | None) -> DataFrame:
+def _read(spark: SparkSession, path: str, name: str, since: str | None, last: int | None) -> DataFrame:
     found = spark.read.parquet(f"{path}/{name}")
     if since is not None:
         at = F.lit(since).cast("timestamp")
         found = found.where((F.col("hour").cast("string") >= F.date_format(at, _HOUR)) & (F.col(_TIMES[name]) >= at))
+    if last is not None:
+        found = found.where(F.col("batch") <= last)
     return found.drop("batch", "hour")
 
 
-def streamed_features(spark: SparkSession, path: str, s: Settings = Settings(), since: str | None = None) -> dict[str, DataFrame]:
-    """Scored windows and forecasts of the sums kept so far; ``since`` bounds the state that is read, by
-    folder.  Windows that begin before ``since`` lack what came before it."""
-    buckets = _read(spark, path, "buckets", since).groupBy("scope", "endpoint", "bucket_end").agg(F.sum("requests").alias("requests"))
-    sums = _read(spark, path, "anomaly", since).groupBy("endpoint", "pane", "latency_ms").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+def streamed_features(spark: SparkSession, path: str, s: Settings = Settings(), since: str | None = None, last: int | None = None, until: int | None = None) -> dict[str, DataFrame]:
+    """Scored windows and forecasts of the sums kept so far, of batches up to ``last``; ``since`` bounds
+    the state that is read, by folder, and ``until`` (seconds) is the end of what is known.  Windows that
+    begin before ``since`` lack what came before it."""
+    buckets = _read(spark, path, "buckets", since, last).groupBy("scope", "endpoint", "bucket_end").agg(F.sum("requests").alias("requests"))
+    sums = _read(spark, path, "anomaly", since, last).groupBy("endpoint", "pane", "latency_ms").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     return {
-        "bot": score_bot(bot_windows(_read(spark, path, "bot", since), s.bot_window, s.bot_slide), s),
+        "bot": score_bot(bot_windows(_read(spark, path, "bot", since, last), s.bot_window, s.bot_slide), s),
         "anomaly": score_anomaly(anomaly_windows(sums, s), s),
-        "forecast": score_forecast(forecast_features(buckets, s), s),
+        "forecast": score_forecast(forecast_features(buckets, s, until), s),
     }
 
 
@@ -86,48 +89,60 @@ def _expire(spark: SparkSession, path: str, before: str) -> None:
                 fs.delete(status.getPath(), True)
 
 
-def _reach(spark: SparkSession, state: str, batch: DataFrame, number: int, s: Settings) -> tuple[str, str, str] | None:
-    """What a batch touches: the hours from the first to the last whose windows it may change, and the
-    time from which their sums are needed; as text. None for a batch without events."""
-    mine = batch.agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"))
-    before = spark.read.parquet(f"{state}/buckets").where(F.col("batch") < number).agg(F.max("bucket_end").alias("latest"))
-    keep = max(s.event_retention, s.bucket_retention)
-    hour = lambda c: F.date_trunc("HOUR", c)
-    found = mine.crossJoin(before).where("first is not null")  # one row each
-    # a gap after the last event of before may now have empty buckets
-    begin = hour(F.least("first", F.coalesce("latest", "first")))
-    end = hour(F.greatest("last", F.coalesce("latest", "last")) + F.expr(f"interval {keep} seconds")) + F.expr("interval 1 hour")
-    row = found.select(*(c.cast("string").alias(n) for c, n in ((begin, "begin"), (end, "end"), (begin - F.expr(f"interval {keep} seconds"), "since")))).first()
-    return (row.begin, row.end, row.since) if row else None
-
-
-def run_stream(events: DataFrame, root: str, s: Settings = Settings(), available_now: bool = False) -> StreamingQuery:
-    """Starts the whole pipeline: events with their scores and the three feature tables.
-
-    Events without a time, repeated request ids within the retention of events, and events later than
-    that are left out.  A micro-batch is scored by its own windows and the sums of the batches before it.
-    ``processed_logs`` gets the batch's events.  The feature tables have one row for each key and
-    window: the hours whose windows the batch may have changed are replaced from the sums, so that in
-    the end they hold what the batch functions give for the same events.
+def grid(s: Settings) -> int:
+    """Seconds between the times at which windows and buckets of all kinds end together."""
+    return math.lcm(s.bot_slide, s.anomaly_slide, s.bucket)
+
+
+def closed_events(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Each event of a stream once, as soon as all windows and buckets that end at its grid points are closed.
+
+    Events (whole seconds) wait in the state store, keyed by their span of the grid and request id,
+    until the watermark, which is ``event_retention`` seconds behind the latest event, passes the
+    span's end.  Events without a time, repeated request ids within that retention, and events of a
+    span that is closed are left out.  The state holds the events of the open spans and the request
+    ids of the retention; both leave it by the watermark.
+    """
+    timed = events.where("event_time is not null").withWatermark("event_time", f"{s.event_retention} seconds")
+    unique = timed.dropDuplicatesWithinWatermark(["request_id"])
+    span = F.window("event_time", f"{grid(s)} seconds", startTime="1 second")  # spans are (start, end]
+    return unique.groupBy(span, "request_id").agg(F.first(F.struct(*events.columns)).alias("event")).select("event.*")
+
+
+def run_stream(events: DataFrame, root: str, s: Settings = Settings(), available_now: bool = False, roll_up: bool = False) -> StreamingQuery:
+    """Starts the whole pipeline: events with their scores and the three feature tables, below ``root``.
+
+    Takes the events that ``closed_events`` lets go.  A micro-batch then holds all events of the spans
+    since the one before, and so all windows that end in these spans are complete: each is written once,
+    in the batch that closes it, from the batch's sums and those of earlier batches that still reach
+    into them.  What a batch writes is in proportion to its events; nothing is written twice.  The four tables of
+    a batch (and, with ``roll_up``, the mergeable states of the five roll-ups) become visible together,
+    see ``sinks``.  A batch that is repeated after a crash is written over or, if it was committed,
+    left as it is.  In the end the tables hold the rows that the batch functions give, up to the last
+    span that is closed.
     """
     spark = events.sparkSession
     state = f"{root}/state"
+    keep = max(s.event_retention, s.bucket_retention)
+    text = lambda seconds: datetime.datetime.fromtimestamp(seconds, datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            if batch.isEmpty():
+            until = batch.agg(F.unix_seconds(aligned(F.max("event_time"), grid(s)))).first()[0]
+            if until is None:
                 return
+            begun = max((c["until"] for c in commits(spark, root).values() if c.get("number", number) < number), default=None)
+            since = text(begun - keep) if begun is not None else None
             _put_sums(batch, state, number, s)
-            begin, end, since = _reach(spark, state, batch, number, s)
-            got = streamed_features(spark, state, s, since)
-            for name, time, rows in (("bot_feature_windows", "window_end", bot_rows(got["bot"])), ("load_forecasts", "bucket_end", forecast_rows(got["forecast"])), ("anomaly_alerts", "window_end", anomaly_rows(got["anomaly"]))):
-                at = F.col(time).cast("timestamp")
-                write_hours(rows.where((at >= F.lit(begin).cast("timestamp")) & (at < F.lit(end).cast("timestamp"))), root, name)
-            write_table(enrich(batch, got["bot"], got["anomaly"], got["forecast"], s), root, "processed_logs", number)
-            _expire(spark, state, since)
+            got = streamed_features(spark, state, s, since, number, until)
+            new = lambda df, time: df.where((F.unix_seconds(F.col(time)) <= until) & (F.unix_seconds(F.col(time)) > (begun if begun is not None else F.lit(-(1 << 62)))))
+            bots, anomalies, forecasts = new(got["bot"], "window_end"), new(got["anomaly"], "window_end"), new(got["forecast"], "bucket_end")
+            tables = {"processed_logs": enrich(batch, bots, anomalies, forecasts, s), "bot_feature_windows": bot_rows(bots), "load_forecasts": forecast_rows(forecasts), "anomaly_alerts": anomaly_rows(anomalies)}
+            write_batch(tables | (roll_up_states(tables) if roll_up else {}), root, number, number=number, until=until)
+            if since is not None:
+                _expire(spark, state, since)
         finally:
             batch.unpersist()
 
-    unique = deduplicated(events.where("event_time is not null"), s)
-    return _start(unique.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint"), available_now, s)
+    return _start(closed_events(events, s).writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint"), available_now, s)
