@@ -22,13 +22,14 @@ from .textvec import combine
 
 #: Bytes of text that are worked on at a time: the size of a shard, and so of its automata.
 SHARD_BYTES = 6 << 20
-#: Cells of each of the sketch's two rows at most, and of the piece of a row that is summed up together.
-#: Past the text that fills them more phrases pass, never fewer.
-MOST_CELLS, PIECE_CELLS = 1 << 27, 1 << 20
+#: Cells of the sketch at most, and pieces of it that are summed up apart.  Past the text that fills the
+#: cells more phrases pass, never fewer.
+MOST_CELLS, PIECES = 1 << 27, 128
 #: Bytes of text for each cell.
 CELL_BYTES = 12
-#: A-Z are lowered apart; what ends a piece becomes a line end, a tab a blank.
-_MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
+#: A-Z are lowered apart; what ends a piece becomes a byte that no UTF-8 text has, a tab a blank.
+_END = b"\xff"
+_MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _END * 10 + b" ")
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[str, list[bytes]]]:
@@ -53,22 +54,20 @@ class _Shard:
     def __init__(self, lang: str, texts: list[bytes]) -> None:
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
+        end = number[_END]
         ids: list[int] = []
-        ends: list[int] = []
         self.lines: list[bytes] = []
         for text in texts:
-            lines = []
-            for piece in text.lower().translate(_MARKS).split(b"\n"):
-                if words := piece.split():
-                    ids.extend(map(number.__getitem__, words))
-                    ends.append(len(ids))
-                    lines.append(b" %b " % b" ".join(words))
-            self.lines.append(b"\n".join(lines))
-        self.words, self.ids = list(number), np.array(ids, dtype=np.int64)
+            words = text.lower().translate(_MARKS).replace(_END, b" \xff ").split()
+            ids.extend(map(number.__getitem__, words))
+            ids.append(end)
+            self.lines.append(b" %b " % b" ".join(words).replace(_END, b"\n"))
+        found = np.array(ids, dtype=np.int64)
+        piece = np.cumsum(found == end)[found != end]
+        self.words, self.ids = list(number), found[found != end]
         seed = crc32(lang.encode())
         self._hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], dtype=np.uint64)
-        self._inner = np.ones(len(ids), dtype=bool)  # whether the next word is in the same piece
-        self._inner[np.array(ends, dtype=np.int64) - 1] = False
+        self._inner = np.append(piece[1:] == piece[:-1], False)  # whether the next word is in the same piece
 
     def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all runs of n words within a piece."""
@@ -84,57 +83,63 @@ class _Shard:
             key = np.unique(key, return_inverse=True)[1] * len(self.words) + self.ids[at + i]
         return at[np.unique(key, return_index=True)[1]]
 
-    def text(self, at: int, n: int) -> bytes:
-        return b" ".join([self.words[i] for i in self.ids[at : at + n]])
+    def texts(self, at: np.ndarray, n: int) -> list[str]:
+        """The phrases of n words that begin there, words parted by a blank."""
+        words = [w.decode() for w in self.words[1:]]
+        return [" ".join(p) for p in zip(*([words[i - 1] for i in self.ids[at + k].tolist()] for k in range(n)))]
 
 
-def _cells(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
-    """Cell of each hash in each of the two rows."""
-    mask = np.uint64(cells - 1)
-    return [(hashes & mask).astype(np.uint32), ((hashes >> np.uint64(32)) & mask).astype(np.uint32)]
+def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """Cell of each hash."""
+    return (hashes & np.uint64(cells - 1)).astype(np.uint32)
 
 
-def _sketch(rows: DataFrame, longest: int, least: int, cells: int, shard_bytes: int) -> list[np.ndarray]:
-    """Bits of a count-min sketch of all phrases of 1 to ``longest`` words: whether a cell's count
-    reaches ``least``.  If either cell of a phrase does not, neither does the phrase.
+def _packed(at: np.ndarray) -> bytes:
+    """Ascending cells of a piece: the lowest bytes of their distances, the second bytes, and so on."""
+    return np.diff(at.astype("<u4"), prepend=np.zeros(1, "<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    Each shard sends the cells that it touched with their counts, by piece of a row; the pieces are
-    summed up apart, in arrays of fixed size.  Only the bits, of 2 * MOST_CELLS cells at most, reach
-    the driver.
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel())
+
+
+def _sketch(rows: DataFrame, longest: int, least: int, cells: int, shard_bytes: int) -> np.ndarray:
+    """Bits of a count-min sketch of one wide row, over all phrases of 1 to ``longest`` words: whether
+    a cell's count reaches ``least``.  If the cell of a phrase does not, neither does the phrase.
+
+    Each shard sends the cells that it touched with their counts, by piece of the row; the pieces are
+    summed up apart, in arrays of fixed size.  Only the bits, of MOST_CELLS cells at most, reach the
+    driver.
     """
-    piece = min(cells, PIECE_CELLS)
+    piece = max(8, cells // PIECES)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _shards(batches, shard_bytes):
             shard = _Shard(lang, texts)
-            hashes = np.concatenate([shard.phrases(n)[1] for n in range(1, longest + 1)])
-            for row, found in enumerate(_cells(hashes, cells)):
-                at, n = np.unique(found, return_counts=True)
-                n = np.minimum(n, least).astype(np.uint8)
-                edges = np.searchsorted(at, np.arange(0, cells + 1, piece))
-                full = np.flatnonzero(np.diff(edges))
-                parts = [slice(edges[k], edges[k + 1]) for k in full]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row * (cells // piece) + full, pa.int32()), pa.array([(at[p] % piece).astype(np.uint32).tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())],
-                    names=["piece", "at", "n"],
-                )
+            at = np.sort(np.concatenate([_cells(shard.phrases(n)[1], cells) for n in range(1, longest + 1)]))
+            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, dtype=np.int64)
+            n = np.minimum(np.diff(np.append(begin, len(at))), least).astype(np.uint8)
+            at = at[begin]
+            edges = np.searchsorted(at, np.arange(0, cells + 1, piece))
+            full = np.flatnonzero(np.diff(edges))
+            parts = [slice(edges[k], edges[k + 1]) for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_packed(at[p] % piece) for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())], names=["piece", "at", "n"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = held.setdefault(k, np.zeros(piece, dtype=np.uint8))
-                at = np.frombuffer(at, dtype=np.uint32)
+                counts, at = held.setdefault(k, np.zeros(piece, dtype=np.uint8)), _unpacked(at)
                 counts[at] = np.minimum(counts[at].astype(np.uint16) + np.frombuffer(n, dtype=np.uint8), least)
-        for k, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
+        if held:
+            bits = [np.packbits(c >= least, bitorder="little").tobytes() for c in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(bits, pa.binary())], names=["piece", "bits"])
 
     sent = rows.mapInArrow(touched, "piece int, at binary, n binary").repartition("piece")
-    bits = np.zeros((2, cells // 8), dtype=np.uint8)
+    bits = np.zeros(cells // 8, dtype=np.uint8)
     for r in sent.mapInArrow(summed, "piece int, bits binary").collect():
-        row, k = divmod(r.piece, cells // piece)
-        bits[row, k * piece // 8 : (k + 1) * piece // 8] = np.frombuffer(r.bits, dtype=np.uint8)
-    return list(bits)
+        bits[r.piece * piece // 8 : (r.piece + 1) * piece // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    return bits
 
 
 def _scan(rows: DataFrame, longest: int, cells: int, sketch: Broadcast, shard_bytes: int) -> DataFrame:
@@ -143,38 +148,29 @@ def _scan(rows: DataFrame, longest: int, cells: int, sketch: Broadcast, shard_by
 
     def passing(shard: _Shard, n: int) -> np.ndarray:
         at, hashes = shard.phrases(n)
-        for row, bits in enumerate(sketch.value):
-            cell = _cells(hashes, cells)[row]
-            keep = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            at, hashes = at[keep], hashes[keep]
-        return at
+        cell = _cells(hashes, cells)
+        return at[(sketch.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _shards(batches, shard_bytes):
             shard = _Shard(lang, texts)
-            sizes, phrases, counts = [0], [b""], [np.array([len(shard.ids)])]
             single = shard.distinct(passing(shard, 1), 1)
-            sizes += [1] * len(single)
-            phrases += [shard.text(i, 1) for i in single]
-            counts.append(np.bincount(shard.ids, minlength=1)[shard.ids[single]])
+            words = shard.texts(single, 1)
+            sizes, phrases, counts = [0] + [1] * len(words), ["", *words], [np.array([len(shard.ids)]), np.bincount(shard.ids, minlength=1)[shard.ids[single]]]
             automaton, known = ahocorasick.Automaton(), 0
             for n in range(2, longest + 1):
-                for i in shard.distinct(passing(shard, n), n):
-                    phrase = shard.text(i, n)
-                    automaton.add_word(f" {phrase.decode()} ", known)
-                    known += 1
-                    phrases.append(phrase)
-                    sizes.append(n)
+                found = shard.texts(shard.distinct(passing(shard, n), n), n)
+                for i, phrase in enumerate(found, known):
+                    automaton.add_word(f" {phrase} ", i)
+                known += len(found)
+                phrases += found
+                sizes += [n] * len(found)
             if known:
                 automaton.make_automaton()
-                found = np.zeros(known, dtype=np.int64)
-                for line in shard.lines:
-                    hits = np.fromiter(map(itemgetter(1), automaton.iter(line.decode())), dtype=np.int64)
-                    if len(hits):
-                        found += np.bincount(hits, minlength=known)
-                counts.append(found)
+                hits = [np.fromiter(map(itemgetter(1), automaton.iter(line.decode())), dtype=np.int32) for line in shard.lines]
+                counts.append(np.bincount(np.concatenate(hits), minlength=known))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(sizes), pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.concatenate(counts), pa.int64())],
+                [pa.array([lang] * len(sizes), pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(np.concatenate(counts), pa.int64())],
                 names=["lang", "size", "phrase", "n"],
             )
 
