@@ -16,9 +16,13 @@ def seconds_after(ts: Column, n: int | Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + n.cast("long") * 1_000_000)
 
 
+_ISO = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d([.,]\d{1,9})?)?(Z|[+-]\d\d(:?\d\d)?)?)?$"
+
+
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text to a time; null if it is none. Zone offsets and Z are honoured, UTC by default."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 text to a time; null if it is none or has no date. Zone offsets and Z are honoured, the
+    session's zone by default."""
+    return F.when(text.rlike(_ISO), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
 
 
 def iso_text(ts: Column) -> Column:

@@ -21,12 +21,13 @@ BOT_SIGNATURES = ["bot", "crawler", "spider", "ahrefs", "bingbot", "googlebot",
 def normalize_endpoint(target: Column) -> Column:
     """Path of a request target, percent-decoded, with a slash before it.
 
-    Scheme, host, query and fragment go; a target without a path stays whole.  A target with an
-    escape that is none is left undecoded.
+    Scheme, host, query and fragment go; a target without a path stays whole.  An escape
+    that is none stays as it is.
     """
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(target, r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)", ""), r"^//[^/?#]*", ""), r"[?#].*$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(target, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""), r"^//[^/?#]*", ""), r"[?#].*$", "")
     path = F.when(path == "", target).otherwise(path)
-    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    escaped = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    plain = F.coalesce(F.try_url_decode(escaped), path)
     return F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit("/"), plain))
 
 

@@ -61,6 +61,29 @@ def anomaly_features(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     return anomaly_windows(anomaly_partials(events, s.anomaly_slide), s)
 
 
+#: Size of a quantile sketch, and the rank error that 99 of 100 sketches of that size keep; twice the
+#: error is met less than once in a million times.  Up to SKETCH_ITEMS values a sketch is exact.
+SKETCH_ITEMS = 400
+SKETCH_ERROR = 2.296 / SKETCH_ITEMS**0.9021
+
+
+def latency_sketches(events: DataFrame, slide: int, items: int = SKETCH_ITEMS) -> DataFrame:
+    """(endpoint, pane, n, sketch): a mergeable quantile sketch (KLL) of the latencies of each pane, of a
+    size that does not grow with the events; those of several batches may be put together."""
+    timed = events.where("event_time is not null and latency_ms is not null")
+    return timed.groupBy("endpoint", aligned(F.col("event_time"), slide).alias("pane")).agg(F.count("*").alias("n"), F.kll_sketch_agg_bigint(F.col("latency_ms").cast("long"), F.lit(items)).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, window: int, slide: int) -> DataFrame:
+    """Nearest-rank percentiles of every window that has an event, from the sketches of its panes: each
+    is a latency of the window, whose rank is off by about SKETCH_ERROR of the window's events at most."""
+    ends = F.transform(F.sequence(F.lit(0), F.lit(window // slide - 1)), lambda j: seconds_after(F.col("pane"), j * slide))
+    spread = sketches.withColumn("window_end", F.explode(ends))
+    merged = spread.groupBy("endpoint", "window_end").agg(F.sum("n").alias("request_count"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    at = lambda q: F.kll_sketch_get_quantile_bigint("sketch", F.lit(q))
+    return merged.select("endpoint", "window_end", "request_count", at(0.95).alias("p95_latency_ms"), at(0.99).alias("p99_latency_ms"))
+
+
 def _histogram(events: DataFrame) -> DataFrame:
     return events.groupBy("endpoint", "latency_ms").agg(F.count("*").alias("n"), F.sum(_server_error().cast("long")).alias("errors"))
 

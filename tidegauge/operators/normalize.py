@@ -9,10 +9,12 @@ from ..functions.times import parse_iso
 from ..settings import Settings
 
 
-def normalize(logs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Events of raw logs: all fields filled, ``event_time`` added (null if no time can be read).
+def normalize(logs: DataFrame, s: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
+    """Events of raw logs: absent fields filled, ``event_time`` added (null if no time can be read).
 
-    ``original_timestamp`` and ``request_time_ms`` may be absent.
+    ``original_timestamp`` and ``request_time_ms`` may be absent.  The columns ``keep`` (by default the
+    ``errors`` and ``line`` of a source, where they are) are kept as they are; a field with an error is
+    filled too, and ``quarantine`` takes its row away.
     """
     has = lambda c: F.col(c) if c in logs.columns else F.lit(None)
     ip, agent = F.coalesce("ip", F.lit("0.0.0.0")), F.coalesce("user_agent", F.lit("unknown"))
@@ -30,15 +32,20 @@ def normalize(logs: DataFrame, s: Settings = Settings()) -> DataFrame:
         F.upper(F.coalesce("method", F.lit("GET"))).alias("method"),
         endpoint.alias("endpoint"),
         F.coalesce(F.col("route_template"), endpoint).alias("route_template"),
-        F.coalesce("status", F.lit(200)).cast("int").alias("status"),
-        F.coalesce(F.col("latency_ms"), has("request_time_ms"), F.lit(0)).cast("int").alias("latency_ms"),
+        F.coalesce(F.col("status").try_cast("int"), F.lit(200)).alias("status"),
+        F.coalesce(F.col("latency_ms").try_cast("int"), has("request_time_ms").try_cast("int"), F.lit(0)).alias("latency_ms"),
         parse_iso(chosen).alias("event_time"),
+        *(keep if keep is not None else [c for c in ("errors", "line") if c in logs.columns]),
     )
 
 
 def quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events with a time, and those without one."""
-    return events.where("event_time is not null"), events.where("event_time is null")
+    """Events that hold what they should, and the others with their ``errors``: fields that could not
+    be read (see ``sources.logs.typed_logs``), or no time."""
+    known = F.col("errors") if "errors" in events.columns else F.array().cast("array<string>")
+    errors = F.when(F.col("event_time").isNull(), F.array_append(known, F.lit("event_time: no date-time"))).otherwise(known)
+    judged = events.withColumn("errors", errors)
+    return judged.where(F.size("errors") == 0).drop("errors", "line"), judged.where(F.size("errors") > 0)
 
 
 def whole_seconds(events: DataFrame) -> DataFrame:

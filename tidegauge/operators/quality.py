@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import parse_iso
+
 Rules = list[tuple[str, str, bool, dict]]
 
 _KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$", "boolean": "^BOOLEAN$", "array": "^ARRAY.*", "object": "^OBJECT.*"}
@@ -26,7 +28,7 @@ def _value_errors(doc: Column, at: str, kind: str, rule: dict, path: Column, key
     if "minLength" in rule:
         broken.append((F.length(text) < rule["minLength"], f"minLength {rule['minLength']}"))
     if rule.get("format") == "date-time":
-        broken.append((F.try_to_timestamp(text).isNull(), "invalid date-time"))
+        broken.append((parse_iso(text).isNull(), "invalid date-time"))
     if "pattern" in rule:
         broken.append((~text.rlike(f"^(?:{rule['pattern']})$"), f"pattern {rule['pattern']}"))
     if "minimum" in rule:

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from ..functions.web import BOT_SIGNATURES, LATENCY_BASES, OTHER_BASE
 from ..schema import ANOMALY_ALERTS, BOT_FEATURE_WINDOWS, CONTRACTS, LOAD_FORECASTS, PROCESSED_LOGS, RAW_LOG_CONTRACT
-from ..sources.events import AGENTS, ENDPOINTS
-from ..sources.generate import LOAD_JITTER, LOAD_PROFILE, PHASES
 from .faults import contract_text, json_text
 
+# Fixed values, written out so that a wrong constant of the library shows.
+ENDPOINTS = ["catalog/search", "auth", "account", "catalog/product", "basket", "payment", "media/img", "admin/user"]
+AGENTS = ["Mozilla/5.0", "Mozilla/5.0 (Mobile)", "Mozilla/5.0 (X11; Linux x86_64)", "Googlebot/2.1", "curl/8.6.0", "python-requests/2.32.3"]
+BOT_SIGNATURES = ["bot", "crawler", "spider", "ahrefs", "bingbot", "googlebot", "python-requests", "curl/", "wget", "sqlmap"]
+LATENCY_BASES = [
+    (["image", "images", "img", "media", "static", "productmodel", "article"], 55),
+    (["search", "filter", "category", "products", "product"], 140),
+    (["login", "auth", "signin", "register"], 260),
+    (["cart", "basket", "profile", "account"], 190),
+    (["orders", "order", "checkout", "payment"], 900),
+    (["admin", "users", "user"], 320),
+]
+OTHER_BASE = 120
 W, S, AW, AS, AL, B, H = 86400, 14400, 3600, 600, 18000, 3600, 10
 GAP, KEEP = 21_600, 864_000
 KEYS = "ip, session_id, user_agent"
@@ -184,7 +194,7 @@ _CTES: dict[str, tuple[str, list[str]]] = {
           'sess-u' || user_id AS session_id, CASE user_id % 25 WHEN 0 THEN '1.2.3.4' WHEN 1 THEN '1.1.1.1' ELSE '10.0.' || (user_id // 256) || '.' || (user_id % 256) END AS ip,
           {_texts(AGENTS)}[(user_id % 6 + 1)::INT] AS user_agent,
           CASE WHEN event_type = 'click' AND k % 7 = 0 THEN 'HEAD' WHEN event_type IN ('signup', 'purchase') THEN 'POST' WHEN event_type = 'error' AND k % 3 = 0 THEN 'PATCH' ELSE 'GET' END AS method,
-          '/api/v1/' || {_texts(ENDPOINTS)}[k % 8 + 1] AS endpoint, '/api/v1/' || {_texts(ENDPOINTS)}[k % 8 + 1] AS route_template,
+          '/shop/' || {_texts(ENDPOINTS)}[k % 8 + 1] AS endpoint, '/shop/' || {_texts(ENDPOINTS)}[k % 8 + 1] AS route_template,
           (CASE WHEN event_type = 'error' THEN [500, 503, 404, 429][k % 4 + 1] WHEN event_type = 'signup' THEN 201 WHEN event_type = 'click' AND k % 10 = 0 THEN 302 ELSE 200 END)::INT AS status,
           floor(value * {_d(10)})::INT AS latency_ms FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)""",
         [],
@@ -298,7 +308,6 @@ _LOG_COLUMNS = ", ".join(c for c in PROCESSED_LOGS if c != "replay_timestamp")
 _FORECAST_COLUMNS = "scope, endpoint, bucket_end, predicted_request_count, model_version"
 _NULL = lambda c, m: f"CASE WHEN event_id % {m} = 0 THEN NULL ELSE {c} END"
 _IP, _UA = f"coalesce({_NULL('ip', 7)}, '0.0.0.0')", f"coalesce({_NULL('user_agent', 11)}, 'unknown')"
-_KIND = "CASE " + " ".join(f"WHEN id % 24 < {end} THEN '{name}'" for name, _, end in PHASES) + " END"
 
 ORACLES: dict[str, str] = {
     "q01_normalize": _sql(
@@ -373,8 +382,14 @@ ORACLES: dict[str, str] = {
     "q30_late_filter": _sql("SELECT event_id FROM kept", "kept"),
     "q30_retained_buckets": _sql(f"SELECT scope, endpoint, {_time('be')} AS bucket_end, requests FROM buckets WHERE be >= (SELECT max(be) FROM buckets) - {B * (H + 2)}", "buckets"),
     "q31_bot_as_run": _sql(f"SELECT {_BOT_COLUMNS} FROM bot_r", "bot_r"),
-    "q33_generator_mix": f"SELECT {_KIND} AS kind, count(*) AS requests, count(*) FILTER (WHERE id % 24 BETWEEN 8 AND 10) AS server_errors FROM range(100000) r(id) GROUP BY ALL",
-    "q33_load_profile": f"SELECT i AS publish_index, greatest(1, {LOAD_PROFILE}[i % 32 + 1] + {LOAD_JITTER}[i % 8 + 1])::BIGINT AS events FROM range(96) r(i)",
+    "q32_anomaly_as_run": _sql(
+        f"""SELECT endpoint, {_time('e')} AS window_end, {_time(f'e - {AW}')} AS window_start, request_count, round_even(a_, 3) AS avg_latency_ms, p95 AS p95_latency_ms, p99 AS p99_latency_ms,
+          round_even(x_, 4) AS status_5xx_ratio, {_A_LAST}
+          FROM (SELECT endpoint, count(*) AS request_count, avg(latency_ms) AS a_, quantile_disc(latency_ms, 0.95)::DOUBLE AS p95, quantile_disc(latency_ms, 0.99)::DOUBLE AS p99,
+            (count(*) FILTER (WHERE status >= 500 AND status < 600))::DOUBLE / count(*) AS x_ FROM kept GROUP BY endpoint)
+          LEFT JOIN (SELECT endpoint, {_A_BASE} FROM kept, anomaly_end WHERE us > (e - {AW + AL}) * 1000000 AND us <= (e - {AW}) * 1000000 GROUP BY endpoint) USING (endpoint), anomaly_end""",
+        "kept", "anomaly_end",
+    ),
     "q34_stream_windows": _sql(f"SELECT {_BOT_COLUMNS} FROM bot_f", "bot_f"),
     "q35_guardrail": _sql(
         f"""SELECT scope, endpoint, bucket_end, upper_bound, CASE WHEN m <= upper_bound THEN m::BIGINT ELSE heuristic END AS predicted_request_count,
@@ -404,6 +419,35 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+#: What a stream over the whole table has closed: spans of the grid that end before the watermark.
+_CTES["until"] = (f"SELECT max(g) AS u FROM (SELECT {_up('us', S)} AS g FROM whole) WHERE g + 1 <= (SELECT max(us) // 1000000 FROM whole) - {W}", ["whole"])
+_BY = lambda time: f"epoch({time}) <= (SELECT u FROM until)"
+ORACLES["q44_stream_tables"] = _sql(
+    f"""SELECT 'processed_logs' AS table_name, request_id AS entity, timestamp AS at, round(bot_score + anomaly_score, 9) AS score, predicted_load AS load FROM logs WHERE {_BY('timestamp')}
+      UNION ALL SELECT 'bot_feature_windows', ip || ' ' || session_id || ' ' || user_agent, window_end, bot_score, max_barrage FROM bots WHERE {_BY('window_end')}
+      UNION ALL SELECT 'anomaly_alerts', endpoint, window_end, anomaly_score, request_count FROM anomalies WHERE {_BY('window_end')}
+      UNION ALL SELECT 'load_forecasts', scope || ' ' || endpoint, bucket_end, NULL, predicted_request_count FROM forecasts WHERE {_BY('bucket_end')}""",
+    "logs", "bots", "anomalies", "forecasts", "until",
+)
+#: Roll-ups kept batch by batch have the rows of those made at once.
+for _kept, _whole in (("q45_kept_bot_stats", "q15_bot_stats_hourly"), ("q46_kept_endpoint_perf", "q16_endpoint_perf_hourly"), ("q47_kept_forecast_accuracy", "q17_forecast_accuracy_hourly"), ("q48_kept_logs_summary", "q18_processed_logs_summary_hourly"), ("q49_kept_system_traffic", "q19_system_traffic_minutely")):
+    ORACLES[_kept] = ORACLES[_whole]
+#: Every percentile of the sketches has to be within the stated error of its rank.
+ORACLES["q50_latency_sketches"] = _sql(
+    f"SELECT endpoint, {_time('we')} AS window_end, count(*) AS request_count, true AS p95_within, true AS p99_within FROM (SELECT *, unnest(range(a, a + {30 * W}, {W})) AS we FROM (SELECT *, {_up('us', W)} AS a FROM whole)) GROUP BY endpoint, we",
+    "whole",
+)
+_FAULT = "event_id % 16"
+ORACLES["q51_ingest"] = _sql(
+    f"""SELECT CASE WHEN {_FAULT} NOT IN (7, 8) THEN request_id END AS request_id, CASE WHEN {_FAULT} IN (0, 1, 7, 8, 9) THEN 200 WHEN {_FAULT} = 4 THEN 404 ELSE status END::INT AS status,
+      CASE WHEN {_FAULT} IN (7, 8, 11) THEN 0 WHEN {_FAULT} = 5 THEN 77 ELSE latency_ms END::INT AS latency_ms,
+      CASE WHEN {_FAULT} IN (2, 3, 7, 8, 12) THEN NULL WHEN {_FAULT} = 10 THEN date_trunc('day', t) WHEN {_FAULT} = 13 THEN date_trunc('second', t) - INTERVAL 210 MINUTE ELSE date_trunc('second', t) END AS event_time,
+      CASE {_FAULT} WHEN 0 THEN 'status: expected integer' WHEN 1 THEN 'status: expected integer' WHEN 2 THEN 'event_time: no date-time' WHEN 3 THEN 'event_time: no date-time'
+        WHEN 6 THEN 'ip: expected string' WHEN 7 THEN 'expected object; event_time: no date-time' WHEN 8 THEN 'expected object; event_time: no date-time' WHEN 11 THEN 'latency_ms: expected integer'
+        WHEN 12 THEN 'timestamp: expected string; event_time: no date-time' ELSE '' END AS errors FROM raw""",
+    "raw",
+)
+
 _CHECKED = {
     "q40_processed_log_contract": "processed-log", "q41_bot_request_contract": "bot-request", "q41_bot_response_contract": "bot-response",
     "q42_forecast_request_contract": "forecast-request", "q42_forecast_response_contract": "forecast-response",

@@ -12,14 +12,17 @@ from pyspark.sql import types as T
 
 from ..functions.web import infer_latency_ms, normalize_endpoint, route_template
 from ..operators import anomaly, bot, enrich, forecast, models, rollups
-from ..operators.normalize import normalize, retained, whole_seconds
+from ..functions.sliding import sliding, spans
+from ..functions.times import aligned
+from ..operators.normalize import normalize, quarantine, retained, whole_seconds
 from ..operators.quality import validate
 from ..schema import CONTRACTS, RAW_LOG_CONTRACT
 from ..settings import Settings
 from ..sources.access_log import parse_lines, rebase, sessionize
 from ..sources.events import as_raw_logs, raw_logs
-from ..sources.generate import generate_logs, load_batches
-from ..streaming.stream import stream_partials, streamed_features
+from ..sources.logs import read_json_logs
+from ..sinks import read_table, write_batch
+from ..streaming.stream import run_stream, stream_partials, streamed_features
 from .faults import contract_text, json_text
 
 #: The events table has one event in minutes, so windows of hours and days are the useful ones.
@@ -237,15 +240,6 @@ def q32_anomaly_as_run(spark, sf_dir):
     return _out(anomaly.anomaly_as_run(retained(_events(spark, sf_dir), KEEP), WIDE))
 
 
-def q33_generator_mix(spark, sf_dir):
-    logs = generate_logs(spark, 100_000)
-    return logs.groupBy("kind").agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("server_errors"))
-
-
-def q33_load_profile(spark, sf_dir):
-    return load_batches(spark, 96).groupBy("publish_index").agg(F.count("*").alias("events"))
-
-
 def q34_stream_windows(spark, sf_dir):
     """The windows of q02, from a stream over the files of the events table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -262,6 +256,8 @@ def _shared(spark: SparkSession) -> str:
     import tempfile
 
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (path or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
@@ -316,4 +312,91 @@ q41_bot_request_contract, q41_bot_response_contract = _contract_errors("bot-requ
 q42_forecast_request_contract, q42_forecast_response_contract = _contract_errors("forecast-request"), _contract_errors("forecast-response")
 q43_anomaly_request_contract, q43_anomaly_response_contract = _contract_errors("anomaly-request"), _contract_errors("anomaly-response")
 
+def q44_stream_tables(spark, sf_dir):
+    """The four tables that the streaming pipeline has written of the events table, up to the last span closed."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root = f"{_shared(spark)}/pipeline-{uuid.uuid4().hex}"
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    run_stream(whole_seconds(as_raw_logs(stream)), root, WIDE, available_now=True).awaitTermination()
+    rows = {
+        "processed_logs": (F.col("request_id"), "timestamp", F.col("bot_score") + F.col("anomaly_score"), "predicted_load"),
+        "bot_feature_windows": (F.concat_ws(" ", *bot.KEYS), "window_end", F.col("bot_score"), "max_barrage"),
+        "anomaly_alerts": (F.col("endpoint"), "window_end", F.col("anomaly_score"), "request_count"),
+        "load_forecasts": (F.concat_ws(" ", "scope", "endpoint"), "bucket_end", F.lit(None).cast("double"), "predicted_request_count"),
+    }
+    found = None
+    for name, (entity, time, score, load) in rows.items():
+        part = read_table(spark, root, name).select(F.lit(name).alias("table_name"), entity.alias("entity"), F.col(time).alias("at"), score.alias("score"), F.col(load).cast("long").alias("load"))
+        found = part if found is None else found.union(part)
+    return _out(found, rounded=True)
+
+
+def _kept_rollup(name: str, source: str, table: Callable[[SparkSession, str], DataFrame], at: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A roll-up whose states three batches have left in a stored table; each batch has rows of every
+    hour, so that those of the later ones are late."""
+
+    def query(spark, sf_dir):
+        root = f"{_shared(spark)}/rollups-{uuid.uuid4().hex}"
+        rows = table(spark, sf_dir)
+        for batch in range(3):
+            mine = rows.where(F.pmod(F.unix_seconds(at) + F.crc32(F.col("endpoint" if "endpoint" in rows.columns else "ip").cast("binary")), F.lit(3)) == batch)
+            write_batch({k: v for k, v in rollups.roll_up_states({source: mine}).items() if k == name}, root, batch)
+        return _out(rollups.rolled_up(read_table(spark, root, name), name), rounded=True)
+
+    return query
+
+
+q45_kept_bot_stats = _kept_rollup("bot_stats_hourly", "bot_feature_windows", _bots, "window_end")
+q46_kept_endpoint_perf = _kept_rollup("endpoint_perf_hourly", "anomaly_alerts", _anomalies, "window_end")
+q47_kept_forecast_accuracy = _kept_rollup("forecast_accuracy_hourly", "load_forecasts", _forecasts, "predicted_bucket_end")
+q48_kept_logs_summary = _kept_rollup("processed_logs_summary_hourly", "processed_logs", _processed, "timestamp")
+q49_kept_system_traffic = _kept_rollup("system_traffic_minutely", "processed_logs", _processed, "timestamp")
+
+
+def q50_latency_sketches(spark, sf_dir):
+    """Windows of 30 days whose percentiles come from daily sketches, and whether the true ranks of
+    those values are within twice the stated error."""
+    events = _whole(spark, sf_dir)
+    day, window = WIDE.bot_window, 30 * WIDE.bot_window
+    found = anomaly.sketched_percentiles(anomaly.latency_sketches(events, day), window, day)
+    panes = events.groupBy("endpoint", aligned(F.col("event_time"), day).alias("pane"), "latency_ms").agg(F.count("*").alias("n"))
+    bins = sliding(spans(panes, window, day), ["endpoint", "latency_ms"], window, day, ["n"])
+    both = bins.join(found, ["endpoint", "window_end"])
+    n, error = F.col("request_count"), 2 * anomaly.SKETCH_ERROR
+
+    def within(c: str, q: float):
+        """Whether the ranks of the value, from that of its first to that of its last copy, touch q."""
+        below, upto = (F.sum(F.when(cond, F.col("n")).otherwise(0)) for cond in (F.col("latency_ms") < F.col(c), F.col("latency_ms") <= F.col(c)))
+        return (below / F.first(n) <= q + error) & (upto / F.first(n) >= q - error)
+
+    judged = both.groupBy("endpoint", "window_end").agg(F.first(n).alias("request_count"), within("p95_latency_ms", 0.95).alias("p95_within"), within("p99_latency_ms", 0.99).alias("p99_within"))
+    return _out(judged)
+
+
+def q51_ingest(spark, sf_dir):
+    """Events as files of JSON lines with faults planted by event_id, read, normalized, and judged."""
+    fields = ["timestamp", "request_id", "session_id", "ip", "user_agent", "method", "endpoint", "status", "latency_ms"]
+    logs = _events(spark, sf_dir).select("event_id", "timestamp", F.to_json(F.struct(*fields)).alias("json"))
+    line, fault = F.col("json"), F.pmod("event_id", F.lit(16))
+
+    def put(field: str, value: str):
+        """The line with JSON text in place of a field's value."""
+        return F.regexp_replace(line, F.lit(f'"{field}":("[^"]*"|[0-9]+)'), F.lit(f'"{field}":{value}'))
+
+    planted = {
+        0: put("status", '"abc"'), 1: put("status", "500.7"), 2: put("timestamp", '"10:00"'), 3: put("timestamp", '"2026"'), 4: put("status", '"404"'),
+        5: F.replace(put("latency_ms", "77"), F.lit('"latency_ms"'), F.lit('"request_time_ms"')), 6: put("ip", "5"), 7: F.lit("[1]"), 8: F.substring(line, 1, 30), 9: put("status", "null"),
+        10: F.replace(line, F.col("timestamp"), F.substring("timestamp", 1, 10)), 11: put("latency_ms", "true"), 12: put("timestamp", "7"), 13: F.replace(line, F.substring("timestamp", -4, 4), F.concat(F.substring("timestamp", -4, 3), F.lit("+03:30"))),
+    }
+    text = line
+    for k, broken in planted.items():
+        text = F.when(fault == k, broken).otherwise(text)
+    path = f"{_shared(spark)}/lines-{uuid.uuid4().hex}"
+    logs.select(text.alias("value")).write.text(path)
+    good, bad = quarantine(normalize(read_json_logs(spark, path)))
+    columns = ["request_id", "status", "latency_ms", "event_time"]
+    return _out(good.select(*columns, F.lit("").alias("errors")).union(bad.select(*columns, F.array_join("errors", "; "))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENDPOINTS = ["search", "login", "profile", "products", "cart", "orders", "checkout", "admin/users"]
+ENDPOINTS = ["catalog/search", "auth", "account", "catalog/product", "basket", "payment", "media/img", "admin/user"]
 AGENTS = ["Mozilla/5.0", "Mozilla/5.0 (Mobile)", "Mozilla/5.0 (X11; Linux x86_64)", "Googlebot/2.1", "curl/8.6.0", "python-requests/2.32.3"]
 
 
@@ -20,7 +20,7 @@ def as_raw_logs(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
     ts = F.col("ts").cast("timestamp")
-    endpoint = F.concat(F.lit("/api/v1/"), pick(ENDPOINTS, k % 8))
+    endpoint = F.concat(F.lit("/shop/"), pick(ENDPOINTS, k % 8))
     method = F.when(kind == "click", F.when(k % 7 == 0, "HEAD").otherwise("GET")).when(kind.isin("signup", "purchase"), "POST").when((kind == "error") & (k % 3 == 0), "PATCH").otherwise("GET")
     status = F.when(kind == "error", pick([500, 503, 404, 429], k % 4)).when(kind == "signup", 201).when((kind == "click") & (k % 10 == 0), 302).otherwise(200)
     ip = F.when(u % 25 == 0, "1.2.3.4").when(u % 25 == 1, "1.1.1.1").otherwise(F.format_string("10.0.%d.%d", F.floor(u / 256), u % 256))

@@ -1,16 +1,15 @@
 """The log pipeline as a stream: events wait in the state store until their windows close.
 
-Sums of a batch go to folders of that batch, by hour, which a repeated batch replaces; so a lost executor
-or a restart from the checkpoint leaves every event counted once.  Hours that no later window can need
-are neither read nor kept.
+Sums of a batch go to folders of that batch, by slot of time, which a repeated batch replaces; so a lost
+executor or a restart from the checkpoint leaves every event counted once.  Slots that no later window
+can need are neither read nor kept.
 """
 
 from __future__ import annotations
 
-import datetime
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,20 +23,29 @@ from ..settings import Settings
 from ..sinks import commits, write_batch
 
 
-_HOUR = "yyyyMMddHH"
 #: Time column of each kind of sums.
 _TIMES = {"bot": "pane", "anomaly": "pane", "buckets": "bucket_end"}
 
 
-def _put(df: DataFrame, path: str, batch: int, time: str) -> None:
-    out = df.withColumn("hour", F.date_format(time, _HOUR)).withColumn("batch", F.lit(batch))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+def _keep(s: Settings) -> int:
+    """Seconds of sums that a window or history may still need."""
+    return max(s.event_retention, s.bucket_retention)
+
+
+def _slot(time: str, s: Settings) -> Column:
+    """The folder of a time: a span of as many seconds as are kept, an hour at least."""
+    return F.floor(F.unix_seconds(time) / max(3600, _keep(s)))
+
+
+def _put(df: DataFrame, path: str, batch: int, time: str, s: Settings) -> None:
+    out = df.withColumn("slot", _slot(time, s)).withColumn("batch", F.lit(batch)).sortWithinPartitions("slot")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(path)
 
 
 def _put_sums(batch: DataFrame, path: str, number: int, s: Settings) -> None:
-    _put(bot_partials(batch, s.bot_slide), f"{path}/bot", number, "pane")
-    _put(anomaly_partials(batch, s.anomaly_slide), f"{path}/anomaly", number, "pane")
-    _put(traffic_buckets(batch, s.bucket), f"{path}/buckets", number, "bucket_end")
+    _put(bot_partials(batch, s.bot_slide), f"{path}/bot", number, "pane", s)
+    _put(anomaly_partials(batch, s.anomaly_slide), f"{path}/anomaly", number, "pane", s)
+    _put(traffic_buckets(batch, s.bucket), f"{path}/buckets", number, "bucket_end", s)
 
 
 def _start(query, available_now: bool, s: Settings) -> StreamingQuery:
@@ -55,37 +63,35 @@ def stream_partials(events: DataFrame, path: str, s: Settings = Settings(), avai
     return _start(events.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint"), available_now, s)
 
 
-def _read(spark: SparkSession, path: str, name: str, since: str | None, last: int | None) -> DataFrame:
+def _read(spark: SparkSession, path: str, name: str, s: Settings, since: int | None, last: int | None) -> DataFrame:
     found = spark.read.parquet(f"{path}/{name}")
     if since is not None:
-        at = F.lit(since).cast("timestamp")
-        found = found.where((F.col("hour").cast("string") >= F.date_format(at, _HOUR)) & (F.col(_TIMES[name]) >= at))
+        found = found.where((F.col("slot") >= since // max(3600, _keep(s))) & (F.unix_seconds(_TIMES[name]) >= since))
     if last is not None:
         found = found.where(F.col("batch") <= last)
-    return found.drop("batch", "hour")
+    return found.drop("batch", "slot")
 
 
-def streamed_features(spark: SparkSession, path: str, s: Settings = Settings(), since: str | None = None, last: int | None = None, until: int | None = None) -> dict[str, DataFrame]:
-    """Scored windows and forecasts of the sums kept so far, of batches up to ``last``; ``since`` bounds
-    the state that is read, by folder, and ``until`` (seconds) is the end of what is known.  Windows that
+def streamed_features(spark: SparkSession, path: str, s: Settings = Settings(), since: int | None = None, last: int | None = None, until: int | None = None) -> dict[str, DataFrame]:
+    """Scored windows and forecasts of the sums kept so far, of batches up to ``last``; ``since`` (seconds)
+    bounds the state that is read, by folder, and ``until`` is the end of what is known.  Windows that
     begin before ``since`` lack what came before it."""
-    buckets = _read(spark, path, "buckets", since, last).groupBy("scope", "endpoint", "bucket_end").agg(F.sum("requests").alias("requests"))
-    sums = _read(spark, path, "anomaly", since, last).groupBy("endpoint", "pane", "latency_ms").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+    buckets = _read(spark, path, "buckets", s, since, last).groupBy("scope", "endpoint", "bucket_end").agg(F.sum("requests").alias("requests"))
+    sums = _read(spark, path, "anomaly", s, since, last).groupBy("endpoint", "pane", "latency_ms").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     return {
-        "bot": score_bot(bot_windows(_read(spark, path, "bot", since, last), s.bot_window, s.bot_slide), s),
+        "bot": score_bot(bot_windows(_read(spark, path, "bot", s, since, last), s.bot_window, s.bot_slide), s),
         "anomaly": score_anomaly(anomaly_windows(sums, s), s),
         "forecast": score_forecast(forecast_features(buckets, s, until), s),
     }
 
 
-def _expire(spark: SparkSession, path: str, before: str) -> None:
-    """Deletes the state of all hours before a time."""
+def _expire(spark: SparkSession, path: str, before: int, s: Settings) -> None:
+    """Deletes the state of all slots before a time."""
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    limit = spark.range(1).select(F.date_format(F.lit(before).cast("timestamp"), _HOUR).alias("h")).first().h
     for name in _TIMES:
-        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/hour=*")) or []:
-            if status.getPath().getName().split("=")[1] < limit:
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/slot=*")) or []:
+            if int(status.getPath().getName().split("=")[1]) < before // max(3600, _keep(s)):
                 fs.delete(status.getPath(), True)
 
 
@@ -123,8 +129,6 @@ def run_stream(events: DataFrame, root: str, s: Settings = Settings(), available
     """
     spark = events.sparkSession
     state = f"{root}/state"
-    keep = max(s.event_retention, s.bucket_retention)
-    text = lambda seconds: datetime.datetime.fromtimestamp(seconds, datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -133,7 +137,7 @@ def run_stream(events: DataFrame, root: str, s: Settings = Settings(), available
             if until is None:
                 return
             begun = max((c["until"] for c in commits(spark, root).values() if c.get("number", number) < number), default=None)
-            since = text(begun - keep) if begun is not None else None
+            since = begun - _keep(s) if begun is not None else None
             _put_sums(batch, state, number, s)
             got = streamed_features(spark, state, s, since, number, until)
             new = lambda df, time: df.where((F.unix_seconds(F.col(time)) <= until) & (F.unix_seconds(F.col(time)) > (begun if begun is not None else F.lit(-(1 << 62)))))
@@ -141,7 +145,7 @@ def run_stream(events: DataFrame, root: str, s: Settings = Settings(), available
             tables = {"processed_logs": enrich(batch, bots, anomalies, forecasts, s), "bot_feature_windows": bot_rows(bots), "load_forecasts": forecast_rows(forecasts), "anomaly_alerts": anomaly_rows(anomalies)}
             write_batch(tables | (roll_up_states(tables) if roll_up else {}), root, number, number=number, until=until)
             if since is not None:
-                _expire(spark, state, since)
+                _expire(spark, state, since, s)
         finally:
             batch.unpersist()
 
