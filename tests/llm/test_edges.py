@@ -195,3 +195,12 @@ def test_stage(spark, docs, empty, labels, bench, tmp_path, name):
             assert [f.dataType for f in out.schema] == [f.dataType for f in table.schema]
         rows = out.collect()
         assert len(rows) <= table.count()
+
+
+def test_tokens_replace_columns_of_their_names(spark):
+    rows = [(1, "the cat", "x", 5, "y"), (2, None, None, None, None), (None, "the cat", "z", 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, N_Tokens int, decoded string")
+    found = corpus_pipeline.tokens(spark, docs, "")
+    assert found.columns == ["doc_id", "text", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert got[1].n_tokens == got[None].n_tokens == len(got[1].ids) > 0 and got[2].n_tokens == 0

@@ -64,3 +64,6 @@ def test_single_documents(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in plan and "first_id" in plan and "last_id" in plan
     assert not read_documents(spark, path, []).collect()
+    many = read_documents(spark, path, [None, *range(5000), 7, None, -(1 << 62)])
+    want = {r.doc_id: r.n_tokens for r in read_token_files(spark, path).where("doc_id between 0 and 4999").collect()}
+    assert {r.doc_id: r.n_tokens for r in many.collect()} == want

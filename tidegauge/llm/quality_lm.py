@@ -3,8 +3,9 @@
 An interpolated modified Kneser-Ney bigram model (Chen and Goodman, 1998) over the pieces of a public
 BPE vocabulary is trained on all trusted text: labelled documents of quality 1 that are not toxic.
 
-Counts are sharded by a hash of the bigram.  The FREQUENT most frequent bigrams are broadcast, and
-what they add to a document is summed up where the document is read.  Of all others, tasks send to each
+Counts are sharded by a hash of the bigram.  Only bigrams that would weigh on their shard, those with
+more than one in HEAVY of a shard's share of all occurrences, are broadcast: at most HEAVY for each shard,
+at any size.  What they add to a document is summed up where the document is read.  Of all others, tasks send to each
 shard one packed array for a block of documents, each bigram once per document; the shard holds its part
 of the model, adds up the log probabilities by document and returns one number per document.  Shards are
 copied in proportion to the partitions of the documents and each block asks one copy, so that a bigram
@@ -33,9 +34,9 @@ from .tables import table, tokenizer_path
 #: Ids fit 16 bits; the highest stands for the start of a document.
 IDS = 1 << 16
 START = IDS - 1
-#: Bigrams that are broadcast at most, 8 bytes each, and shards at most; 256 shards of the 65,536 ** 2
-#: bigrams that could be would still fit a task.
-FREQUENT, SHARDS = 500_000, 256
+#: Parts of a shard's share of all occurrences, from one of which a bigram is broadcast (8 bytes each),
+#: and shards at most; 256 shards of the 65,536 ** 2 bigrams that could be would still fit a task.
+HEAVY, SHARDS = 1_000, 256
 #: Pieces that a block of documents holds about; bounds a task's arrays.
 BLOCK_PIECES = 500_000
 #: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
@@ -191,29 +192,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([c, f, [0]])), *(pa.array(x.astype(np.int64)) for x in cols)], names=names)
 
 
-def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many bigrams have a count of so many bits."""
-    for batch in batches:
-        for data in batch.column(1).to_pylist():
-            n = np.bincount(np.log2(np.maximum(_unpack(data)[1], 1)).astype(np.int64), minlength=32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int64()), pa.array(n, pa.int64())], names=["bits", "n"])
-
-
-def _frequent(model: DataFrame) -> list[bytes]:
-    """Packed keys and counts of the bigrams of a count from 2 ** k, for the least k that leaves no more
-    than FREQUENT of them."""
-    least, n = 32, 0
-    for r in sorted(model.mapInArrow(_count_bits, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect(), reverse=True):
-        n += r.n
-        if n > FREQUENT:
-            break
-        least = r.bits
+def _heavy(model: DataFrame, least: int) -> list[bytes]:
+    """Packed keys and counts of the bigrams that occur ``least`` times or more."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(1).to_pylist():
                 steps, counts = _unpack(data)
-                at = np.flatnonzero(counts >= 1 << least)
+                at = np.flatnonzero(counts >= least)
                 yield pa.RecordBatch.from_arrays([pa.array([_pack(_steps(_keys(steps)[at]), counts[at])], pa.binary())], names=["data"])
 
     return [bytes(r.data) for r in model.mapInArrow(pick, "data binary").collect()]
@@ -268,7 +254,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, vocab_path: str, id_col: st
     model = trusted.mapInArrow(bigram_counts, "shard int, data binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_merged, "shard int, data binary")
     model = stored(model, "bigrams")
     stats = model.mapInArrow(_statistics, "kind string, id long, a long, b long, c long, d long").groupBy("kind", "id").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()  # two rows a piece of the vocabulary
-    shared = spark.sparkContext.broadcast(_Model(stats, n_pieces).frequent(_frequent(model)))
+    occurrences = sum(r.a for r in stats if r.kind == "context")
+    least = occurrences // (shards * HEAVY) + 1 if HEAVY else 1 << 32
+    shared = spark.sparkContext.broadcast(_Model(stats, n_pieces).frequent(_heavy(model, least)))
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, keys, docs_, heads, n_docs, n_held = None, [], [], [], 0, 0

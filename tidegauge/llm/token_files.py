@@ -27,6 +27,8 @@ from .tables import table, tokenizer_path
 DICT_SAMPLE_DOCS, DICT_SAMPLE_BYTES, DICT_BYTES = 1_000, 16_384, 65_536
 #: Frames gathered into one block, and ranges of ids (a file each) at most.
 BLOCK_BYTES, RANGES = 1 << 20, 100_000
+#: Spans of ids by which files are left out when some documents are read.
+SPANS = 16
 LEVEL = 3
 
 
@@ -171,15 +173,27 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
 def read_documents(spark: SparkSession, path: str, ids: list[int], id_col: str = "doc_id") -> DataFrame:
     """Those of some ids only, as by ``read_token_files``; ids that no document has give no row.
 
-    Blocks without one of them are pruned by their range of ids; of the others only the frames asked
-    for are decompressed.
+    A first pass over the blocks' ranges of ids finds those that may hold one; only these are read
+    then (of files, only those within one of SPANS spans of the ids), and of them only the frames asked
+    for are decompressed.  Null ids are ignored; the ids are
+    the caller's list, and repeated ones count once.
     """
     files = spark.read.parquet(f"{path}/blocks")
-    wanted = sorted(set(ids))
-    near = F.lit(False)
-    for d in wanted:
-        near = near | ((F.col("first_id") <= d) & (F.col("last_id") >= d))
-    return _read(spark, path, files.where(near), _starts(files), id_col, set(wanted))
+    wanted = np.array(sorted({d for d in ids if d is not None}), dtype=np.int64)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.filter(batch.column(0).is_valid())
+            first, last = (np.asarray(known.column(c)).astype(np.int64) for c in (0, 1))
+            held = np.searchsorted(wanted, first, side="left") < np.searchsorted(wanted, last, side="right")
+            yield known.select(["part", "block"]).filter(pa.array(held))
+
+    met = files.select("first_id", "last_id", "part", "block").mapInArrow(near, "part int, block int").collect()  # as many as ids, but for repeated ids
+    gaps = np.sort(np.argsort(-np.diff(wanted.astype(np.float64)), kind="stable")[: SPANS - 1]) + 1
+    spans = [(int(x[0]), int(x[-1])) for x in np.split(wanted, gaps) if len(x)]
+    keys = ", ".join(f"{(r.part << 32) + r.block}L" for r in met)
+    found = files.where(" OR ".join(f"(first_id <= {b}L AND last_id >= {a}L)" for a, b in spans)).where(f"(CAST(part AS LONG) << 32) + block IN ({keys})") if met else files.where("false")
+    return _read(spark, path, found, _starts(files), id_col, set(wanted.tolist()))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
