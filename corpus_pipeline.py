@@ -20,33 +20,55 @@ from tidegauge.llm.tables import table, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the perplexity classifier rejects go."""
+    """Documents that the perplexity classifier rejects go.
+
+    Those without text go too; rows are judged one by one, whatever their ids.  Without trusted
+    documents all that have text stay; an empty table gives an empty result.
+    """
     lean_workers(spark)
     return drop_low_quality(docs, table(spark, sf_dir, "labels"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the least id."""
+    """One document of each group of near-duplicates stays, that of the least id.
+
+    Rows without words or without an id stay; repeated rows share their document's fate; an empty
+    table gives an empty result.
+    """
     lean_workers(spark)
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines and passages that stand in an earlier place go from the texts; every document stays."""
+    """Lines and passages that stand in an earlier place go from the texts; every document stays.
+
+    A null text stays null, and ``n_chars`` is that of what is left; an empty table gives an empty
+    result.
+    """
     lean_workers(spark)
     return dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Rows without an id are looked at by their text; null and empty texts hold nothing and stay; without
+    benchmark items all rows stay; an empty table gives an empty result.
+    """
     lean_workers(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and digests of the ids and of what they decode to."""
+    """The documents with their token ids, and digests of the ids and of what they decode to.
+
+    Columns of these names that the documents have already are replaced.  A null text is the empty
+    text, without ids; repeated rows and null ids stay rows of their own; an empty table gives an
+    empty result with all columns.
+    """
     lean_workers(spark)
     path = tokenizer_path("word_bpe_49k.json")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "decoded")))
     done = decode(encode(docs, path), path)
     return done.select(
         *docs.columns,
