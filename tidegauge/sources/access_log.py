@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.times import iso_text
 from ..functions.web import infer_latency_ms, normalize_endpoint, route_template
@@ -77,21 +78,45 @@ def line_counts(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.agg(F.count("*").alias("scanned")).withColumn("parsed", parsed.scalar()).withColumn("skipped", F.col("scanned") - F.col("parsed"))
 
 
-def sessionize(records: DataFrame, arrival: str | Column = "seq", gap_seconds: int = 900) -> DataFrame:
+#: Places of arrival that are worked on together, of one client.
+SPAN_ROWS = 1 << 20
+
+
+def sessionize(records: DataFrame, arrival: str = "seq", gap_seconds: int = 900, span_rows: int = SPAN_ROWS) -> DataFrame:
     """Records with ``session_id`` and ``session_number``, by (ip, user agent) in order of arrival.
 
     A session begins with a client's first record, after a gap of more than ``gap_seconds``, and
-    where time goes backwards.  One shuffle by client; a client's records are sorted, and spilled,
-    not held.
+    where time goes backwards.  ``arrival`` is a whole number or, as ``read_lines`` gives it, a file and
+    a number; no two records share one.
+
+    A client's records are cut into spans of ``span_rows`` places of arrival, so that a client with any
+    share of the records is no single task: within a span sessions are counted apart; of each span only
+    its edges, the first and last time and the number of sessions that begin inside, meet those of the
+    client's other spans, and give the number that each span counts on from.
     """
-    order = F.col(arrival) if isinstance(arrival, str) else arrival
-    by = W.partitionBy("ip", "user_agent").orderBy(order)
-    before = F.lag("event_time").over(by)
-    gap = F.unix_micros("event_time") - F.unix_micros("before_")
-    fresh = (F.col("before_").isNull() | (gap < 0) | (gap > gap_seconds * 1_000_000)).cast("long")
-    numbered = records.withColumn("before_", before).withColumn("fresh_", fresh).withColumn("session_number", F.sum("fresh_").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    client = F.substring(F.sha1(F.encode(F.concat_ws("|", "ip", "user_agent"), "UTF-8")), 1, 8)
-    return numbered.withColumn("session_id", F.format_string("sess-%s-%04d", client, F.col("session_number"))).drop("before_", "fresh_")
+    is_place = isinstance(records.schema[arrival].dataType, T.StructType)
+    span = F.struct(F.col(arrival)["file"].alias("file"), F.floor(F.col(arrival)["n"] / span_rows).alias("n")) if is_place else F.floor(F.col(arrival) / span_rows)
+    client = ["ip", "user_agent"]
+    limit = gap_seconds * 1_000_000
+
+    def fresh(now: str, before: str) -> Column:
+        gap = F.unix_micros(now) - F.unix_micros(before)
+        return F.coalesce(((gap < 0) | (gap > limit)).cast("long"), F.lit(1).cast("long"))
+
+    by = W.partitionBy(*client, "span_").orderBy(arrival)
+    placed = records.withColumn("span_", span).withColumn("before_", F.lag("event_time").over(by))
+    inside = F.when(F.row_number().over(by) > 1, fresh("event_time", "before_")).otherwise(0)
+    counted = placed.withColumn("fresh_", inside).withColumn("within_", F.sum("fresh_").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    edges = counted.groupBy(*client, "span_").agg(F.min_by("event_time", arrival).alias("first_"), F.max_by("event_time", arrival).alias("last_"), F.sum("fresh_").alias("inside_"))
+    spans = W.partitionBy(*client).orderBy("span_")
+    edges = edges.withColumn("prior_", F.lag("last_").over(spans)).withColumn("begins_", F.when(F.row_number().over(spans) == 1, 1).otherwise(fresh("first_", "prior_")))
+    earlier = F.coalesce(F.sum(F.col("begins_") + F.col("inside_")).over(spans.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(*(F.col(c).alias(f"{c}_") for c in client), F.col("span_").alias("of_"), (earlier + F.col("begins_")).alias("base_"))
+    same = F.col("ip").eqNullSafe(F.col("ip_")) & F.col("user_agent").eqNullSafe(F.col("user_agent_")) & (F.col("span_") == F.col("of_"))
+    numbered = counted.join(edges, same).withColumn("session_number", F.col("base_") + F.col("within_"))
+    name = F.substring(F.sha1(F.encode(F.concat_ws("|", "ip", "user_agent"), "UTF-8")), 1, 8)
+    sessions = numbered.withColumn("session_id", F.format_string("sess-%s-%04d", name, F.col("session_number")))
+    return sessions.drop("span_", "before_", "fresh_", "within_", "ip_", "user_agent_", "of_", "base_")
 
 
 def rebase(records: DataFrame, anchor: str, arrival: str = "seq", time_scale: float = 30.0) -> DataFrame:
