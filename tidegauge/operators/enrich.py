@@ -50,15 +50,22 @@ def _sides(bots: DataFrame, anomalies: DataFrame, forecasts: DataFrame) -> tuple
     return bot, anomaly, own, system
 
 
+def placed(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Events with their grid points, on which their windows and buckets end: those that are there
+    already (of a stored table, see ``store``) stay."""
+    t = F.col("event_time")
+    points = {"bot_end": aligned(t, s.bot_slide), "anomaly_end": aligned(t, s.anomaly_slide), "load_end": aligned(t, s.bucket)}
+    return events.withColumns({c: x for c, x in points.items() if c not in events.columns})
+
+
 def enrich(events: DataFrame, bots: DataFrame, anomalies: DataFrame, forecasts: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Each event with the scores of the windows and the bucket that end at its own grid point.
 
     Equi-joins on the key and that end; sides are as large as the data, so Spark picks the join.
+    Events and bot windows stored in buckets of client and end (see ``store``) are not shuffled.
     """
     bot, anomaly, own, system = _sides(bots, anomalies, forecasts)
-    t = F.col("event_time")
-    placed = events.withColumns({"bot_end": aligned(t, s.bot_slide), "anomaly_end": aligned(t, s.anomaly_slide), "load_end": aligned(t, s.bucket)})
-    joined = placed.join(bot, [*KEYS, "bot_end"], "left").join(anomaly, ["endpoint", "anomaly_end"], "left").join(own, ["endpoint", "load_end"], "left").join(system, "load_end", "left")
+    joined = placed(events, s).join(bot, [*KEYS, "bot_end"], "left").join(anomaly, ["endpoint", "anomaly_end"], "left").join(own, ["endpoint", "load_end"], "left").join(system, "load_end", "left")
     return _processed(joined, s)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import within
+
 
 def _hour(c: str) -> Column:
     return F.date_trunc("HOUR", c).alias("hour")
@@ -155,29 +157,23 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 # -- dashboard views, over (from, to] of the given time column -----------------------------------
-def _within(df: DataFrame, c: str, time_range: tuple[str, str] | None) -> DataFrame:
-    if time_range is None:
-        return df
-    return df.where((F.col(c) >= F.lit(time_range[0]).cast("timestamp")) & (F.col(c) <= F.lit(time_range[1]).cast("timestamp")))
-
-
 def requests_per_minute(logs: DataFrame, time_range: tuple[str, str] | None = None) -> DataFrame:
-    return _within(logs, "timestamp", time_range).groupBy(F.date_trunc("MINUTE", "timestamp").alias("time")).agg(F.count("*").alias("requests")).orderBy("time")
+    return within(logs, "timestamp", time_range).groupBy(F.date_trunc("MINUTE", "timestamp").alias("time")).agg(F.count("*").alias("requests")).orderBy("time")
 
 
 def latest_system_forecast(forecasts: DataFrame, time_range: tuple[str, str] | None = None) -> DataFrame:
-    return _within(forecasts.where("scope = 'system'"), "predicted_bucket_end", time_range).orderBy(F.desc("predicted_bucket_end")).limit(1).select("predicted_request_count")
+    return within(forecasts.where("scope = 'system'"), "predicted_bucket_end", time_range).orderBy(F.desc("predicted_bucket_end")).limit(1).select("predicted_request_count")
 
 
 def top_bots(bots: DataFrame, time_range: tuple[str, str] | None = None, k: int = 10) -> DataFrame:
     """The k clients of the highest score; of equal ones, the name that sorts first."""
-    flagged = _within(bots.where("is_bot = 1"), "window_end", time_range)
+    flagged = within(bots.where("is_bot = 1"), "window_end", time_range)
     found = flagged.groupBy(F.concat_ws(" / ", "ip", "user_agent").alias("entity")).agg(F.max("bot_score").alias("bot_score"), F.max("number_of_requests").alias("number_of_requests"), F.max("max_barrage").alias("max_barrage"))
     return found.orderBy(F.desc("bot_score"), F.desc("number_of_requests"), "entity").limit(k)
 
 
 def top_anomalies(anomalies: DataFrame, time_range: tuple[str, str] | None = None, k: int = 10) -> DataFrame:
     """The k endpoints of the highest score, with the figures of their latest flagged window."""
-    flagged = _within(anomalies.where("is_anomaly = 1"), "window_end", time_range)
+    flagged = within(anomalies.where("is_anomaly = 1"), "window_end", time_range)
     latest = [F.max_by(c, "window_end").alias(c) for c in ("avg_latency_ms", "p99_latency_ms", "status_5xx_ratio")]
     return flagged.groupBy("endpoint").agg(F.max("anomaly_score").alias("anomaly_score"), *latest).orderBy(F.desc("anomaly_score"), "endpoint").limit(k)

@@ -437,6 +437,14 @@ ORACLES["q50_latency_sketches"] = _sql(
     f"SELECT endpoint, {_time('we')} AS window_end, count(*) AS request_count, true AS p95_within, true AS p99_within FROM (SELECT *, unnest(range(a, a + {30 * W}, {W})) AS we FROM (SELECT *, {_up('us', W)} AS a FROM whole)) GROUP BY endpoint, we",
     "whole",
 )
+_IN = lambda time: f"{time} >= TIMESTAMP '2024-01-09 04:05:06' AND {time} <= TIMESTAMP '2024-01-16 07:08:09'"
+ORACLES["q52_dashboard_range"] = _sql(
+    f"""SELECT 'requests' AS panel, strftime(date_trunc('minute', timestamp), '%Y-%m-%d %H:%M:%S') AS entity, count(*)::DOUBLE AS value FROM logs WHERE {_IN('timestamp')} GROUP BY 1, 2
+      UNION ALL (SELECT 'bots', ip || ' / ' || user_agent AS e, max(bot_score) AS b FROM bots WHERE is_bot = 1 AND {_IN('window_end')} GROUP BY ip, user_agent ORDER BY b DESC, max(number_of_requests) DESC, e LIMIT 10)
+      UNION ALL (SELECT 'anomalies', endpoint, max(anomaly_score) AS x FROM anomalies WHERE is_anomaly = 1 AND {_IN('window_end')} GROUP BY endpoint ORDER BY x DESC, endpoint LIMIT 10)
+      UNION ALL (SELECT 'forecast', 'system', predicted_request_count::DOUBLE FROM forecasts WHERE scope = 'system' AND {_IN('predicted_bucket_end')} ORDER BY predicted_bucket_end DESC LIMIT 1)""",
+    "logs", "bots", "anomalies", "forecasts",
+)
 _FAULT = "event_id % 16"
 ORACLES["q51_ingest"] = _sql(
     f"""SELECT CASE WHEN {_FAULT} NOT IN (7, 8) THEN request_id END AS request_id, CASE WHEN {_FAULT} IN (0, 1, 7, 8, 9) THEN 200 WHEN {_FAULT} = 4 THEN 404 ELSE status END::INT AS status,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -22,12 +23,14 @@ from ..sources.access_log import parse_lines, rebase, sessionize
 from ..sources.events import as_raw_logs, raw_logs
 from ..sources.logs import read_json_logs
 from ..sinks import read_table, write_batch
+from ..store import save_bucketed
 from ..streaming.stream import run_stream, stream_partials, streamed_features
 from .faults import contract_text, json_text
 
 #: The events table has one event in minutes, so windows of hours and days are the useful ones.
 WIDE = Settings(bot_window=86400, bot_slide=14400, anomaly_window=3600, anomaly_slide=600, anomaly_lookback=18000, bucket=3600)
 PLAIN = Settings()
+RANGE = ("2024-01-09 04:05:06", "2024-01-16 07:08:09")
 SESSION_GAP, KEEP, ANCHOR = 21_600, 864_000, "2026-04-06T10:00:00Z"
 
 
@@ -146,46 +149,65 @@ def q13_anomaly_table(spark, sf_dir):
     return _out(enrich.anomaly_rows(_anomalies(spark, sf_dir)))
 
 
+#: Stored tables: what makes them, the keys of their buckets, their time column.
+_STORED = {
+    "events": (lambda spark, d: enrich.placed(_whole(spark, d), WIDE), [*bot.KEYS, "bot_end"], "event_time"),
+    "bot_feature_windows": (_bots, [*bot.KEYS, "window_end"], "window_end"),
+    "anomaly_alerts": (_anomalies, ["endpoint", "window_end"], "window_end"),
+    "load_forecasts": (_forecasts, ["endpoint", "bucket_end"], "bucket_end"),
+    "processed_logs": (lambda spark, d: enrich.enrich(*(_stored(spark, d, n) for n in ("events", "bot_feature_windows", "anomaly_alerts", "load_forecasts")), WIDE), ["request_id"], "timestamp"),
+}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the events below a folder, stored when a query of the session first asks for it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    made, keys, time = _STORED[name]
+    table = f"tidegauge_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}_{name}"
+    if spark.catalog.tableExists(table):
+        return spark.table(table)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return save_bucketed(made(spark, sf_dir), table, f"{_shared(spark)}/{table}-{uuid.uuid4().hex}", keys, time, buckets)
+
+
 def q14_table_counts(spark, sf_dir):
-    return rollups.table_counts(
-        {"processed_logs": _processed(spark, sf_dir), "bot_feature_windows": _bots(spark, sf_dir), "load_forecasts": _forecasts(spark, sf_dir), "anomaly_alerts": _anomalies(spark, sf_dir)}
-    )
+    return rollups.table_counts({name: _stored(spark, sf_dir, name) for name in ("processed_logs", "bot_feature_windows", "load_forecasts", "anomaly_alerts")})
 
 
 def q15_bot_stats_hourly(spark, sf_dir):
-    return _out(rollups.bot_stats_hourly(_bots(spark, sf_dir)), rounded=True)
+    return _out(rollups.bot_stats_hourly(_stored(spark, sf_dir, "bot_feature_windows")), rounded=True)
 
 
 def q16_endpoint_perf_hourly(spark, sf_dir):
-    return _out(rollups.endpoint_perf_hourly(_anomalies(spark, sf_dir)), rounded=True)
+    return _out(rollups.endpoint_perf_hourly(_stored(spark, sf_dir, "anomaly_alerts")), rounded=True)
 
 
 def q17_forecast_accuracy_hourly(spark, sf_dir):
-    return _out(rollups.forecast_accuracy_hourly(_forecasts(spark, sf_dir)), rounded=True)
+    return _out(rollups.forecast_accuracy_hourly(_stored(spark, sf_dir, "load_forecasts")), rounded=True)
 
 
 def q18_processed_logs_summary_hourly(spark, sf_dir):
-    return _out(rollups.processed_logs_summary_hourly(_processed(spark, sf_dir)), rounded=True)
+    return _out(rollups.processed_logs_summary_hourly(_stored(spark, sf_dir, "processed_logs")), rounded=True)
 
 
 def q19_system_traffic_minutely(spark, sf_dir):
-    return _out(rollups.system_traffic_minutely(_processed(spark, sf_dir)), rounded=True)
+    return _out(rollups.system_traffic_minutely(_stored(spark, sf_dir, "processed_logs")), rounded=True)
 
 
 def q20_requests_per_minute(spark, sf_dir):
-    return _out(rollups.requests_per_minute(_processed(spark, sf_dir)))
+    return _out(rollups.requests_per_minute(_stored(spark, sf_dir, "processed_logs")))
 
 
 def q21_latest_system_forecast(spark, sf_dir):
-    return rollups.latest_system_forecast(_forecasts(spark, sf_dir))
+    return rollups.latest_system_forecast(_stored(spark, sf_dir, "load_forecasts"))
 
 
 def q22_top_bots(spark, sf_dir):
-    return rollups.top_bots(_bots(spark, sf_dir))
+    return rollups.top_bots(_stored(spark, sf_dir, "bot_feature_windows"))
 
 
 def q23_top_anomalies(spark, sf_dir):
-    return rollups.top_anomalies(_anomalies(spark, sf_dir))
+    return rollups.top_anomalies(_stored(spark, sf_dir, "anomaly_alerts"))
 
 
 def q24_sessionize(spark, sf_dir):
@@ -332,13 +354,13 @@ def q44_stream_tables(spark, sf_dir):
     return _out(found, rounded=True)
 
 
-def _kept_rollup(name: str, source: str, table: Callable[[SparkSession, str], DataFrame], at: str) -> Callable[[SparkSession, str], DataFrame]:
+def _kept_rollup(name: str, source: str, at: str) -> Callable[[SparkSession, str], DataFrame]:
     """A roll-up whose states three batches have left in a stored table; each batch has rows of every
     hour, so that those of the later ones are late."""
 
     def query(spark, sf_dir):
         root = f"{_shared(spark)}/rollups-{uuid.uuid4().hex}"
-        rows = table(spark, sf_dir)
+        rows = _stored(spark, sf_dir, source)
         for batch in range(3):
             mine = rows.where(F.pmod(F.unix_seconds(at) + F.crc32(F.col("endpoint" if "endpoint" in rows.columns else "ip").cast("binary")), F.lit(3)) == batch)
             write_batch({k: v for k, v in rollups.roll_up_states({source: mine}).items() if k == name}, root, batch)
@@ -347,11 +369,11 @@ def _kept_rollup(name: str, source: str, table: Callable[[SparkSession, str], Da
     return query
 
 
-q45_kept_bot_stats = _kept_rollup("bot_stats_hourly", "bot_feature_windows", _bots, "window_end")
-q46_kept_endpoint_perf = _kept_rollup("endpoint_perf_hourly", "anomaly_alerts", _anomalies, "window_end")
-q47_kept_forecast_accuracy = _kept_rollup("forecast_accuracy_hourly", "load_forecasts", _forecasts, "predicted_bucket_end")
-q48_kept_logs_summary = _kept_rollup("processed_logs_summary_hourly", "processed_logs", _processed, "timestamp")
-q49_kept_system_traffic = _kept_rollup("system_traffic_minutely", "processed_logs", _processed, "timestamp")
+q45_kept_bot_stats = _kept_rollup("bot_stats_hourly", "bot_feature_windows", "window_end")
+q46_kept_endpoint_perf = _kept_rollup("endpoint_perf_hourly", "anomaly_alerts", "window_end")
+q47_kept_forecast_accuracy = _kept_rollup("forecast_accuracy_hourly", "load_forecasts", "predicted_bucket_end")
+q48_kept_logs_summary = _kept_rollup("processed_logs_summary_hourly", "processed_logs", "timestamp")
+q49_kept_system_traffic = _kept_rollup("system_traffic_minutely", "processed_logs", "timestamp")
 
 
 def q50_latency_sketches(spark, sf_dir):
@@ -399,4 +421,14 @@ def q51_ingest(spark, sf_dir):
     return _out(good.select(*columns, F.lit("").alias("errors")).union(bad.select(*columns, F.array_join("errors", "; "))))
 
 
+def q52_dashboard_range(spark, sf_dir):
+    """The dashboard over a week of the stored tables: requests by minute, bots, anomalies, last forecast."""
+    logs, bots, anomalies, forecasts = (_stored(spark, sf_dir, n) for n in ("processed_logs", "bot_feature_windows", "anomaly_alerts", "load_forecasts"))
+    minutes = rollups.requests_per_minute(logs, RANGE).select(F.lit("requests").alias("panel"), F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("entity"), F.col("requests").cast("double").alias("value"))
+    worst = rollups.top_bots(bots, RANGE).select(F.lit("bots"), "entity", "bot_score")
+    slow = rollups.top_anomalies(anomalies, RANGE).select(F.lit("anomalies"), "endpoint", "anomaly_score")
+    load = rollups.latest_system_forecast(forecasts, RANGE).select(F.lit("forecast"), F.lit("system"), F.col("predicted_request_count").cast("double"))
+    return minutes.union(worst).union(slow).union(load)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}
