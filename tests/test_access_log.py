@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tidegauge.sources.access_log import discover_log_files, line_counts, read_lines, replay_access_logs, sessionize
+from tidegauge.sources.access_log import discover_log_files, line_counts, parse_counted, read_lines, replay_access_logs, sessionize
 
 LINE = '10.0.0.{} - - [22/Jan/2019:03:56:{:02d} +0330] "{} HTTP/1.1" {} 512 "-" "agent/{}"\n'
 
@@ -49,6 +49,9 @@ def test_files_to_replay(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         discover_log_files(spark, str(tmp_path / "none"))
     lines = read_lines(spark, found)
+    records, counts = parse_counted(lines)
+    assert len(records.collect()) == 6 and counts.get() == {"scanned": 7, "parsed": 6, "skipped": 1}
+    assert records._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert line_counts(lines).first().asDict() == {"scanned": 7, "parsed": 6, "skipped": 1}
     rows = replay_access_logs(spark, str(tmp_path), "2026-04-06T10:00:00Z", time_scale=1.0).collect()
     assert len(rows) == 6 and {r.session_number for r in rows} == {1}

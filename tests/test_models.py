@@ -1,8 +1,11 @@
 """Model scoring, its fallbacks and its files; contract messages; JSON lines and summaries."""
 
 import json
+import random
 import tempfile
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import models, quality
@@ -99,3 +102,26 @@ def test_lines_and_summary(spark):
     assert sorted(json.loads(r.value)["name"] for r in spark.read.text(path).collect()) == ["a", "ü"]
     assert sorted(spark.read.text(path).collect())[0].value == '{"name":"a","n":null}'
     assert batch_summary({"processed_logs": rows, "load_forecasts": rows.limit(1)}, "kafka", "file") == {"source": "kafka", "sink": "file", "count": 2, "bot_windows": 0, "forecasts": 1, "anomalies": 0}
+
+
+def test_fitted_forests_as_expressions_and_as_sql(spark):
+    """What ``compiled`` makes of fitted forests scores as they do, in Spark and in another engine."""
+    rng = random.Random(11)
+    rows = [(*(round(rng.random() * 9, 3) for _ in range(3)), *(0.0,) * 4, rng.randrange(2)) for _ in range(400)]
+    rows = [(*r[:-1], int(r[0] + r[1] > 9 or r[2] > 8)) for r in rows]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in models.ANOMALY_FEATURES) + ", label int")
+    fitted = models.fit_forest(table, "anomaly", "label", models.ANOMALY_FEATURES, trees=5, depth=4)
+    made = models.compiled(fitted)
+    features = models.features_of("anomaly")
+    wanted = [r.p for r in models.predict(table, fitted, features, "p").collect()]
+    got = [r.p for r in models.predict(table, made, features, "p").collect()]
+    assert got == pytest.approx(wanted, abs=1e-12) and len(set(got)) > 3
+    table.toPandas().to_parquet(path := tempfile.mkdtemp(prefix="spark-") + "/rows.parquet")
+    other = duckdb.sql(f"SELECT {made.model.sql(models.ANOMALY_FEATURES)} FROM '{path}'").fetchall()
+    assert [x for (x,) in other] == got
+    numbers = models.fit_forest(table.withColumn("history_rps", F.array(*(F.lit(1) for _ in range(10)))).withColumnsRenamed({"avg_latency_ms": "rolling_mean_5", "p95_latency_ms": "rolling_std_5"}).selectExpr("*", "1 AS hour_of_day", "2 AS day_of_week"), "forecast", "request_count", ["rolling_mean_5", "rolling_std_5"], trees=3, depth=3)
+    frame = spark.createDataFrame([(1.0, 2.0, [1] * 10), (5.0, 8.0, [1] * 10), (None, 1.0, [1] * 10)], "rolling_mean_5 double, rolling_std_5 double, history_rps array<int>").selectExpr("*", "1 AS hour_of_day", "2 AS day_of_week")
+    pair = [[r.p for r in models.predict(frame, m, models.features_of("forecast"), "p").collect()] for m in (numbers, models.compiled(numbers))]
+    assert pair[0][:2] == pytest.approx(pair[1][:2]) and pair[0][2] is pair[1][2] is None
+    with pytest.raises(ValueError):
+        models.compiled(fitted, most_nodes=3)

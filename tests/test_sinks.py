@@ -3,7 +3,7 @@
 import pytest
 
 from tidegauge import sinks
-from tidegauge.sinks import commit, commits, compact, prune, put_table, read_table, seed_if_empty, write_batch
+from tidegauge.sinks import batch_summary, commit, commits, compact, prune, put_table, read_table, seed_if_empty, write_batch
 
 
 def alerts(spark, *rows):
@@ -27,6 +27,7 @@ def test_seed_batches_and_a_crash_between_two_tables(spark, tmp_path):
     first = {"anomaly_alerts": alerts(spark, ("/a", "2026-03-31 23:00:00"), ("/b", "2026-04-01 00:00:00")), "processed_logs": logs(spark, ("/a", "1", "2026-03-31 23:00:00"))}
     assert write_batch(first, root, 0) and not write_batch(first, root, 0)
     assert names(read_table(spark, root, "anomaly_alerts")) == ["/a", "/b", "/seed"]
+    assert batch_summary(commits(spark, root)["0"]["rows"], "kafka", "file") == {"source": "kafka", "sink": "file", "count": 1, "bot_windows": 0, "forecasts": 0, "anomalies": 2}
     # a crash after the first table of batch 1: neither table shows it
     put_table(alerts(spark, ("/c", "2026-05-01 00:00:00"), ("/d", "2026-04-02 00:00:00")), root, "anomaly_alerts", "1")
     assert names(read_table(spark, root, "anomaly_alerts")) == ["/a", "/b", "/seed"]

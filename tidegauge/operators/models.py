@@ -47,10 +47,46 @@ class Linear:
         return 1.0 / (1.0 + F.exp(-total)) if self.logistic else total
 
 
+#: A leaf's value, or (feature, threshold, tree where the feature is at most that, tree where it is more).
+Tree = float | tuple[int, float, "Tree", "Tree"]
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees as column expressions, or as SQL: the mean of their leaves.
+
+    Scores stay in the JVM beside the features, without vectors or a model to ship; ``compiled`` makes one of
+    a fitted forest.
+    """
+
+    trees: tuple[Tree, ...]
+    width: int
+
+    def column(self, values: list[Column]) -> Column:
+        def of(tree: Tree) -> Column:
+            if not isinstance(tree, tuple):
+                return F.lit(float(tree))
+            feature, threshold, low, high = tree
+            return F.when(values[feature] <= threshold, of(low)).otherwise(of(high))
+
+        return reduce(lambda a, b: a + b, map(of, self.trees)) / float(len(self.trees))
+
+    def sql(self, names: list[str]) -> str:
+        """The same as text that Spark SQL and other engines read; ``names`` are expressions of the features."""
+
+        def of(tree: Tree) -> str:
+            if not isinstance(tree, tuple):
+                return f"CAST({float(tree)!r} AS DOUBLE)"
+            feature, threshold, low, high = tree
+            return f"CASE WHEN CAST({names[feature]} AS DOUBLE) <= CAST({threshold!r} AS DOUBLE) THEN {of(low)} ELSE {of(high)} END"
+
+        return f"({' + '.join(map(of, self.trees))}) / CAST({float(len(self.trees))!r} AS DOUBLE)"
+
+
 @dataclass(frozen=True)
 class Scorer:
-    """A model (``Linear``, or a fitted tree model of pyspark.ml), its features in order, and the
-    score from which it says yes."""
+    """A model (``Linear``, ``Forest``, or a fitted tree model of pyspark.ml), its features in order, and
+    the score from which it says yes."""
 
     model: Any
     columns: tuple[str, ...]
@@ -58,6 +94,8 @@ class Scorer:
 
     @property
     def width(self) -> int:
+        if isinstance(self.model, Forest):
+            return self.model.width
         return len(self.model.weights) if isinstance(self.model, Linear) else self.model.numFeatures
 
 
@@ -83,7 +121,7 @@ def predict(rows: DataFrame, scorer: Scorer | None, features: dict[str, Column],
     values = [features[c].cast("double") for c in scorer.columns]
     whole = reduce(lambda a, b: a & b, (v.isNotNull() & ~F.isnan(v) for v in values))
     model = scorer.model
-    if isinstance(model, Linear):
+    if isinstance(model, (Linear, Forest)):
         return rows.withColumn(into, F.when(whole, model.column(values)))
     asked = rows.select(F.struct(*rows.columns).alias("row"), whole.alias("whole"), _vector(values).alias(model.getFeaturesCol()))
     found = F.element_at(vector_to_array(F.col(model.getProbabilityCol())), 2) if hasattr(model, "numClasses") else F.col(model.getPredictionCol())
@@ -130,6 +168,26 @@ def fit_forest(rows: DataFrame, task: str, label: str, columns: list[str], thres
     return Scorer(forest.fit(held.select(_vector(values).alias("features"), F.col(label).cast("double").alias("label"))), tuple(columns), threshold)
 
 
+def compiled(scorer: Scorer, most_nodes: int = 5_000) -> Scorer:
+    """The scorer with its fitted forest as expressions that give the same scores. The nodes are read on
+    the driver; a forest of more than ``most_nodes`` is refused, as the plan would hold all of them."""
+    forest = scorer.model
+    if forest.totalNumNodes > most_nodes:
+        raise ValueError(f"a forest of {forest.totalNumNodes} nodes is better left to its own transform")
+    classes = hasattr(forest, "numClasses")
+
+    def of(node: Any) -> Tree:
+        if node.subtreeDepth() == 0:
+            if not classes:
+                return node.prediction()
+            counts = list(node.impurityStats().stats())
+            return counts[1] / sum(counts)
+        split = node.split()
+        return split.featureIndex(), split.threshold(), of(node.leftChild()), of(node.rightChild())
+
+    return replace(scorer, model=Forest(tuple(of(tree._call_java("rootNode")) for tree in forest.trees), forest.numFeatures))
+
+
 def save_scorer(spark: SparkSession, root: str, task: str, scorer: Scorer, **config: Any) -> None:
     """A fitted forest and its configuration, as ``load_scorers`` reads them; ``config`` adds entries."""
     scorer.model.write().overwrite().save(f"{root}/{task}_model")

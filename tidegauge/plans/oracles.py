@@ -437,6 +437,18 @@ ORACLES["q50_latency_sketches"] = _sql(
     f"SELECT endpoint, {_time('we')} AS window_end, count(*) AS request_count, true AS p95_within, true AS p99_within FROM (SELECT *, unnest(range(a, a + {30 * W}, {W})) AS we FROM (SELECT *, {_up('us', W)} AS a FROM whole)) GROUP BY endpoint, we",
     "whole",
 )
+_BOT_FOREST = f"""(CASE WHEN number_of_requests <= 3.5 THEN CASE WHEN repeated_requests <= {_d(0.75)} THEN {_d(0.125)} ELSE {_d(0.5)} END WHEN max_barrage <= 1 THEN {_d(0.625)} ELSE {_d(0.9375)} END
+  + CASE WHEN http_response_4xx > {_d(0.0625)} THEN {_d(0.875)} WHEN total_duration_s <= {_d(3600.5)} THEN {_d(0.25)} WHEN average_time_ms <= {_d(150.25)} THEN {_d(0.375)} ELSE {_d(0.75)} END
+  + CASE WHEN night <= 0 THEN {_d(0.3125)} WHEN get_method <= {_d(0.5)} THEN {_d(0.8125)} ELSE {_d(0.4375)} END) / {_d(3)}"""
+_FORECAST_FOREST = f"""(CASE WHEN h[10] <= 1.5 THEN CASE WHEN rolling_mean_5 <= {_d(0.55)} THEN {_d(0.75)} ELSE {_d(2.25)} END WHEN rolling_std_5 <= {_d(0.9)} THEN {_d(3.5)} ELSE {_d(6)} END
+  + CASE WHEN hour_of_day <= 11 THEN {_d(1)} WHEN h[9] <= 2 THEN {_d(2.5)} ELSE {_d(7.75)} END) / {_d(2)}"""
+ORACLES["q53_forest_scores"] = _sql(
+    f"""SELECT ip || ' ' || session_id || ' ' || user_agent AS entity, window_end AS at, CASE WHEN lacks THEN bot_score ELSE p END AS value, (CASE WHEN lacks THEN is_bot ELSE (p >= {_d(0.5)})::INT END)::VARCHAR AS said
+      FROM (SELECT *, number_of_requests % 3 = 0 AS lacks, {_score(_BOT_FOREST)} AS p FROM bots)
+      UNION ALL SELECT scope || ' ' || endpoint, bucket_end, (CASE WHEN m <= upper_bound THEN round_even(m, 0)::BIGINT ELSE heuristic END)::DOUBLE, CASE WHEN m > upper_bound THEN 'guarded-forecast-v2' ELSE 'model-forecast-v2' END
+      FROM (SELECT *, {_FORECAST_FOREST} AS m, {_BOUND} AS upper_bound FROM (SELECT *, predicted_request_count AS heuristic FROM forecasts))""",
+    "bots", "forecasts",
+)
 _IN = lambda time: f"{time} >= TIMESTAMP '2024-01-09 04:05:06' AND {time} <= TIMESTAMP '2024-01-16 07:08:09'"
 ORACLES["q52_dashboard_range"] = _sql(
     f"""SELECT 'requests' AS panel, strftime(date_trunc('minute', timestamp), '%Y-%m-%d %H:%M:%S') AS entity, count(*)::DOUBLE AS value FROM logs WHERE {_IN('timestamp')} GROUP BY 1, 2

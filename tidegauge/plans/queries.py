@@ -307,6 +307,21 @@ def q37_bot_model(spark, sf_dir):
     return _out(models.score_bot_by(features, BOT_MODEL, MODEL).select(*bot.KEYS, "window_end", "bot_score", "is_bot", "model_version"))
 
 
+#: Small forests, as ``models.compiled`` makes them of fitted ones.
+BOT_FOREST = models.Scorer(models.Forest(((0, 3.5, (3, 0.75, 0.125, 0.5), (13, 1.0, 0.625, 0.9375)), (6, 0.0625, (1, 3600.5, 0.25, (2, 150.25, 0.375, 0.75)), 0.875), (12, 0.0, 0.3125, (8, 0.5, 0.8125, 0.4375))), 14), tuple(models.BOT_FEATURES), 0.5)
+FORECAST_FOREST = models.Scorer(models.Forest(((9, 1.5, (10, 0.55, 0.75, 2.25), (11, 0.9, 3.5, 6.0)), (12, 11.0, 1.0, (8, 2.0, 2.5, 7.75))), 14), tuple(models.FORECAST_FEATURES))
+
+
+def q53_forest_scores(spark, sf_dir):
+    """Bot windows and forecasts by forests: windows that lack the mean time, and forecasts past the
+    guardrail, keep the heuristic."""
+    features = bot.bot_features(_whole(spark, sf_dir), MODEL).withColumn("average_time_ms", F.when(F.col("number_of_requests") % 3 != 0, F.col("average_time_ms")))
+    bots = models.score_bot_by(features, BOT_FOREST, MODEL).select(F.concat_ws(" ", *bot.KEYS).alias("entity"), F.col("window_end").alias("at"), F.col("bot_score").alias("value"), F.col("is_bot").cast("string").alias("said"))
+    buckets = forecast.forecast_features(forecast.traffic_buckets(_whole(spark, sf_dir), MODEL.bucket), MODEL)
+    loads = models.score_forecast_by(buckets, FORECAST_FOREST, MODEL).select(F.concat_ws(" ", "scope", "endpoint"), "bucket_end", F.col("predicted_request_count").cast("double"), "model_version")
+    return _out(bots.union(loads))
+
+
 def q38_anomaly_model(spark, sf_dir):
     """All windows by the model."""
     scored = models.score_anomaly_by(anomaly.anomaly_features(_whole(spark, sf_dir), MODEL), ANOMALY_MODEL, MODEL)

@@ -12,7 +12,7 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Time column and sort key of each table, and days that its rows are kept.
@@ -42,12 +42,16 @@ def _files(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
-def put_table(rows: DataFrame, root: str, name: str, batch: str) -> None:
-    """Rows of a table as a batch's folders, sorted within each file; not visible before ``commit``."""
+def put_table(rows: DataFrame, root: str, name: str, batch: str) -> int:
+    """Rows of a table as a batch's folders, sorted within each file; not visible before ``commit``.
+    Their number is counted as they are written."""
     time, order, _ = TABLES[name]
     by, form = _folder(name)
     out = rows.drop("batch", by).withColumn(by, F.date_format(time, form))
+    counted = Observation()
+    out = out.observe(counted, F.count(F.lit(1)).alias("n"))
     out.sortWithinPartitions(by, *order).write.mode("overwrite").partitionBy(by).parquet(f"{root}/{name}/batch={batch}")
+    return counted.get["n"]
 
 
 def commit(spark: SparkSession, root: str, batch: str, note: dict) -> None:
@@ -84,9 +88,8 @@ def write_batch(tables: dict[str, DataFrame], root: str, batch: int | str, **not
     fs, path = _files(spark, f"{root}/commits/{batch}.json")
     if fs.exists(path):
         return False
-    for name, rows in tables.items():
-        put_table(rows, root, name, batch)
-    commit(spark, root, batch, {"tables": list(tables), **note})
+    written = {name: put_table(rows, root, name, batch) for name, rows in tables.items()}
+    commit(spark, root, batch, {"tables": list(tables), "rows": written, **note})
     return True
 
 
@@ -150,9 +153,10 @@ def write_lines(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def batch_summary(tables: dict[str, DataFrame], source: str, sink: str) -> dict[str, str | int]:
-    """Where a batch came from and went to, and the rows of each of its tables."""
-    rows = {name: df.count() for name, df in tables.items()}
+def batch_summary(tables: dict[str, DataFrame] | dict[str, int], source: str, sink: str) -> dict[str, str | int]:
+    """Where a batch came from and went to, and the rows of each of its tables: of tables, or without
+    running anything again of the numbers that a commit notes (``commits(...)[batch]["rows"]``)."""
+    rows = {name: x if isinstance(x, int) else x.count() for name, x in tables.items()}
     names = {"count": "processed_logs", "bot_windows": "bot_feature_windows", "forecasts": "load_forecasts", "anomalies": "anomaly_alerts"}
     return {"source": source, "sink": sink, **{k: rows.get(name, 0) for k, name in names.items()}}
 

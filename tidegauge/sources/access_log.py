@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,10 +72,29 @@ def parse_lines(lines: DataFrame, value: str = "value", cycle: int = 0) -> DataF
     )
 
 
+class LineCounts:
+    """Scanned, parsed and skipped lines, counted by the job that reads the records: there once an action
+    on them has ended."""
+
+    def __init__(self) -> None:
+        self.scanned_, self.parsed_ = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        scanned, parsed = self.scanned_.get["n"], self.parsed_.get["n"]
+        return {"scanned": scanned, "parsed": parsed, "skipped": scanned - parsed}
+
+
+def parse_counted(lines: DataFrame, value: str = "value", cycle: int = 0) -> tuple[DataFrame, LineCounts]:
+    """As ``parse_lines``, with the counts of its lines, which cost no pass of their own."""
+    counts, n = LineCounts(), F.count(F.lit(1)).alias("n")
+    return parse_lines(lines.observe(counts.scanned_, n), value, cycle).observe(counts.parsed_, n), counts
+
+
 def line_counts(lines: DataFrame, value: str = "value") -> DataFrame:
-    """One row: scanned, parsed and skipped lines."""
-    parsed = parse_lines(lines.select(value), value).agg(F.count("*").alias("parsed"))
-    return lines.agg(F.count("*").alias("scanned")).withColumn("parsed", parsed.scalar()).withColumn("skipped", F.col("scanned") - F.col("parsed"))
+    """One row: scanned, parsed and skipped lines, of one pass."""
+    records, counts = parse_counted(lines, value)
+    records.write.format("noop").mode("overwrite").save()
+    return lines.sparkSession.createDataFrame([tuple(counts.get().values())], "scanned long, parsed long, skipped long")
 
 
 #: Places of arrival that are worked on together, of one client.
