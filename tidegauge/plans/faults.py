@@ -1,84 +1,50 @@
-"""JSON text with faults for contract queries, as expressions that Spark SQL and DuckDB read alike."""
+"""JSON records of real rows with planted faults, as expressions that Spark SQL and DuckDB read alike."""
 
 from __future__ import annotations
 
-import copy
 import json
 
-
-def json_text() -> str:
-    """Raw logs, one kind of fault in each residue of event_id modulo 12."""
-    fault = "event_id % 12"
-    part = lambda k, broken, good: f"CASE WHEN {fault} = {k} THEN '{broken}' ELSE '{good}' END"
-    parts = [
-        "'{\"schema_version\":\"v2\",\"timestamp\":\"'",
-        part(0, "yesterday", "2024-01-01T10:00:00Z"),
-        "'\",\"request_id\":\"req-'",
-        "CAST(event_id AS STRING)",
-        "'\",\"session_id\":\"s1\",'",
-        part(1, "", '"ip":"10.0.0.1",'),
-        "'\"user_agent\":\"'",
-        part(2, "", "curl/8"),
-        "'\",\"method\":\"'",
-        part(3, "FETCH", "GET"),
-        "'\",\"endpoint\":\"/a\",\"route_template\":'",
-        part(4, "null", '"/a"'),
-        "',\"status\":'",
-        f"CASE {fault} WHEN 5 THEN '700' WHEN 6 THEN 'true' WHEN 7 THEN '\"200\"' ELSE '200' END",
-        "',\"latency_ms\":'",
-        f"CASE {fault} WHEN 8 THEN '-1' WHEN 9 THEN '1.5' ELSE '12' END",
-        part(10, ',"zone":1}', "}"),
-    ]
-    return f"CASE WHEN {fault} = 11 THEN '[1]' ELSE concat({', '.join(parts)}) END"
-
-
-_GOOD = {"string": "10.0.0.1", "integer": 1, "number": 0.5, "boolean": True, "array": [1, 2]}
 _WRONG = {"string": 5, "integer": 1.5, "number": "x", "boolean": 1, "array": {}, "object": []}
 
 
-def _value(kind: str, rule: dict):
-    if kind == "object":
-        return {f: _value(k, r) for f, k, _, r in rule["properties"]}
-    if "enum" in rule:
-        return rule["enum"][0]
-    return "2024-01-01T10:00:00Z" if "format" in rule else max(_GOOD[kind], rule["minimum"]) if "minimum" in rule else _GOOD[kind]
-
-
-def _faults(kind: str, rule: dict) -> list:
+def _bad_values(kind: str, rule: dict) -> list:
+    """Values that break a rule of a field each, and some that are right but rare."""
     out = [_WRONG[kind], None]
-    for word, values in (("minLength", [""]), ("format", ["yesterday"]), ("items", [[], [1, "a", -1, True]]), ("enum", ["zz", 7])):
+    for word, values in (("minLength", [""]), ("format", ["yesterday", "10:00", "2026"]), ("items", [[], [1, "a", -1, True]]), ("enum", ["zz", 7])):
         out += values if word in rule else []
     return out + [rule[w] + d for w, d in (("minimum", -1), ("maximum", 1)) if w in rule] + ([True] if kind == "number" else [])
 
 
-def records(rules: list) -> list[str]:
-    """A record that keeps the contract, others with one fault each, two with more, and an array."""
-    good = _value("object", {"properties": rules})
-    out = [good]
-
-    def add(way: list[str], change) -> None:
-        record = copy.deepcopy(good)
-        inner = record
-        for step in way:
-            inner = inner[step]
-        change(inner)
-        out.append(record)
+def record_text(rules: list, expressions: dict[str, str | None]) -> tuple[str, int]:
+    """JSON text of a row, and the number n of faults: a row with ``fault`` from 0 to n - 1 has that one,
+    others keep the contract.
 
-    def walk(rules: list, way: list[str]) -> None:
-        add(way, lambda inner: inner.update({"zone": 1, "also": None}))
-        for field, kind, _, rule in rules:
-            add(way, lambda inner: inner.pop(field))
-            for bad in _faults(kind, rule):
-                add(way, lambda inner: inner.update({field: bad}))
-            if kind == "object":
-                walk(rule["properties"], [*way, field])
+    ``expressions`` gives SQL for fields (by their path) that are no column of their own name; None
+    leaves out an optional one.
+    """
+    n = 0
 
-    walk(rules, [])
-    return [json.dumps(r) for r in [*out, {}, {k: None for k in good}, [1]]]
+    def fault(value: str) -> str:
+        nonlocal n
+        n += 1
+        return f" WHEN {n - 1} THEN '{value}'"
 
+    def good(kind: str, rule: dict, path: str) -> str | None:
+        if kind == "object":
+            return members(rule["properties"], path)
+        found = expressions.get(path, path.rsplit(".", 1)[-1])
+        if found is None:
+            return None
+        return f"concat('\"', {found}, '\"')" if kind == "string" else found if kind == "array" else f"CAST({found} AS STRING)"
 
-def contract_text(rules: list) -> str:
-    """The records in turn by event_id."""
-    found = records(rules)
-    cases = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(found))
-    return f"CASE event_id % {len(found)} {cases} END"
+    def members(rules: list, at: str) -> str:
+        parts = []
+        for field, kind, _, rule in rules:
+            value = good(kind, rule, f"{at}.{field}" if at else field)
+            whens = fault("") + "".join(fault(f'"{field}":{json.dumps(bad)},') for bad in _bad_values(kind, rule))
+            parts.append(f"CASE fault{whens} ELSE " + (f"concat('\"{field}\":', {value}, ',')" if value else "''") + " END")
+        parts.append("CASE fault" + fault('"zone":1,"also":null,') + " ELSE '' END")
+        return f"replace(concat('{{', {', '.join(parts)}, '}}'), ',}}', '}}')"
+
+    text = members(rules, "")
+    return f"CASE fault{fault('[1]')}{fault('{}')} ELSE {text} END", n

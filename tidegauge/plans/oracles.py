@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..schema import ANOMALY_ALERTS, BOT_FEATURE_WINDOWS, CONTRACTS, LOAD_FORECASTS, PROCESSED_LOGS, RAW_LOG_CONTRACT
-from .faults import contract_text, json_text
+from ..schema import ANOMALY_ALERTS, BOT_FEATURE_WINDOWS, CONTRACTS, LOAD_FORECASTS, PROCESSED_LOGS
+from .faults import record_text
 
 # Fixed values, written out so that a wrong constant of the library shows.
 ENDPOINTS = ["catalog/search", "auth", "account", "catalog/product", "basket", "payment", "media/img", "admin/user"]
@@ -378,7 +378,6 @@ ORACLES: dict[str, str] = {
           ip, user_agent, method, endpoint || '/' || event_id AS endpoint, endpoint || '/{id}' AS route_template, status, date_trunc('second', t) AS event_time FROM raw WHERE event_id % 10 NOT IN (3, 7)""",
         "raw",
     ),
-    "q29_contract_errors": f"SELECT event_id, errors FROM (SELECT event_id, {_contract(RAW_LOG_CONTRACT)} AS errors FROM (SELECT event_id, ({json_text()})::JSON AS j FROM events)) WHERE errors <> ''",
     "q30_late_filter": _sql("SELECT event_id FROM kept", "kept"),
     "q30_retained_buckets": _sql(f"SELECT scope, endpoint, {_time('be')} AS bucket_end, requests FROM buckets WHERE be >= (SELECT max(be) FROM buckets) - {B * (H + 2)}", "buckets"),
     "q31_bot_as_run": _sql(f"SELECT {_BOT_COLUMNS} FROM bot_r", "bot_r"),
@@ -468,10 +467,26 @@ ORACLES["q51_ingest"] = _sql(
     "raw",
 )
 
-_CHECKED = {
-    "q40_processed_log_contract": "processed-log", "q41_bot_request_contract": "bot-request", "q41_bot_response_contract": "bot-response",
-    "q42_forecast_request_contract": "forecast-request", "q42_forecast_response_contract": "forecast-response",
-    "q43_anomaly_request_contract": "anomaly-request", "q43_anomaly_response_contract": "anomaly-response",
-}
-for _query, _name in _CHECKED.items():
-    ORACLES[_query] = f"SELECT event_id, {_contract(CONTRACTS[_name])} AS errors FROM (SELECT event_id, ({contract_text(CONTRACTS[_name])})::JSON AS j FROM events)"
+_V2 = {"feature_version": "'v2'", "window_start": "start_text", "window_end": "end_text", "bucket_end": "start_text", "predicted_bucket_end": "end_text", "history_rps": "history_text"}
+
+
+def _checked(contract: str, src: str, keys: str, turn: str, texts: str, expressions: dict[str, str | None]) -> str:
+    text, n = record_text(CONTRACTS[contract], expressions)
+    return _sql(f"SELECT {keys}, {_contract(CONTRACTS[contract])} AS errors FROM (SELECT {keys}, ({text})::JSON AS j FROM (SELECT *{texts}, ({turn}) % {2 * n} AS fault FROM {src}))", src)
+
+
+_ISO = lambda c, name: f", strftime({c}, '%Y-%m-%dT%H:%M:%SZ') AS {name}"
+_WINDOW = _ISO("window_start", "start_text") + _ISO("window_end", "end_text")
+_BUCKETS = _ISO("bucket_end", "start_text") + _ISO("predicted_bucket_end", "end_text") + ", '[' || array_to_string(h, ',') || ']' AS history_text"
+_TURN = {"bot": "epoch(window_end)::BIGINT // 14400 + number_of_requests", "forecast": "epoch(bucket_end)::BIGINT // 3600 + length(endpoint)", "anomaly": "epoch(window_end)::BIGINT // 600 + request_count"}
+_BY_BOT, _BY_LOAD, _BY_ENDPOINT = f"{KEYS}, window_end", "scope, endpoint, bucket_end", "endpoint, window_end"
+ORACLES |= {
+    "q29_contract_errors": _checked("raw-log", "raw", "event_id", "event_id", "", {"original_timestamp": None}),
+    "q40_processed_log_contract": _checked("processed-log", "logs", "request_id", "latency_ms + status", _ISO("timestamp", "time_text"), {"timestamp": "time_text", "replay_timestamp": None}),
+    "q41_bot_request_contract": _checked("bot-request", "bots", _BY_BOT, _TURN["bot"], _WINDOW, _V2),
+    "q41_bot_response_contract": _checked("bot-response", "bots", _BY_BOT, _TURN["bot"], "", {"is_bot": "is_bot = 1"}),
+    "q42_forecast_request_contract": _checked("forecast-request", "forecasts", _BY_LOAD, _TURN["forecast"], _BUCKETS, _V2),
+    "q42_forecast_response_contract": _checked("forecast-response", "forecasts", _BY_LOAD, _TURN["forecast"], "", {}),
+    "q43_anomaly_request_contract": _checked("anomaly-request", "anomalies", _BY_ENDPOINT, _TURN["anomaly"], _WINDOW, _V2),
+    "q43_anomaly_response_contract": _checked("anomaly-response", "anomalies", _BY_ENDPOINT, _TURN["anomaly"], "", {"is_anomaly": "is_anomaly = 1"}),
+}

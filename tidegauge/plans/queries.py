@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from ..functions.web import infer_latency_ms, normalize_endpoint, route_template
 from ..operators import anomaly, bot, enrich, forecast, models, rollups
 from ..functions.sliding import sliding, spans
-from ..functions.times import aligned
+from ..functions.times import aligned, iso_text
 from ..operators.normalize import normalize, quarantine, retained, whole_seconds
 from ..operators.quality import validate
-from ..schema import CONTRACTS, RAW_LOG_CONTRACT
+from ..schema import CONTRACTS
 from ..settings import Settings
 from ..sources.access_log import parse_lines, rebase, sessionize
 from ..sources.events import as_raw_logs, raw_logs
@@ -25,7 +25,7 @@ from ..sources.logs import read_json_logs
 from ..sinks import read_table, write_batch
 from ..store import save_bucketed
 from ..streaming.stream import run_stream, stream_partials, streamed_features
-from .faults import contract_text, json_text
+from .faults import record_text
 
 #: The events table has one event in minutes, so windows of hours and days are the useful ones.
 WIDE = Settings(bot_window=86400, bot_slide=14400, anomaly_window=3600, anomaly_slide=600, anomaly_lookback=18000, bucket=3600)
@@ -239,13 +239,6 @@ def q28_parse_access_log(spark, sf_dir):
     return _out(parse_lines(logs.select("event_id", line.alias("value")))).drop("latency_ms")
 
 
-def q29_contract_errors(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    records = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(json_text()).alias("record"))
-    found = validate(records, "record", RAW_LOG_CONTRACT)
-    return found.where(F.size("errors") > 0).select("event_id", F.array_join("errors", "; ").alias("errors"))
-
-
 def q30_late_filter(spark, sf_dir):
     return retained(_events(spark, sf_dir), KEEP).select("event_id")
 
@@ -335,19 +328,39 @@ def q39_forecast_model(spark, sf_dir):
     return _out(models.score_forecast_by(features, FORECAST_MODEL, MODEL).select("scope", "endpoint", "bucket_end", "predicted_request_count", "model_version"))
 
 
-def _contract_errors(name: str) -> Callable[[SparkSession, str], DataFrame]:
+_V2 = {"feature_version": "'v2'", "window_start": "start_text", "window_end": "end_text", "bucket_end": "start_text", "predicted_bucket_end": "end_text", "history_rps": "history_text"}
+
+
+def _contract_errors(contract: str, table: Callable[[SparkSession, str], DataFrame], keys: list[str], turn: str, texts: dict[str, str], expressions: dict[str, str | None]) -> Callable[[SparkSession, str], DataFrame]:
+    """Every row of a table as a JSON record, about half of them with a planted fault, and the broken rules.
+
+    ``turn`` deals out the faults; ``texts`` are times, or lists, that the records hold as text."""
+
     def query(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        records = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(contract_text(CONTRACTS[name])).alias("record"))
-        return validate(records, "record", CONTRACTS[name]).select("event_id", F.array_join("errors", "; ").alias("errors"))
+        text, n = record_text(CONTRACTS[contract], expressions)
+        rows = table(spark, sf_dir)
+        held = rows.withColumns({c: F.array_join(x, ",", "0") if "history" in x else iso_text(F.col(x)) for c, x in texts.items()}).withColumn("fault", F.expr(f"pmod({turn}, {2 * n})"))
+        if "history_text" in texts:
+            held = held.withColumn("history_text", F.concat(F.lit("["), "history_text", F.lit("]")))
+        records = held.select(*keys, F.expr(text).alias("record"))
+        return _out(validate(records, "record", CONTRACTS[contract]).select(*keys, F.array_join("errors", "; ").alias("errors")))
 
     return query
 
 
-q40_processed_log_contract = _contract_errors("processed-log")
-q41_bot_request_contract, q41_bot_response_contract = _contract_errors("bot-request"), _contract_errors("bot-response")
-q42_forecast_request_contract, q42_forecast_response_contract = _contract_errors("forecast-request"), _contract_errors("forecast-response")
-q43_anomaly_request_contract, q43_anomaly_response_contract = _contract_errors("anomaly-request"), _contract_errors("anomaly-response")
+_BY_BOT, _BY_LOAD, _BY_ENDPOINT = [*bot.KEYS, "window_end"], ["scope", "endpoint", "bucket_end"], ["endpoint", "window_end"]
+_WINDOW, _BUCKETS = {"start_text": "window_start", "end_text": "window_end"}, {"start_text": "bucket_end", "end_text": "predicted_bucket_end", "history_text": "history_rps"}
+_TURN = {"bot": "unix_seconds(window_end) DIV 14400 + number_of_requests", "forecast": "unix_seconds(bucket_end) DIV 3600 + length(endpoint)", "anomaly": "unix_seconds(window_end) DIV 600 + request_count"}
+q29_contract_errors = _contract_errors("raw-log", _events, ["event_id"], "event_id", {}, {"original_timestamp": None})
+q40_processed_log_contract = _contract_errors("processed-log", lambda spark, d: _stored(spark, d, "processed_logs"), ["request_id"], "latency_ms + status", {"time_text": "timestamp"}, {"timestamp": "time_text", "replay_timestamp": None})
+q41_bot_request_contract = _contract_errors("bot-request", _bots, _BY_BOT, _TURN["bot"], _WINDOW, _V2)
+q41_bot_response_contract = _contract_errors("bot-response", _bots, _BY_BOT, _TURN["bot"], {}, {"is_bot": "is_bot = 1"})
+q42_forecast_request_contract = _contract_errors("forecast-request", _forecasts, _BY_LOAD, _TURN["forecast"], _BUCKETS, _V2)
+q42_forecast_response_contract = _contract_errors("forecast-response", _forecasts, _BY_LOAD, _TURN["forecast"], {}, {})
+q43_anomaly_request_contract = _contract_errors("anomaly-request", _anomalies, _BY_ENDPOINT, _TURN["anomaly"], _WINDOW, _V2)
+q43_anomaly_response_contract = _contract_errors("anomaly-response", _anomalies, _BY_ENDPOINT, _TURN["anomaly"], {}, {"is_anomaly": "is_anomaly = 1"})
+
 
 def q44_stream_tables(spark, sf_dir):
     """The four tables that the streaming pipeline has written of the events table, up to the last span closed."""
