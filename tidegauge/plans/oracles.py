@@ -448,6 +448,11 @@ ORACLES["q53_forest_scores"] = _sql(
       FROM (SELECT *, {_FORECAST_FOREST} AS m, {_BOUND} AS upper_bound FROM (SELECT *, predicted_request_count AS heuristic FROM forecasts))""",
     "bots", "forecasts",
 )
+ORACLES["q54_original_time"] = _sql(
+    """SELECT request_id, CASE WHEN event_id % 3 = 1 THEN t ELSE t - INTERVAL 1530 MINUTE END AS timestamp, CASE WHEN event_id % 3 <> 1 THEN t END AS replay_timestamp, status, latency_ms
+      FROM (SELECT * REPLACE (date_trunc('second', t) AS t) FROM raw)""",
+    "raw",
+)
 _IN = lambda time: f"{time} >= TIMESTAMP '2024-01-09 04:05:06' AND {time} <= TIMESTAMP '2024-01-16 07:08:09'"
 ORACLES["q52_dashboard_range"] = _sql(
     f"""SELECT 'requests' AS panel, strftime(date_trunc('minute', timestamp), '%Y-%m-%d %H:%M:%S') AS entity, count(*)::DOUBLE AS value FROM logs WHERE {_IN('timestamp')} GROUP BY 1, 2

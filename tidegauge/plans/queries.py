@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.web import infer_latency_ms, normalize_endpoint, route_template
 from ..operators import anomaly, bot, enrich, forecast, models, rollups
 from ..functions.sliding import sliding, spans
-from ..functions.times import aligned, iso_text
+from ..functions.times import aligned, iso_text, parse_iso
 from ..operators.normalize import normalize, quarantine, retained, whole_seconds
 from ..operators.quality import validate
 from ..schema import CONTRACTS
@@ -449,6 +449,19 @@ def q51_ingest(spark, sf_dir):
     return _out(good.select(*columns, F.lit("").alias("errors")).union(bad.select(*columns, F.array_join("errors", "; "))))
 
 
+def q54_original_time(spark, sf_dir):
+    """Replayed events that keep their original time: two in three have one, a day and more before."""
+    logs, s = _events(spark, sf_dir).drop("event_time"), replace(WIDE, use_original_event_time=True)
+    before = F.date_format(parse_iso(F.col("timestamp")) - F.expr("interval 1 day 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    logs = logs.withColumn("original_timestamp", F.when(F.col("event_id") % 3 == 0, before).when(F.col("event_id") % 3 == 1, F.lit("")))
+    logs = logs.withColumn("original_timestamp", F.when(F.col("event_id") % 3 == 2, F.replace(before, F.lit("Z"), F.lit("+00:00"))).otherwise(F.col("original_timestamp")))
+    events = normalize(logs, s)
+    forecasts = forecast.score_forecast(forecast.forecast_features(forecast.traffic_buckets(events, s.bucket), s), s)
+    bots = bot.score_bot(bot.bot_features(events, s), s)
+    anomalies = anomaly.score_anomaly(anomaly.anomaly_features(events, s), s)
+    return _out(enrich.enrich(events, bots, anomalies, forecasts, s).select("request_id", "timestamp", "replay_timestamp", "status", "latency_ms"))
+
+
 def q52_dashboard_range(spark, sf_dir):
     """The dashboard over a week of the stored tables: requests by minute, bots, anomalies, last forecast."""
     logs, bots, anomalies, forecasts = (_stored(spark, sf_dir, n) for n in ("processed_logs", "bot_feature_windows", "anomaly_alerts", "load_forecasts"))

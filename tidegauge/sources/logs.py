@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.normalize import shift_to
 from ..schema import RAW_LOG
 from ..settings import Settings
 
@@ -52,6 +53,14 @@ def first_with_rows(*candidates: DataFrame) -> DataFrame | None:
     return next((df for df in candidates if not df.isEmpty()), None)
 
 
+def or_sample(logs: DataFrame, sample: DataFrame, now: str, s: Settings = Settings()) -> tuple[DataFrame | None, str]:
+    """The logs and where they come from: the source itself, where it has any; else the sample, moved
+    so that its latest log is ``now``, or, where events keep their original time, nothing (idle)."""
+    if not logs.isEmpty():
+        return logs, "kafka"
+    return (None, "idle") if s.use_original_event_time else (shift_to(sample, now), "sample")
+
+
 def read_training_samples(spark: SparkSession, path: str) -> DataFrame:
     """Labelled samples in CSV, the latency under its older name."""
     return spark.read.option("header", True).schema("timestamp string, ip string, endpoint string, status int, request_time_ms int, user_agent string, is_bot int, current_rps int, is_anomaly int").csv(path)
