@@ -57,6 +57,8 @@ def test_files_to_replay(spark, tmp_path):
     assert len(rows) == 6 and {r.session_number for r in rows} == {1}
     two = replay_access_logs(spark, str(tmp_path), "2026-04-06T10:00:00Z", cycles=2).collect()
     assert len(two) == 12 and len({r.request_id for r in two}) == 12
+    rounds = [[r.replay_time for r in two if r.cycle == c] for c in (0, 1)]
+    assert 0 < (min(rounds[1]) - max(rounds[0])).total_seconds() <= 2
     assert replay_access_logs(spark, str(tmp_path), "2026-04-06T10:00:00Z", max_records=4).count() == 4
     with pytest.raises(ValueError):
         replay_access_logs(spark, str(tmp_path), "2026-04-06T10:00:00Z", cycles=0)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import iso_text
+from ..functions.times import iso_text, seconds_after
 from ..functions.web import infer_latency_ms, normalize_endpoint, route_template
 
 # Fixed format of a line: ip, time, request, status, bytes, referer, user agent, forwarded.
@@ -151,13 +151,17 @@ def rebase(records: DataFrame, anchor: str, arrival: str = "seq", time_scale: fl
 
 def replay_access_logs(spark: SparkSession, root: str, anchor: str, time_scale: float = 30.0, gap_seconds: int = 900, max_records: int | None = None, cycles: int = 1) -> DataFrame:
     """Raw logs of all access logs below ``root``, each of ``cycles`` rounds with request ids and
-    sessions of its own. ``max_records`` is the cap that a caller may ask for."""
-    if cycles < 1 or (max_records is not None and max_records < 1):
-        raise ValueError("cycles and max_records must be positive")
+    sessions of its own; a round begins in the second after the last record of the one before.
+    ``max_records`` is the cap that a caller may ask for."""
+    if cycles < 1 or (max_records is not None and max_records < 1) or gap_seconds <= 0:
+        raise ValueError("cycles, max_records and the gap must be positive")
     lines = read_lines(spark, discover_log_files(spark, root))
     out = None
     for cycle in range(cycles):
         got = sessionize(parse_lines(lines, cycle=cycle), gap_seconds=gap_seconds)
         got = rebase(got, anchor, time_scale=time_scale).withColumn("cycle", F.lit(cycle))
+        if cycle:
+            last = got.agg(F.unix_seconds(F.max("replay_time")) - F.unix_seconds(F.lit(anchor).cast("timestamp"))).scalar()
+            got = got.withColumn("replay_time", seconds_after(F.col("replay_time"), cycle * (last + 1))).withColumn("timestamp", iso_text(F.col("replay_time")))
         out = got if out is None else out.union(got)
     return out.orderBy("cycle", "seq").limit(max_records) if max_records else out
