@@ -10,7 +10,7 @@ from tidegauge.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", ORACLES)
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.execute(ORACLES[name])
     columns = [d[0] for d in want.description]
