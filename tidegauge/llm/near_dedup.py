@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import HOT_ROWS, free_name, hot_rows, join_groups, lean_workers, stored
+from .shared import HOT_ROWS, free_name, give_back, hot_rows, join_groups, lean_workers, small_batches, stored
 from .tables import table
 from .textvec import _mix, binary_column, chunks, shingles, unique_per_doc
 
@@ -47,6 +47,8 @@ LED = len(ROOTS) // 4
 #: Likely pairs for each member of a block up to which they are listed; beyond, the block is linked
 #: as a whole with its sets at hand.
 SPARSE = 4
+#: Bytes of text handled at a time.
+CHUNK = 1 << 17
 #: Fingerprints have an error of 0.04 at 0.75; a pair below this estimate is not confirmed.
 LEAST_ESTIMATE = 0.58
 #: Ids that are broadcast at most (8 bytes each); beyond, the same join shuffles.
@@ -79,8 +81,9 @@ def _digest(values: np.ndarray, first: np.ndarray) -> list[pa.Array]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
-        for rows, words in chunks(batch):
+        for rows, words in chunks(batch, size=CHUNK):
             values, first = unique_per_doc(*shingles(words, words.hashes(lower=True), WIDTH))
             tokens = _minwise(values, first)
             yield pa.RecordBatch.from_arrays(
@@ -90,8 +93,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
-        for _, words in chunks(batch):
+        for _, words in chunks(batch, size=CHUNK):
             values, first = unique_per_doc(*shingles(words, words.hashes(lower=True), WIDTH))
             yield pa.RecordBatch.from_arrays([*_digest(values, first), binary_column(values, first)], names=["n", "h1", "h2", "members"])
 
@@ -343,6 +347,7 @@ def _sets(source: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, body (hash of the text), n, component_id and kept of every row."""
     lean_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
     signed = stored(source.mapInArrow(_signatures, "doc_id long, body long, n long, h1 long, h2 long, tokens binary"), "signed")
     # equal sets have one representative; its number is fixed once the table is written

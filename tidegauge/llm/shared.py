@@ -6,12 +6,17 @@ on one machine) is a folder of our own made and set.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import vocabulary
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Path of the shared folder; also makes ``checkpoint()`` usable."""
@@ -57,6 +62,27 @@ def lean_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault(name, value)
 
 
+def give_back() -> None:
+    """In a worker: what tasks before have left behind goes back to the system, vocabularies included
+    (a later task that needs one reads it again)."""
+    vocabulary.cache_clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Bytes of an Arrow batch, where the caller leaves Spark's 64 MB: rows that hold whole sets or blocks of
+#: members are large however few they are.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches bounded by BATCH_BYTES; a setting of the caller stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 #: Rows of a group from which its columns are broadcast to its rows instead of joined by shuffle; with
 #: more than HOT_GROUPS times as many rows in all, in proportion. So at most HOT_GROUPS are broadcast.
 HOT_ROWS, HOT_GROUPS = 10_000, 1_000_000
