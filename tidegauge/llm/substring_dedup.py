@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, hot_rows, join_groups, lean_workers, stored
+from .shared import free_name, give_back, hot_rows, join_groups, lean_workers, small_batches, stored
 from .tables import table, with_field
 from .textvec import Words, _mix, chunks, ranges
 
+#: Bytes of text handled at a time.
+CHUNK = 1 << 17
 #: Words that a line needs to be a unit.
 LINE_WORDS = 5
 #: Words of a passage, of an anchor, and consecutive anchors of which the least hash is selected.
@@ -98,9 +100,10 @@ def _anchors(words: Words, sums: _Sums) -> np.ndarray:
 
 def _occurrences(passages: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             ids, bodies = batch.column(0), batch.column(1)
-            for rows, words in chunks(batch):
+            for rows, words in chunks(batch, size=CHUNK):
                 h = words.hashes(lower=True)
                 sums = _Sums(h, _FIRST), _Sums(h, _SECOND)
                 a, n = _lines(words)
@@ -155,7 +158,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         ids, bodies = batch.column(0), batch.column(1)
-        for rows, words in chunks(batch):
+        for rows, words in chunks(batch, size=CHUNK):
             spots = batch.column(3).slice(rows.start, words.n_docs)
             flat, doc = spots.flatten(), np.repeat(np.arange(words.n_docs), np.diff(np.asarray(spots.offsets)))
             at, late, n = np.asarray(flat.field("at")) + words.first[doc], np.asarray(flat.field("later")), np.asarray(flat.field("n"))
@@ -267,6 +270,7 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     new ones are replaced, all others are kept.  An empty table gives an empty result.
     """
     lean_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.drop(deduped, removed)
     body, own = free_name(docs, "body"), free_name(docs, "spans")
     keyed = docs.withColumn(body, F.xxhash64(text_col))
@@ -282,7 +286,7 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, words in chunks(batch, text_col):
+            for rows, words in chunks(batch, text_col, CHUNK):
                 part = batch.slice(rows.start, words.n_docs)
                 texts, cuts = part.column(at).to_pylist(), [[] for _ in range(words.n_docs)]
                 for d, spans in enumerate(part.column(len(names)).to_pylist()):
