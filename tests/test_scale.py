@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import anomaly
+from tests.conftest import SMALL
+from tidegauge.operators import anomaly, bot, rollups
+from tidegauge.plans import queries
 
 
 def test_percentiles_as_run_are_exact_over_many_rows(spark):
@@ -20,3 +22,23 @@ def test_percentiles_as_run_are_exact_over_many_rows(spark):
         found.sort()
         rank = lambda q: float(found[-(-q * len(found) // 100) - 1])
         assert got[endpoint] == (rank(95), rank(99))
+
+
+def test_partitions_grow_with_the_events(spark, monkeypatch):
+    """10,000 events at 400 for each partition: bot windows, and the states of roll-ups, in 25 partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(queries, "EVENTS_A_PARTITION", 400)
+    try:
+        found = queries.q02_bot_features(spark, SMALL)
+        assert found.rdd.getNumPartitions() == 25
+        states = rollups.roll_up_states({"bot_feature_windows": bot.score_bot(found)})["bot_stats_hourly"]
+        assert states.rdd.getNumPartitions() == 25
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ratios_that_are_not_rounded_are_the_same(spark):
+    """All shares of up to 40 events, by the function and by rounding each."""
+    pairs = spark.range(1, 41).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("c"))
+    rows = pairs.select(bot._ratio("c", "got"), F.bround(F.col("c") / F.col("n"), 4).alias("want")).collect()
+    assert len(rows) == 860 and all(r.got == r.want for r in rows)

@@ -115,6 +115,10 @@ _NAMED = {
 }
 
 
+#: Parts in which the rows of one time and key are summed up, by address.
+SALTS = 8
+
+
 def _step(name: str) -> str:
     return _ROLLUPS[name][2].lower()
 
@@ -122,7 +126,10 @@ def _step(name: str) -> str:
 def roll_up_states(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Of a batch of the four tables, the states of the roll-ups made of them: sums, extremes and
     sketches by time and key, a row for each that the batch touches.  States of different batches,
-    late ones too, are kept side by side; ``rolled_up`` merges them."""
+    late ones too, are kept side by side; ``rolled_up`` merges them.
+
+    Rows are shuffled by time and key, and by SALTS parts of the addresses where these are no key, before
+    they are summed up: a task that sums up a share of a file would hold states of nearly as many keys as it has rows."""
     out = {}
     for name, (source, time, step, keys) in _ROLLUPS.items():
         if source in tables:
@@ -130,7 +137,10 @@ def roll_up_states(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             states = [F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(f"sum_{c}") for c, e in sums.items()), *(F.max(c).alias(f"max_{c}") for c in most), *(F.min(c).alias(f"min_{c}") for c in least)]
             if "ips" in _NAMED[name].get("unique_ips", ""):
                 states.append(F.theta_sketch_agg("ip").alias("ips"))
-            out[name] = tables[source].groupBy(F.date_trunc(step, time).alias(_step(name)), *keys).agg(*states)
+            rows = tables[source].withColumn(_step(name), F.date_trunc(step, time))
+            parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            salt = [] if "ip" in keys else [F.pmod(F.crc32(F.col("ip").cast("binary")), F.lit(SALTS))] if "ip" in rows.columns else []
+            out[name] = rows.repartition(parts, _step(name), *keys, *salt).groupBy(_step(name), *keys).agg(*states)
     return out
 
 
