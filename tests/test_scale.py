@@ -42,3 +42,8 @@ def test_ratios_that_are_not_rounded_are_the_same(spark):
     pairs = spark.range(1, 41).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("c"))
     rows = pairs.select(bot._ratio("c", "got"), F.bround(F.col("c") / F.col("n"), 4).alias("want")).collect()
     assert len(rows) == 860 and all(r.got == r.want for r in rows)
+
+
+def test_ingest_reads_its_lines_once(spark):
+    found = queries.q51_ingest(spark, SMALL)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
