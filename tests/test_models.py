@@ -95,6 +95,22 @@ def test_contract_messages(spark):
     assert tuple(quality.error_counts(found.limit(0)).first()) == (0, 0, 0)
 
 
+def test_checks_of_large_contracts(spark):
+    """Spark interprets what it does within a lambda: rules are tested outside, and only those that seem broken looked at there."""
+    features = {f: 1 for f, *_ in CONTRACTS["bot-request"][-1][3]["properties"]}
+    good = {"feature_version": "v2", "window_start": "2024-01-01T10:00:00Z", "window_end": "2024-01-01T11:00:00Z", "entity": {"ip": "1.2.3.4", "session_id": "s", "user_agent": "a"}, "features": features}
+    bad = good | {"features": features | {"night": 2, "get_method": -0.5, "max_barrage": 1.5}}
+    found = quality.validate_lines(spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(bad))], "i int, value string"), CONTRACTS["bot-request"])
+    assert [r.errors for r in found.sort("i").collect()] == [[], ["$.features.get_method: minimum 0", "$.features.night: expected one of [0, 1]", "$.features.max_barrage: expected integer"]]
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        last = found._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert last.count("try_variant_get") < 2 * len(features)
+
+
 def test_lines_and_summary(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/lines"
     rows = spark.createDataFrame([("a", None), ("ü", 1)], "name string, n int")
