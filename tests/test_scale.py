@@ -47,3 +47,9 @@ def test_ratios_that_are_not_rounded_are_the_same(spark):
 def test_ingest_reads_its_lines_once(spark):
     found = queries.q51_ingest(spark, SMALL)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_q54_normalizes_events_once(spark):
+    """Windows, buckets and the joins read the normalized events, not the source again."""
+    read = queries.q54_original_time(spark, SMALL).inputFiles()
+    assert read and not [f for f in read if "events.parquet" in f]
