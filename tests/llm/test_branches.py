@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidegauge.llm import near_dedup
@@ -65,3 +66,34 @@ def test_recall_at_the_threshold(spark):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(c != d for d, (_, c) in want.items()) == 500
     assert got == {d: c for d, (_, c) in want.items()}
+
+
+def test_a_large_node_has_several_leaders(spark):
+    """200 members of equal weight in all nodes: if one of them alone led, and had nothing in common with
+    the others, no first round would link them."""
+    members = spark.range(200).selectExpr("id AS rep").crossJoin(spark.range(8).selectExpr("id AS node")).selectExpr("node", "rep", "200L AS size")
+    found = near_dedup._with_leaders(members).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.rep, set()).add(r.leader)
+    leaders = set.union(*by.values())
+    assert len(leaders) == near_dedup.LEADERS and all(v == leaders - {rep} for rep, v in by.items()) and len(by) == 200
+
+
+def test_copies_for_blocks_are_few(spark):
+    """Of a node of 2,000 members of which 900 are linked with nothing, and the same of 4,000: rows of blocks."""
+    prints = spark.range(4000).selectExpr("id AS rep", "9L AS n", "X'00' AS prints", "X'00' AS trail", "0L AS branched")
+    for size, minor in ((2000, 900), (4000, 450)):
+        members = spark.range(size).selectExpr("1L AS node", "id AS rep", f"if(id < {minor}, id, 3999L) AS comp", f"{size}L AS size", "3999L AS main", f"{minor}L AS minor")
+        dealt = near_dedup._dealt(members, prints).groupBy("i", "j").agg(F.count("*").alias("n"), F.count_if("left").alias("left")).collect()
+        assert sum(r.n for r in dealt) <= 3 * size
+        # all pairs of one that has no link with another one, each in one block
+        assert sum(r.left * (r.n - r.left) if r.n > r.left else r.n * (r.n - 1) // 2 for r in dealt) == minor * (size - minor) + minor * (minor - 1) // 2
+
+
+def test_one_set_with_several():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(200)]
+    for x in sets[:20]:
+        assert near_dedup._enough_of(x, sets).tolist() == [near_dedup._enough(x, y) for y in sets]
+    assert near_dedup._enough_of(sets[0], []).tolist() == []

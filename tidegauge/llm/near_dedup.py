@@ -13,7 +13,7 @@ Two documents of similarity 0.75 keep one common child on average.  They meet in
 of more than BLOCK documents that share a token reach beyond depth 1.
 
 Work on groups of copies is kept linear: equal sets have one representative; a first round links
-each representative to the leader of most of its nodes only, the member that has the most in common with
+each representative to the leaders of most of its nodes only, members that have the most in common with
 all others; after that only pairs whose components
 still differ are compared.
 """
@@ -42,6 +42,11 @@ ROOTS = [(t, f) for t in range(TREES) for f in ([8 * t, 8 * t + 4] if t % 3 == 0
 LEVELS = 4
 #: Members compared at once; a node of more branches unless its comparisons are no more than WORK.
 BLOCK, WORK = 512, 2_000_000
+#: Blocks' worth of members that a block of a large node's smaller components is compared with at once.
+WIDE = 4
+#: Leaders of a node of more than FEW members, each of a share of them; of a smaller node one.  Many
+#: members can weigh as much as the best one and have little in common with the others: not all do.
+LEADERS, FEW = 3, 64
 #: Nodes that a representative has to have in common with a leader, to be compared with it first.
 LED = len(ROOTS) // 4
 #: Likely pairs for each member of a block up to which they are listed; beyond, the block is linked
@@ -216,12 +221,16 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             out_a, out_b = [], []
             for k, at, est in _pairs(block, node & 31):
-                for m in at[np.argsort(-est, kind="stable")]:
-                    x, y = find(int(block["comp"][k])), find(int(block["comp"][m]))
-                    if x != y and _enough(sets[k], sets[m]):
-                        root[x] = y
-                        out_a.append(block["rep"][k])
-                        out_b.append(block["rep"][m])
+                best_first = at[np.argsort(-est, kind="stable")]
+                for first in range(0, len(best_first), 64):
+                    x = find(int(block["comp"][k]))
+                    apart = [m for m in best_first[first : first + 64] if find(int(block["comp"][m])) != x]
+                    for m in np.array(apart, dtype=np.int64)[_enough_of(sets[k], [sets[m] for m in apart])]:
+                        x, y = find(int(block["comp"][k])), find(int(block["comp"][m]))
+                        if x != y:
+                            root[x] = y
+                            out_a.append(block["rep"][k])
+                            out_b.append(block["rep"][m])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
@@ -233,6 +242,16 @@ def _enough(x: np.ndarray, y: np.ndarray) -> bool:
     return OF * both >= ABOVE * (len(x) + len(y) - both)
 
 
+def _enough_of(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The same of one set and each of several; none is empty."""
+    if not others:
+        return np.zeros(0, dtype=bool)
+    n, flat = np.array([len(y) for y in others]), np.concatenate(others)
+    hits = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    both = np.add.reduceat(hits.astype(np.int64), np.cumsum(n) - n)
+    return OF * both >= ABOVE * (len(x) + n - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for pair in zip(batch.column(2), batch.column(3)) for x in pair)
@@ -263,18 +282,22 @@ def _occupied(paths: DataFrame) -> DataFrame:
 
 
 def _with_leaders(members: DataFrame) -> DataFrame:
-    """(rep, leader): for each representative the member that leads most of its nodes, LED at least.
+    """(rep, leader): for each representative the members that lead most of its nodes, LED at least, up
+    to LEADERS of them.
 
     A node is led by that of its members whose nodes have most members in all: of a text and changed
-    copies of it, the text, with which each has more in common than with the others.
+    copies of it, the text, with which each has more in common than with the others.  One of many members
+    has one such leader for each of LEADERS shares of them.
     """
     weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    weighed = members.join(weight, "rep").select("node", "rep", "weight")
-    leaders = weighed.groupBy("node").agg(F.max(F.struct("weight", "rep")).alias("top"), F.count("*").alias("size"))
+    share = F.when(F.col("size") > FEW, F.pmod(F.xxhash64("rep"), F.lit(LEADERS))).otherwise(F.lit(0))
+    weighed = members.join(weight, "rep").select("node", "rep", "size", "weight", share.alias("share"))
+    leaders = weighed.groupBy("node", "share").agg(F.max(F.struct("weight", "rep")).alias("top"), F.max("size").alias("size"))
     leaders = stored(leaders.select("node", F.col("top.rep").alias("leader"), (F.col("size") > hot_rows(members)).alias("hot")), "leaders")
     led = join_groups(members.select("node", "rep"), leaders, ["node"]).where("rep != leader")
     counted = led.groupBy("rep", "leader").agg(F.count("*").alias("k")).where(F.col("k") >= LED)
-    return counted.groupBy("rep").agg(F.max(F.struct("k", "leader")).alias("top")).select("rep", F.col("top.leader").alias("leader"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("k", "leader")), asc=False), 1, LEADERS)  # of LEADERS * len(ROOTS) / LED at most
+    return counted.groupBy("rep").agg(best.alias("best")).select("rep", F.explode("best.leader").alias("leader"))
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -306,9 +329,10 @@ def _dealt(members: DataFrame, prints: DataFrame) -> DataFrame:
 
     A node of up to BLOCK members is one block.  In a larger one the members outside its largest
     component form blocks of their own, each compared with itself and with every other block; the
-    pairs inside the largest component are linked already.
+    pairs inside the largest component are linked already, and its blocks are WIDE times as large, so that
+    the others are copied less often.
     """
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
+    nb = F.ceil(F.col("size") / (WIDE * BLOCK)).cast("int")
     minor = F.col("comp") != F.col("main")
     n_minor = F.ceil(F.col("minor") / BLOCK).cast("int")
     own = F.when(F.col("size") <= BLOCK, F.lit(0)).when(minor, F.pmod(F.xxhash64("rep"), n_minor).cast("int")).otherwise(n_minor + F.pmod(F.xxhash64("rep"), nb).cast("int"))
