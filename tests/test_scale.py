@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL
+from tests.conftest import SMALL, TINY
+from tidegauge.functions.times import aligned
 from tidegauge.operators import anomaly, bot, rollups
 from tidegauge.plans import queries
 
@@ -53,3 +54,23 @@ def test_q54_normalizes_events_once(spark):
     """Windows, buckets and the joins read the normalized events, not the source again."""
     read = queries.q54_original_time(spark, SMALL).inputFiles()
     assert read and not [f for f in read if "events.parquet" in f]
+
+
+def test_q49_makes_what_the_traffic_needs(spark):
+    """Of a session without stored tables: none is stored, and the rows are those of whole processed logs."""
+    place = f"{TINY}/."
+    got = queries.q49_kept_system_traffic(spark, place)
+    assert not any(spark.catalog.tableExists(queries._table_name(place, name)) for name in queries._STORED)
+    want = queries._out(rollups.system_traffic_minutely(queries._processed(spark, TINY)), rounded=True)
+    text = lambda df: sorted(map(str, df.select(*(F.col(c).cast("string") for c in want.columns)).collect()))
+    assert text(got) == text(want) and got.count() > 100
+
+
+def test_bot_windows_at_events(spark):
+    """Only the windows that an event of their client ends in, as they are among all."""
+    events = queries._whole(spark, TINY)
+    every = bot.bot_features(events, queries.WIDE)
+    ends = events.select(*bot.KEYS, aligned(F.col("event_time"), queries.WIDE.bot_slide).alias("window_end")).distinct()
+    want = every.join(ends, [*bot.KEYS, "window_end"], "left_semi").select(*every.columns)
+    assert sorted(map(str, bot.bot_features(events, queries.WIDE, at_events=True).collect())) == sorted(map(str, want.collect()))
+    assert want.count() < every.count()

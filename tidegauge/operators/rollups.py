@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,16 +125,17 @@ def _step(name: str) -> str:
     return _ROLLUPS[name][2].lower()
 
 
-def roll_up_states(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def roll_up_states(tables: dict[str, DataFrame], names: Collection[str] = tuple(_ROLLUPS)) -> dict[str, DataFrame]:
     """Of a batch of the four tables, the states of the roll-ups made of them: sums, extremes and
     sketches by time and key, a row for each that the batch touches.  States of different batches,
-    late ones too, are kept side by side; ``rolled_up`` merges them.
+    late ones too, are kept side by side; ``rolled_up`` merges them.  Only the roll-ups ``names`` are made, and
+    only their columns read.
 
     Rows are shuffled by time and key, and by SALTS parts of the addresses where these are no key, before
     they are summed up: a task that sums up a share of a file would hold states of nearly as many keys as it has rows."""
     out = {}
     for name, (source, time, step, keys) in _ROLLUPS.items():
-        if source in tables:
+        if source in tables and name in names:
             sums, most, least = _STATES[name]
             states = [F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(f"sum_{c}") for c, e in sums.items()), *(F.max(c).alias(f"max_{c}") for c in most), *(F.min(c).alias(f"min_{c}") for c in least)]
             if "ips" in _NAMED[name].get("unique_ips", ""):
