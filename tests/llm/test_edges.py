@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from tidegauge.llm import bpe_codec, tables
 from tests.llm import brute
 from tidegauge.llm.bpe_codec import decode, encode
 from tidegauge.llm.decontaminate import decontaminate, find_leaks
@@ -204,3 +205,14 @@ def test_tokens_replace_columns_of_their_names(spark):
     assert found.columns == ["doc_id", "text", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
     got = {r.doc_id: r for r in found.collect()}
     assert got[1].n_tokens == got[None].n_tokens == len(got[1].ids) > 0 and got[2].n_tokens == 0
+
+
+def test_tokens_need_one_worker(spark):
+    """Ids and what they decode to are made in one pass, as by two; columns of their names are replaced."""
+    docs = spark.createDataFrame([(1, "One, two\nthree", "x"), (2, None, "y"), (3, "", "z"), (4, "héé 漢字 " * 50, None)], "doc_id long, text string, ids string")
+    path = tables.tokenizer_path("word_bpe_49k.json")
+    want = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    got = bpe_codec.encode_decode(docs, path)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = corpus_pipeline.tokens(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
