@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm import brute
-from tidegauge.llm import shared
+from tidegauge.llm import shared, substring_dedup
 from tidegauge.llm.substring_dedup import substring_duplicates
 
 
@@ -50,3 +52,18 @@ def test_against_brute_force(spark, monkeypatch):
         want = brute.substrings(rows, passages)
         got = {r.doc_id: (r.deduped, [tuple(x) for x in r.removed]) for r in substring_duplicates(table, passages=passages).collect()}
         assert got == want
+
+
+def test_neighbours_that_go_alike_are_few_rows(spark):
+    """A common passage is a few rows of each document, not one for each word it may begin at; texts that repeat themselves too."""
+    rng = random.Random(5)
+    prose = lambda n: ["".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n)]
+    common, loop = prose(68), prose(7)
+    rows = [(d, " ".join(prose(rng.randint(0, 40)) + common + prose(rng.randint(0, 40)))) for d in range(60)]
+    rows += [(100 + d, " ".join(prose(3) + (loop * 40)[: 120 + d] + prose(rng.randint(0, 3)))) for d in range(40)]
+    rows += [(200 + d, " ".join(common[d:] + loop * 9 + common[: 68 - d])) for d in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.deduped, [tuple(x) for x in r.removed]) for r in substring_duplicates(table).collect()}
+    assert got == brute.substrings(rows, True)
+    spans = substring_dedup._spans(table.select("doc_id", F.xxhash64("text").alias("body"), "text"), True)
+    assert spans.count() <= 12 * len(rows)  # 986 now, 7,192 before

@@ -38,7 +38,7 @@ BROADCAST_IDS = 2_000_000
 
 _OCCURRENCE = "hash long, check int, doc_id long, body long, at int, n int, line boolean"
 _FOUND = "doc_id long, body long, at int, n int, keeper long, hash long, hot boolean"
-_RUN = "hash long, check int, doc_id long, body long, at int, later boolean"
+_RUN = "hash long, check int, doc_id long, body long, at int, later boolean, wide long"
 
 _FIRST, _SECOND = 0xD1342543DE82EF95, 0x2545F4914F6CDD1D
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -154,7 +154,9 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All PASSAGE words in a row that hold one of the given anchors; ``later`` where a later one, and
     not inside a chain of the document, all words of which go already.
 
-    Spots are anchors (without ``n``) and chains (with it).
+    Spots are anchors (without ``n``) and chains (with it).  ``wide`` is a digest that takes in the word
+    before and the word after, where the passages that begin one word earlier and later are given too
+    (and, of a later one, are later themselves or inside a chain).
     """
     for batch in batches:
         ids, bodies = batch.column(0), batch.column(1)
@@ -174,11 +176,17 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.unique(every)
             later = np.isin(place, every[np.repeat(late, size)])
             chain = np.searchsorted(begin, place, side="right")
-            later &= np.append(0, reach)[chain] < place + PASSAGE
+            inside = np.append(0, reach)[chain] >= place + PASSAGE
+            later &= ~inside
             doc = np.searchsorted(words.first, place, side="right") - 1
             part = pa.array(doc + rows.start)
-            cols = [*_digests((_Sums(h, _FIRST), _Sums(h, _SECOND)), place, PASSAGE), ids.take(part), bodies.take(part), pa.array((place - words.first[doc]).astype(np.int32)), pa.array(later)]
-            yield pa.RecordBatch.from_arrays(cols, names=["hash", "check", "doc_id", "body", "at", "later"])
+            sums = _Sums(h, _FIRST), _Sums(h, _SECOND)
+            goes, inner = later | inside, np.zeros(len(place), dtype=bool)
+            inner[1:-1] = (place[2:] - place[:-2] == 2) & (~later[1:-1] | goes[2:] & goes[:-2])
+            wide = np.zeros(len(place), dtype=np.int64)
+            wide[inner] = sums[0].spans(place[inner] - 1, PASSAGE + 2).view(np.int64)
+            cols = [*_digests(sums, place, PASSAGE), ids.take(part), bodies.take(part), pa.array((place - words.first[doc]).astype(np.int32)), pa.array(later), pa.array(wide, mask=~inner)]
+            yield pa.RecordBatch.from_arrays(cols, names=["hash", "check", "doc_id", "body", "at", "later", "wide"])
 
 
 def _few(ids: DataFrame) -> DataFrame | None:
@@ -188,7 +196,11 @@ def _few(ids: DataFrame) -> DataFrame | None:
 
 
 def _passages(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, body, at, n, keeper) of the PASSAGE words around outer anchors that a smaller id has."""
+    """(doc_id, body, at, n, keeper) of the PASSAGE words around outer anchors that a smaller id has.
+
+    Where the first document has the words before and after as well, its neighbours go too, and one
+    in PASSAGE of such is enough for all words between the outermost ones.
+    """
     edges = found.where("hash is not null").groupBy("hash").agg(F.max("hot").alias("hot"))
     anchors = join_groups(shared.where("not line").select("hash", "doc_id", "body", "at", "later"), edges, ["hash"])
     chains = found.where(F.col("hash").isNull() & (F.col("n") >= PASSAGE)).select("doc_id", "body", "at", F.lit(False).alias("later"), "n")
@@ -199,9 +211,10 @@ def _passages(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFram
     near = (texts if few is None else texts.join(few, "doc_id", "left_semi")).join(spots, ["doc_id", "body"])
     runs = stored(near.select("doc_id", "body", "text", "spots").mapInArrow(_around, _RUN), "runs")
     hot = F.col("times") > hot_rows(runs)
-    first = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "check")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
+    first = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "check", F.col("wide").isNull().alias("edge"), "wide")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
     first = stored(first.where("last > first.doc_id").select("hash", "first", hot.alias("hot")), "first")
-    later = join_groups(runs.where("later").select("hash", "check", "doc_id", "body", "at"), first, ["hash"]).where("doc_id > first.doc_id and check = first.check")
+    later = join_groups(runs.where("later").select("hash", "check", "doc_id", "body", "at", "wide"), first, ["hash"]).where("doc_id > first.doc_id and check = first.check")
+    later = later.where((F.col("at") % PASSAGE == 0) | ~F.coalesce(F.col("wide") == F.col("first.wide"), F.lit(False)))
     return later.select("doc_id", "body", "at", F.lit(PASSAGE).alias("n"), F.col("first.doc_id").alias("keeper"))
 
 
