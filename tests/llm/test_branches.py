@@ -97,3 +97,23 @@ def test_one_set_with_several():
     for x in sets[:20]:
         assert near_dedup._enough_of(x, sets).tolist() == [near_dedup._enough(x, y) for y in sets]
     assert near_dedup._enough_of(sets[0], []).tolist() == []
+
+
+def test_full_sets_are_shuffled_once(spark, monkeypatch):
+    """Also where the join with the wanted representatives is no broadcast; only sets of a pair's own side are taken."""
+    source = spark.createDataFrame([(d, d, f"one two three four five six {d}") for d in range(20)], "doc_id long, body long, text string")
+    signed = source.mapInArrow(near_dedup._signatures, "doc_id long, body long, n long, h1 long, h2 long, tokens binary")
+    reps = near_dedup.stored(signed.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("least"), "n", "h1", "h2"))
+    kept = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: df if name == "sets" else kept(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = near_dedup._sets(source, reps, reps.select("rep").where("rep < 9"))
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        got = sets.select("rep", F.length("members").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, got)) == [(d, 24) for d in range(9)]
+    assert plan.count("Exchange hashpartitioning(n#") == 2 and "hashpartitioning(rep#" not in plan  # before, sets were dealt again by rep
+    assert near_dedup._of(sets, spark.createDataFrame([(3,), (3,), (5,)], "rep long")).count() == 2

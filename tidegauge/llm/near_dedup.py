@@ -259,18 +259,26 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``rep`` is among the ids, so that others are not shuffled; all of them if the ids
+    are too many to be broadcast."""
+    ids = ids.distinct()
+    return rows.join(F.broadcast(ids), "rep", "left_semi") if ids.count() <= BROADCAST_IDS else rows
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough.
 
     The set of an ``a`` with more than HOT_ROWS pairs is copied once for each HOT_ROWS of them.
     """
+    of_a, of_b = (_of(sets, pairs.select(F.col(c).alias("rep"))) for c in ("a", "b"))
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("copies")).where("copies > 1")
     copies = F.broadcast(copies)  # no more rows than pairs / HOT_ROWS
     copy = F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int")
     dealt = pairs.select("a", "b").join(copies, "a", "left").select("a", "b", copy.alias("copy"))
-    x = sets.select(F.col("rep").alias("a"), F.col("members").alias("x")).join(copies, "a", "left")
+    x = of_a.select(F.col("rep").alias("a"), F.col("members").alias("x")).join(copies, "a", "left")
     x = x.select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-    y = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
+    y = of_b.select(F.col("rep").alias("b"), F.col("members").alias("y"))
     return dealt.join(x, ["a", "copy"]).join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
 
 
@@ -360,12 +368,16 @@ def _found(dealt: DataFrame) -> DataFrame:
 
 
 def _sets(source: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, members) of some representatives, from the text of one document of each."""
+    """(rep, members) of some representatives, from the text of one document of each.
+
+    Sets are joined and grouped by the same keys, so that they are shuffled once.
+    """
     wanted = stored(reps.join(ids.distinct(), "rep").select("rep", "least", "n", "h1", "h2"), "wanted")
     texts = wanted.select(F.col("least").alias("doc_id")).distinct()
     texts = F.broadcast(texts) if wanted.count() <= BROADCAST_IDS else texts
     every = source.join(texts, "doc_id", "left_semi").mapInArrow(_shingle_sets, "n long, h1 long, h2 long, members binary")
-    return stored(every.join(wanted.select("rep", "n", "h1", "h2"), ["n", "h1", "h2"]).groupBy("rep").agg(F.any_value("members").alias("members")), "sets")
+    named = every.join(wanted.select("rep", "n", "h1", "h2"), ["n", "h1", "h2"]).groupBy("n", "h1", "h2", "rep").agg(F.any_value("members").alias("members"))
+    return stored(named.select("rep", "members"), "sets")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -401,7 +413,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         compared.append((dealt, _found(dealt)))
         if last:
             break
-        below = rest.select("node", "rep").join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(_children, "node long, rep long")
+        below = rest.select("node", "rep").join(_of(reps.select("rep", "tokens"), rest.select("rep")), "rep").select("node", "rep", "tokens").mapInArrow(_children, "node long, rep long")
         todo = stored(_mixed(_labelled(_occupied(stored(below, "below")), comps)), "mixed")
     pairs, full = None, None
     for dealt, found in compared:
