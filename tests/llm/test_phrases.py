@@ -58,3 +58,18 @@ def test_collocations_past_the_sketch(spark, monkeypatch):
 
 def test_collocations_of_nothing(spark):
     assert collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
+
+
+def test_sketch_is_as_wide_as_the_corpus():
+    """Its cells grow with the words at 6 GB and beyond (they ended at 2^27), in pieces of bounded size."""
+    for words in (0, 1_000, 136_000_000, 1_610_000_000, 10_000_000_000):
+        cells, piece = phrases.sketch_size(words)
+        assert cells >= words // phrases.CELL_WORDS and 1 <= piece <= phrases.PIECE_CELLS
+
+
+def test_sketch_of_many_pieces_stays_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PIECE_CELLS", 100, raising=False)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("what grows with the corpus is broadcast"))
+    docs = [(f"to be or not to be, that is question {i}. {i} it is", "en") for i in range(40)] + [("to be sure", None)] * 20
+    found = collocations(spark.createDataFrame(docs, "text string, lang string"), 3, 10, shard_bytes=400)
+    assert sorted(map(tuple, found.collect())) == brute(docs, 3, 10, 2000)
